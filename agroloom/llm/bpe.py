@@ -69,7 +69,8 @@ def leaves(text: str, coder: ByteEncoder, leaf_chars: int = LEAF_CHARS) -> list[
             halve(cuts[k], b, cuts, k + 1, hi)
         else:
             pieces = coder.pieces(text[a:b])
-            inside = [a + s for s, _ in pieces if s]
+            # a run of white space is split by what follows it, so no cut between the two
+            inside = [a + s for s, _ in pieces if s and (text[a + s].isspace() or not text[a + s - 1].isspace())]
             if inside:
                 halve(a, b, inside, 0, len(inside))
             else:
