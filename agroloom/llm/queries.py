@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroloom.llm import bpe, exact_dedup, packing
+from agroloom.llm import bpe, exact_dedup, packing, pii, quality, toxicity
 from agroloom.llm.common import documents
+from agroloom.llm.labelled import remainder
 from agroloom.llm.tokenization import public_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,6 +36,40 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def span_text(spans: str) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda k: k == kind
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the base spans, and all selected spans."""
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter(F.col("base")["kind"], is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def judged(scores: DataFrame, parts: int, held_out: int, threshold: float) -> DataFrame:
+    held = F.coalesce(remainder(F.col("doc_id"), parts) == held_out, F.lit(False))
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judged(toxicity.score(docs, toxicity.fit(docs, labels)), 4, 2, 0.3)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judged(quality.score(docs, quality.fit(docs, labels)), 3, 1, 0.5)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     pieces = packing.pack(documents(spark, sf_dir), public_path("word_bpe_49k.json"))
@@ -45,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_bpe": op3_bpe,
+        "op5_pii": op5_pii,
+        "op7_toxicity": op7_toxicity,
+        "op8_quality": op8_quality,
         "op10_packing": op10_packing,
     }
 
