@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroloom.llm import bpe, exact_dedup, packing, pii, quality, toxicity
+from agroloom.llm import bpe, chat, exact_dedup, packing, pii, quality, topk_search, toxicity
 from agroloom.llm.common import documents
 from agroloom.llm.labelled import remainder
 from agroloom.llm.tokenization import public_path
@@ -29,6 +29,24 @@ FROM t
 """
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by integer inner product for every row whose id is divisible by 20."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_search.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text they decode to, as digests."""
     path = public_path("byte_bpe_50k.json")
@@ -36,6 +54,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return chat.collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP4_SQL = f"""
+WITH c AS (
+  SELECT conv_id, list({{'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), k AS (SELECT conv_id, t, list_transform(t, lambda x: {{'role': x.role, 'text': x.text}}) AS s FROM c),
+proper AS (SELECT DISTINCT list_slice(s, 1, n) AS s FROM k, LATERAL (SELECT unnest(range(1, len(s))) AS n)),
+full_ AS (SELECT s, min(conv_id) AS conv_id, count(*) AS n_same FROM k GROUP BY s)
+SELECT f.conv_id, len(f.s)::INTEGER AS n_turns, f.n_same,
+       array_to_string(list_transform(f.s, lambda x: '{chat.OPEN}' || x.role || chr(10) || x.text || '{chat.CLOSE}' || chr(10)), '') AS rendered
+FROM full_ f WHERE NOT EXISTS (SELECT 1 FROM proper p WHERE p.s = f.s)
+"""
+
+
 def span_text(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -79,7 +115,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_topk": op2_topk,
         "op3_bpe": op3_bpe,
+        "op4_chat": op4_chat,
         "op5_pii": op5_pii,
         "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
@@ -88,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op4_chat": OP4_SQL}
