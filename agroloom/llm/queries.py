@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroloom.llm import bpe, chat, exact_dedup, packing, pii, quality, topk_search, toxicity
+from agroloom.llm import bpe, chat, exact_dedup, jaccard_join, packing, pii, quality, topk_search, toxicity
 from agroloom.llm.common import documents
 from agroloom.llm.labelled import remainder
 from agroloom.llm.tokenization import public_path
@@ -89,6 +89,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document's shingle set, and the component of its near-duplicate links."""
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
 def judged(scores: DataFrame, parts: int, held_out: int, threshold: float) -> DataFrame:
     held = F.coalesce(remainder(F.col("doc_id"), parts) == held_out, F.lit(False))
     return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -119,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_chat": op4_chat,
         "op5_pii": op5_pii,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
         "op10_packing": op10_packing,
