@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroloom.llm import bpe, chat, exact_dedup, jaccard_join, packing, pii, quality, topk_search, toxicity
+from agroloom.llm import bpe, chat, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, topk_search, toxicity
 from agroloom.llm.common import documents
 from agroloom.llm.labelled import remainder
 from agroloom.llm.tokenization import public_path
@@ -111,6 +111,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score(docs, quality.fit(docs, labels)), 3, 1, 0.5)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of each document as a repeat of 100 bytes or more, and a digest of what stays."""
+    cut = suffix_dedup.cut_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     pieces = packing.pack(documents(spark, sf_dir), public_path("word_bpe_49k.json"))
@@ -127,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard_join": op6_jaccard_join,
         "op7_toxicity": op7_toxicity,
         "op8_quality": op8_quality,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
     }
 
