@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 PIVOTS = 24
 #: Most candidates and queries of a cell, about.
 CELL_ROWS, CELL_QUERIES = 16_384, 4096
-#: Beyond this size of a component products may not be exact in a double.
-EXACT = 1 << 20
 SCALE = 64
 
 
@@ -63,52 +61,70 @@ def with_distances(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(measured, "vec_id long, v binary, d binary")
 
 
-def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products of one query with rows."""
-    big = max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0))
-    if big <= EXACT:
-        return (rows.astype(np.float64) @ queries.astype(np.float64)).astype(np.int64)
-    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(r, queries, strict=True)), -(1 << 63)), (1 << 63) - 1) for r in rows], dtype=np.int64)
+class Rows:
+    """Integer vectors with exact inner products, in the narrowest float that holds every partial sum exactly."""
+
+    def __init__(self, v: np.ndarray):
+        self.v = v
+        self.norms = (v.astype(np.float64) ** 2).sum(axis=1)
+        top = self.norms.max(initial=0.0)
+        # a partial sum of products of two vectors is at most the larger squared norm
+        self.kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else None
+        self.wide = v.astype(self.kind) if self.kind else None
+
+    def products(self, other: Rows, i: int, take: np.ndarray | None) -> np.ndarray:
+        """Of row i of ``other`` with the rows ``take`` (None: all)."""
+        if self.kind is None or other.kind is None:
+            rows = self.v if take is None else self.v[take]
+            q = [int(x) for x in other.v[i]]
+            return np.array([min(max(sum(int(a) * b for a, b in zip(r, q, strict=True)), -(1 << 63)), (1 << 63) - 1) for r in rows], dtype=np.int64)
+        q = other.wide[i].astype(np.promote_types(self.kind, other.kind))
+        return ((self.wide if take is None else self.wide[take]) @ q).astype(np.int64)
 
 
 def search_cell(qid: np.ndarray, q: np.ndarray, qd: np.ndarray, cid: np.ndarray, c: np.ndarray, cd: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, candidate ids, scores): the k best candidates of each query in this cell."""
-    norms = (c.astype(np.float64) ** 2).sum(axis=1)
-    qnorms = (q.astype(np.float64) ** 2).sum(axis=1)
-    slack = 1 + 1e-9 * (norms.max(initial=0) + qnorms.max(initial=0))  # rounding never lowers a bound below the score
+    """(query row, candidate ids, scores): the k best candidates of each query in this cell.
+
+    Candidates are evaluated in blocks of falling bounds, 4 k, then 64 k, then all that are left; before each block
+    those whose bound is below the k-th best score so far are out, and when none is left the search is exact.
+    """
+    queries, rows = Rows(q), Rows(c)
+    scale = max(rows.norms.max(initial=0.0), queries.norms.max(initial=0.0))
+    near, ask = np.ascontiguousarray(cd.T, np.float32), qd.astype(np.float32)  # by pivot
+    # rounding to single precision never lowers a bound below the score
+    slack = 1 + 1e-5 * scale
+    half = (rows.norms / 2).astype(np.float32)
+    gap, other = np.empty(len(cid), np.float32), np.empty(len(cid), np.float32)
     out = []
-    cd = np.ascontiguousarray(cd.T)  # by pivot
     for i in range(len(qid)):
-        gap = np.abs(cd[0] - qd[i, 0])
-        for j in range(1, len(cd)):
-            np.maximum(gap, np.abs(cd[j] - qd[i, j]), out=gap)
-        bound = (qnorms[i] + norms - gap * gap) / 2 + slack
-        bound[cid == qid[i]] = -np.inf
-        order, done, step = None, 0, 4 * k
-        best = worst = None
+        np.abs(np.subtract(near[0], ask[i, 0], out=gap), out=gap)
+        for j in range(1, len(near)):
+            np.abs(np.subtract(near[j], ask[i, j], out=other), out=other)
+            np.maximum(gap, other, out=gap)
+        bound = half - gap * gap / 2 + np.float32(queries.norms[i] / 2 + slack)
+        left = np.flatnonzero(cid != qid[i])
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        n = int((bound > -np.inf).sum())
-        while done < n:
-            if done == 0 and n > 8 * step:  # the first few by bound, without a full sort
-                take = np.argpartition(-bound, step)[:step]
-                evaluated, done = take, step
+        for size in (4 * k, 64 * k, len(left)):
+            if len(scores) == k:
+                left = left[bound[left] >= scores[-1]]
+            if not len(left):
+                break
+            if len(left) > size:
+                cut = np.argpartition(bound[left], len(left) - size)
+                take, left = left[cut[len(left) - size :]], left[cut[: len(left) - size]]
             else:
-                if order is None:
-                    live = np.flatnonzero(bound > -np.inf) if worst is None else np.flatnonzero(bound >= worst)
-                    live = np.setdiff1d(live, evaluated) if done else live
-                    order, at = live[np.argsort(-bound[live])], 0
-                take = order[at : at + step]
-                at += step
-                step *= 2
-                if not len(take) or (worst is not None and bound[take[0]] < worst):
-                    break
-                if worst is not None:
-                    take = take[bound[take] >= worst]
-                done += len(take)
-            ids, scores = np.concatenate([ids, cid[take]]), np.concatenate([scores, products(q[i], c[take])])
+                take, left = left, left[:0]
+            # with most rows still in, one product with all of them is cheaper than picking them out
+            new = rows.products(queries, i, None)[take] if rows.kind and len(take) * 8 > len(cid) else rows.products(queries, i, take)
+            if len(scores) == k:
+                better = new >= scores[-1]
+                take, new = take[better], new[better]
+            elif len(new) > 4 * k:
+                better = new >= np.partition(new, len(new) - k)[len(new) - k]
+                take, new = take[better], new[better]
+            ids, scores = np.concatenate([ids, cid[take]]), np.concatenate([scores, new])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
-            worst = scores[-1] if len(scores) == k else None
         out.append((i, ids, scores))
     return out
 
