@@ -5,22 +5,23 @@ same document. One suffix array or Burrows-Wheeler transform of the whole corpus
 index is built piece by piece where repeats meet:
 
 1. Every window of 100 bytes has an anchor, the smallest k-mer hash in it; equal windows have equal anchors at equal
-   places. Neighbouring windows share an anchor, so there are about 2 / (WINDOW + 1) anchors a byte. Anchors are
-   shuffled by hash; those whose k-mer occurs once are done: none of their windows repeats.
-2. The others are joined back to their texts and give contexts: the bytes of all windows of that anchor. Equal contexts
-   of a batch are merged at once (all but the earliest are repeats).
-3. Contexts are dealt by anchor. A task aligns them at the anchor and builds the positional Burrows-Wheeler transform
-   of the distinct ones, column by column, with the lengths of matches between neighbours (matching statistics). Rows
-   whose last 100 columns match are a run; the earliest row of a run is kept as its sample, and every other row's
-   window is a repeat.
-4. Repeated windows become byte ranges by document, which are joined to the texts once more to cut them.
-
-Only repeats travel as text; memory is bounded by a block of contexts in step 3.
+   places. Neighbouring windows share an anchor, so there are about 2 / (WINDOW + 1) anchors a byte. The bytes of all
+   windows of an anchor are its context. Anchors are shuffled by hash with a hash of their context.
+2. A k-mer that occurs once is done: none of its windows repeats. Of equal contexts all but the earliest repeat as a
+   whole. Only where an anchor has several different contexts is their text needed, of one occurrence each; those are
+   joined back to their texts.
+3. These contexts are dealt by anchor. A task aligns them at the anchor and builds the positional Burrows-Wheeler
+   transform, column by column, with the lengths of matches between neighbours (matching statistics). Rows whose last
+   100 columns match are a run; the earliest row of a run is kept as its sample, and every other row's window is a
+   repeat.
+4. Repeated windows become byte ranges by document, which are joined to the texts to cut them.
+
+Memory is bounded by a block of contexts in step 3. The texts are shuffled by row once; both joins read that shuffle.
 
 Edge cases: null text counts as empty; texts under 100 bytes keep all; rows that repeat a doc_id are told apart by their
 place in the scan, which decides which one comes first; a null doc_id comes before all others; an empty table gives an
-empty result; other columns are never read. Hashes of k-mers have 64 bits and only pick candidates; contexts are
-compared by their bytes.
+empty result; other columns are never read. Contexts are taken as equal by 64 bits of their k-mer and 64 of their own
+bytes.
 """
 
 from __future__ import annotations
@@ -61,8 +62,12 @@ def kmer_hashes(raw: np.ndarray) -> np.ndarray:
     return total ^ (total >> U(32))
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor place, first window, last window) of each run of windows with one anchor."""
+POWERS = np.cumprod(np.append(U(1), np.full(SEGMENT + LENGTH, U(BASE))))
+INVERSES = np.cumprod(np.append(U(1), np.full(SEGMENT + LENGTH, U(pow(BASE, -1, 1 << 64)))))
+
+
+def anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(k-mer hash, context hash, anchor place, first window, last window) of each run of windows with one anchor."""
     found = []
     for at in range(0, max(len(raw) - LENGTH + 1, 0), SEGMENT):
         part = raw[at : at + SEGMENT + LENGTH - 1]
@@ -74,75 +79,70 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         place = (low & U((1 << 20) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(place, prepend=-1))
         last = np.append(first[1:], len(place)) - 1
-        found.append((h[place[first]].view(np.int64), place[first] + at, first + at, last + at))
+        place = place[first]
+        sums = np.append(U(0), np.cumsum(BYTE[part] * POWERS[: len(part)]))
+        context = (sums[last + LENGTH] - sums[first]) * INVERSES[first] + (((place - first) << 8) | (last - first)).view(U) * U(0xD6E8FEB86659FD93)
+        context = (context ^ (context >> U(31))) * U(BASE)
+        found.append((h[place].view(np.int64), (context ^ (context >> U(29))).view(np.int64), place + at, first + at, last + at))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def packed(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """An anchor's place and its windows in one number."""
-    return (place << 16) | ((place - first) << 8) | (last - first)
-
-
 def anchor_table(rows: DataFrame) -> DataFrame:
-    """(h, row, at) of every anchor."""
+    """(h, context, doc_id, row, at) of every anchor; at holds its place and its windows in one number."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                hs, names, ats = [], [], []
-                for text, row in zip(utf8(b.column(0)), b.column(1).to_pylist(), strict=True):
+                parts = []
+                for i, text in enumerate(utf8(b.column(1))):
                     if len(text) >= LENGTH:
-                        h, place, first, last = anchors(np.frombuffer(text, np.uint8))
-                        hs.append(h)
-                        ats.append(packed(place, first, last))
-                        names.append(np.full(len(h), row, np.int64))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, names, ats)], ["h", "row", "at"])
+                        h, context, place, first, last = anchors(np.frombuffer(text, np.uint8))
+                        parts.append((h, context, np.full(len(h), i), (place << 16) | ((place - first) << 8) | (last - first)))
+                if parts:
+                    h, context, who, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    who = pa.array(who)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(context), b.column(0).take(who), b.column(2).take(who), pa.array(at)], ["h", "context", "doc_id", "row", "at"])
+
+    return rows.select("doc_id", "text", "row").mapInArrow(made, "h long, context long, doc_id long, row long, at long")
 
-    return rows.select("text", "row").mapInArrow(made, "h long, row long, at long")
 
+def compared(table: DataFrame) -> DataFrame:
+    """(h, row, at, copy) of anchors that repeat: copy, if an equal context is earlier; else the earliest of its context,
+    where the anchor has others."""
+    several = Window.partitionBy("h")
+    same = Window.partitionBy("h", "context")
+    place = F.struct("doc_id", "row", "at")
+    many = table.withColumn("lo", F.min("context").over(several)).withColumn("hi", F.max("context").over(several)).withColumn("n", F.count("*").over(several)).filter("n > 1")
+    marked = many.withColumn("copy", F.min(place).over(same) < place)
+    return marked.filter("copy OR lo <> hi").select("h", "row", "at", "copy")
 
-def context_table(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(h, doc_id, row, place, first, last, bytes) of every repeated anchor; of equal contexts of a batch only the
-    earliest has bytes, the windows of the others are repeats already."""
+
+def context_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, doc_id, row, place, first, last, context) of the wanted anchors (h, row, at)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                b = whole.slice(start, 2048)
-                docs, names, raws = b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
                 lists = b.column(3)
-                offsets = lists.offsets.to_numpy()
-                flat = lists.values
+                sizes = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten()
                 at, h = flat.field("at").to_numpy(), flat.field("h").to_numpy()
-                place, before, more = at >> 16, (at >> 8) & 255, at & 255
-                first = place - before
-                order = sorted(range(len(docs)), key=lambda i: (docs[i] is not None, docs[i] or 0, names[i]))
-                seen: set[tuple[int, bytes]] = set()
-                picked, doc_of, row_of, held = [], [], [], []
-                for i in order:
-                    lo, hi = offsets[i], offsets[i + 1]
-                    ks = lo + np.argsort(first[lo:hi], kind="stable")
-                    raw = raws[i]
-                    for k, s, n, p in zip(ks.tolist(), first[ks].tolist(), more[ks].tolist(), before[ks].tolist(), strict=True):
-                        context = raw[s : s + n + LENGTH]
-                        key = (p, context)
-                        new = key not in seen
-                        if new:
-                            seen.add(key)
-                        held.append(context if new else None)
-                        picked.append(k)
-                    doc_of += [docs[i]] * (hi - lo)
-                    row_of += [names[i]] * (hi - lo)
+                place, more = at >> 16, at & 255
+                first = place - ((at >> 8) & 255)
+                who = np.repeat(np.arange(b.num_rows), sizes)
+                raws = utf8(b.column(2))
+                held = [raws[i][s : s + n + LENGTH] for i, s, n in zip(who.tolist(), first.tolist(), more.tolist(), strict=True)]
+                who = pa.array(who)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[picked]), pa.array(doc_of, pa.int64()), pa.array(row_of, pa.int64()), pa.array(place[picked]), pa.array(first[picked]), pa.array(first[picked] + more[picked]), pa.array(held, pa.binary())],
+                    [pa.array(h), b.column(0).take(who), b.column(1).take(who), pa.array(place), pa.array(first), pa.array(first + more), pa.array(held, pa.binary())],
                     ["h", "doc_id", "row", "place", "first", "last", "context"],
                 )
 
-    lists = repeated.groupBy("row").agg(F.collect_list(F.struct("at", "h")).alias("anchors"))
+    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "h")).alias("anchors"))
     joined = rows.join(lists, "row").select("doc_id", "row", "text", "anchors")
     return joined.mapInArrow(cut, "h long, doc_id long, row long, place long, first long, last long, context binary")
 
@@ -185,22 +185,12 @@ def positional_runs(columns: np.ndarray, start: np.ndarray, windows: np.ndarray,
 
 
 def repeats(block: pa.Table) -> pa.Table:
-    """(doc_id, row, start, stop): byte ranges of repeated windows among the contexts of whole anchor groups."""
+    """(row, start, stop): byte ranges of repeated windows among the contexts of whole anchor groups."""
     docs, rows = block["doc_id"].to_pylist(), block["row"].to_numpy()
     place, first, last = (block[c].to_numpy() for c in ("place", "first", "last"))
     held = block["context"].to_pylist()
     key = np.array([-(1 << 63) if d is None else d for d in docs], np.int64)
-    order = np.lexsort((place, rows, key))
-    distinct: dict[tuple[int, bytes], int] = {}
-    heads, copies = [], []
-    for i in order.tolist():
-        k = (int(place[i] - first[i]), held[i])
-        if k in distinct:
-            copies.append(i)
-        else:
-            distinct[k] = len(heads)
-            heads.append(i)
-    heads = np.array(heads, np.int64)
+    heads = np.lexsort((place, rows, key))
     width = WINDOW - 1 + LENGTH
     columns = np.zeros((len(heads), width), np.uint8)
     start = WINDOW - 1 - (place[heads] - first[heads])
@@ -214,11 +204,7 @@ def repeats(block: pa.Table) -> pa.Table:
     z = np.nonzero(edge == -1)[1]
     base = first[heads][r] - start[r]
     at = heads[r]
-    copies = np.array(copies, np.int64)
-    who = np.concatenate([at, copies])
-    begin = np.concatenate([base + a, first[copies]])
-    stop = np.concatenate([base + z - 1 + LENGTH, last[copies] + LENGTH])
-    return pa.table({"doc_id": pa.array([docs[i] for i in who], pa.int64()), "row": pa.array(rows[who], pa.int64()), "start": pa.array(begin, pa.int64()), "stop": pa.array(stop, pa.int64())})
+    return pa.table({"row": pa.array(rows[at], pa.int64()), "start": pa.array(base + a, pa.int64()), "stop": pa.array(base + z - 1 + LENGTH, pa.int64())})
 
 
 def repeated_ranges(contexts: DataFrame) -> DataFrame:
@@ -238,19 +224,18 @@ def repeated_ranges(contexts: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield from repeats(held).to_batches()
 
-    dealt = contexts.filter("context IS NOT NULL").repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(streamed, "doc_id long, row long, start long, stop long").select("row", "start", "stop")
+    dealt = contexts.repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(streamed, "row long, start long, stop long")
 
 
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, row, text) of all documents, and (row, ranges): the byte ranges to remove, unmerged, of those that have any."""
     rows = texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    table = anchor_table(rows)
-    repeated = table.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1").select("h", "row", "at")
-    contexts = written(context_table(rows, repeated), "contexts")
-    at_once = contexts.filter("context IS NULL").select("row", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
-    ranges = repeated_ranges(contexts).unionByName(at_once)
-    return rows, ranges.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    found = written(compared(anchor_table(rows)), "anchors")
+    ranges = repeated_ranges(context_table(rows, found.filter("NOT copy")))
+    first = F.shiftright("at", 16) - F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    copies = found.filter("copy").select("row", first.alias("start"), (first + F.col("at").bitwiseAND(F.lit(255)) + LENGTH).alias("stop"))
+    return rows, ranges.unionByName(copies).groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
