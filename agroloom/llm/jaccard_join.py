@@ -26,6 +26,7 @@ other columns are never read. Shingle hashes have 64 bits; sets of two texts are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -66,7 +67,7 @@ class Shingler:
     def __init__(self, words: int = WORDS):
         self.words = words
         self.held: dict[bytes, int] = {}
-        self.factors = [U((0x9E3779B97F4A7C15 * (2 * i + 3) | 1) & 0xFFFFFFFFFFFFFFFF) for i in range(words)]
+        self.factors = np.random.default_rng(words).integers(0, 1 << 63, words, dtype=U) * U(2) + U(1)  # unrelated odd numbers
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()  # bytes: A-Z alone is lowered, ASCII white space alone splits
@@ -80,10 +81,12 @@ class Shingler:
         h = np.fromiter(map(held.__getitem__, words), U, len(words))
         k = min(self.words, len(h))
         n = len(h) - k + 1
-        total = np.full(n, k, U)
-        for i in range(k):
-            total += mixed(h[i : i + n] * self.factors[i])
-        return np.unique(mixed(total))
+        total = h[:n] * self.factors[0] + U(k)
+        for i in range(1, k):
+            total += h[i : i + n] * self.factors[i]
+        s = mixed(total)
+        s.sort()
+        return s[np.append(True, s[1:] != s[:-1])]
 
 
 def set_digest(s: np.ndarray) -> bytes:
@@ -93,7 +96,7 @@ def set_digest(s: np.ndarray) -> bytes:
 def sketch(s: np.ndarray) -> bytes:
     """Parities of the elements over a power of two of places, at least as many as elements."""
     bits = max(64, 1 << int(len(s) - 1).bit_length()) if len(s) else 64
-    return np.packbits((np.bincount((mixed(s) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def bands(top: int = 1 << 31) -> np.ndarray:
@@ -130,45 +133,51 @@ def index_keys(s: np.ndarray, plan: dict[int, tuple[int, int]]) -> tuple[np.ndar
     n = len(s)
     first, last = (int(b) for b in band_of([-(-NUM * n // DEN), n]))
     keys, whole = [], []
-    weight = mixed(s ^ U(0x5851F42D4C957F2D))
+    high = s >> U(32)
     for band in range(first, last + 1):
         segments, tolerant = plan[band]
-        segment = ((mixed(s + U(band)) >> U(20)) % U(segments)).astype(np.int64)
-        order = np.argsort(segment, kind="stable")
+        segment = ((high * U(segments)) >> U(32)).astype(np.int64)
         sums = np.zeros(segments, U)
-        starts = np.flatnonzero(np.diff(segment[order], prepend=-1))
-        sums[segment[order][starts]] = np.add.reduceat(weight[order], starts)
-        tags = mixed(np.arange(segments, dtype=U) + U(band << 32))
+        np.add.at(sums, segment, s)
+        tags = segment_tags(band, segments)
         keys.append(mixed(sums ^ tags))
         whole.append(np.ones(segments, bool))
         if tolerant:
             inside = segment < tolerant
             at = segment[inside]
-            keys.append(mixed((sums[at] - weight[inside]) ^ tags[at]))
+            keys.append(mixed((sums[at] - s[inside]) ^ tags[at]))
             whole.append(np.zeros(len(at), bool))
     return np.concatenate(keys).view(np.int64), np.concatenate(whole)
 
 
+@functools.lru_cache(maxsize=256)
+def segment_tags(band: int, segments: int) -> np.ndarray:
+    return mixed(np.arange(segments, dtype=U) + U((band + 1) << 32))
+
+
 def allowed(n1, n2):
     """Most differing elements of linked sets of these sizes."""
     return (DEN - NUM) * (n1 + n2) // (DEN + NUM)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
     return DEN * both >= NUM * (len(a) + len(b) - both) and both > 0
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, digest) of each text."""
+    """(doc_id, n_shingles, digest, sketch) of each text."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in batches:
             sets = [shingles(t) for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return texts(docs, id_col, text_col).mapInArrow(measured, "doc_id long, n_shingles long, digest binary")
+    return texts(docs, id_col, text_col).mapInArrow(measured, "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
 def index_table(docs: DataFrame, plan: dict[int, tuple[int, int]], heavy: dict[bytes, int], id_col: str, text_col: str, words: int) -> DataFrame:
@@ -194,20 +203,44 @@ def index_table(docs: DataFrame, plan: dict[int, tuple[int, int]], heavy: dict[b
     return texts(docs, id_col, text_col).mapInArrow(indexed, "key long, doc long, whole boolean")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc, n, elements, sketch) of the texts of the ``wanted`` ids (doc)."""
+def folded(mark: bytes, width: int) -> np.ndarray:
+    """A sketch of ``width`` bytes: places are taken modulo a power of two, so halves are added up."""
+    x = np.frombuffer(mark, np.uint8)
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches can't rule out."""
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n1, n2 = b.column(2).to_numpy(), b.column(3).to_numpy()
+            right = np.abs(n1 - n2) <= allowed(n1, n2)
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            for i in np.flatnonzero(right):
+                width = min(len(x[i]), len(y[i]))
+                right[i] = np.bitwise_count(folded(x[i], width) ^ folded(y[i], width)).sum() <= allowed(n1[i], n2[i])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(right, pa.bool_())], ["a", "b", "right"])
+
+    one = marks.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    two = marks.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return both.mapInArrow(tried, "a long, b long, right boolean").filter("right").select("a", "b").distinct()
+
+
+def elements_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc, elements) of the texts that occur in ``pairs``."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in batches:
-            sets = [shingles(t) for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())],
-                ["doc", "n", "elements", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in utf8(b.column(1))], pa.binary())], ["doc", "elements"])
 
-    rows = texts(docs, id_col, text_col)
-    return rows.join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(built, "doc long, n long, elements binary, sketch binary")
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    # the ids grow with the corpus: a shuffled join at any size
+    return texts(docs, id_col, text_col).join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(built, "doc long, elements binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,7 +254,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("doc").alias("b"), F.col("elements").alias("of_b"))
     two = sets.select(F.col("doc").alias("a"), F.col("elements").alias("of_a"))
     both = pairs.join(one, "b").join(two, "a").select("a", "b", "of_a", "of_b")
-    return both.mapInArrow(checked, "a long, b long, right boolean").filter("right").select("a", "b")
+    return both.mapInArrow(checked, "a long, b long, right boolean").filter("right").select("a", "b").distinct()
 
 
 def close_pairs(bucket: pa.Table) -> pa.Table:
@@ -230,19 +263,17 @@ def close_pairs(bucket: pa.Table) -> pa.Table:
     doc, comp, n = (bucket[c].to_numpy() for c in ("doc", "comp", "n"))
     whole = np.array(bucket["whole"].to_pylist(), bool)
     right = np.array(bucket["right"].to_pylist(), bool)
+    one_block = bool((left & right).all())
     marks = bucket["sketch"].to_pylist()
     width = min(map(len, marks))
-    rows = []
-    for m in marks:
-        x = np.frombuffer(m, np.uint8)
-        while len(x) > width:  # fold by halves: bit places are taken modulo the smaller power of two
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        rows.append(x)
-    bits = np.stack(rows).view(np.uint64)
+    bits = np.stack([folded(m, width) for m in marks]).view(np.uint64)
     out_a, out_b = [], []
     at_right = np.flatnonzero(right)
     for i in np.flatnonzero(left):
-        other = at_right[(comp[at_right] != comp[i]) & (whole[at_right] | whole[i])]
+        apart = comp[at_right] > comp[i] if one_block else comp[at_right] != comp[i]
+        other = at_right[apart & (whole[at_right] | whole[i])]
+        if not len(other):
+            continue
         most = allowed(n[other], n[i])
         near = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most
         near &= np.abs(n[other] - n[i]) <= most
@@ -255,7 +286,10 @@ def close_pairs(bucket: pa.Table) -> pa.Table:
 def across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket, aren't ``tried`` and may be similar enough."""
     named = buckets.join(comps.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", "whole", F.coalesce("root", "doc").alias("comp"))
-    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).filter("lo <> hi").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    members = F.sum(F.xxhash64("doc", "whole") % (1 << 40))
+    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"), members.alias("members"), F.sum(F.xxhash64("whole", "doc") % (1 << 40)).alias("again")).filter("lo <> hi")
+    # buckets with just the same members give the same pairs: one of them is compared
+    several = several.groupBy("lo", "hi", "rows", "members", "again").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     rows = named.join(several, "key").join(sets.select("doc", "n", "sketch"), "doc")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "doc", "whole", "comp", "n", "sketch", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
@@ -278,13 +312,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bucket = Window.partitionBy("key")
     shared = index.withColumn("rows", F.count("*").over(bucket)).filter("rows > 1").withColumn("rep", F.min(F.when(F.col("whole"), F.col("doc"))).over(bucket))
     buckets = written(shared.filter("rep IS NOT NULL").select("key", "doc", "whole", "rep"), "buckets")
-    pairs = written(buckets.filter("doc <> rep").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct(), "pairs")
-    wanted = buckets.select("doc").distinct()
-    sets = written(sets_of(docs, wanted, id_col, text_col, words), "elements")
-    links = written(verified(pairs, sets), "links")
-    first = components(links)
-    more = written(across(buckets, first, sets, pairs), "pairs")
-    links2 = written(verified(more, sets), "links")
+    marks = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
+    pairs = buckets.filter("doc <> rep").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
+    near = written(possible(pairs, marks), "pairs")
+    links = written(verified(near, elements_of(docs, near, id_col, text_col, words)), "links")
+    first = written(components(links), "components")
+    more = written(across(buckets, first, marks, near), "pairs")
+    links2 = verified(more, elements_of(docs, more, id_col, text_col, words))
     comps = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links2))
     named = table
     if heavy:
