@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Word boundary that is the same in every engine: no letter, digit or underscore touches the term.
 NO_WORD_BEFORE, NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -107,7 +108,7 @@ def letters_only(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text):
     """Unicode composition, which Spark has no built-in for; for ingest, so queries needn't repeat it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
