@@ -31,13 +31,20 @@ def carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         held = [named[0], *(n if n is not None else h for n, h in zip(named[1:], held[1:4], strict=True)), held[4] + 1]
         rows.append((key[0], t["turn"], *held[:4]))
     state.update(tuple(held))
-    state.setTimeoutDuration(24 * 3600 * 1000)
     yield pd.DataFrame(rows, columns=["conv_id", "turn", "intent", "crop", "topic", "place"])
 
 
-def dialogue(turns: DataFrame) -> DataFrame:
-    """Streamed classified turns with carried state; a conversation is forgotten a day after its last turn."""
-    return turns.groupBy("conv_id").applyInPandasWithState(carry, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def dialogue(turns: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
+    """Streamed classified turns with carried state. With ``forget_after_ms`` a conversation is forgotten so long after
+    its last turn; such a stream never runs out of batches, so it suits continuous triggers only."""
+
+    def carried(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from carry(key, batches, state)
+        if forget_after_ms is not None and state.exists:
+            state.setTimeoutDuration(forget_after_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return turns.groupBy("conv_id").applyInPandasWithState(carried, OUT, STATE, "append", timeout)
 
 
 def event_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
