@@ -89,8 +89,21 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def later_copies(h: np.ndarray, context: np.ndarray, docs: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which anchors have an earlier one of the same hash and context among these."""
+    order = np.lexsort((at, rows, docs, context, h))
+    same = (h[order][1:] == h[order][:-1]) & (context[order][1:] == context[order][:-1])
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = True
+    return out
+
+
 def anchor_table(rows: DataFrame) -> DataFrame:
-    """(h, context, doc_id, row, at) of every anchor; at holds its place and its windows in one number."""
+    """(key, h, context, doc_id, row, at, copy) of every anchor; at holds its place and its windows in one number.
+
+    An anchor with an equal context earlier in the same block of texts is a copy already; it needs no comparison, so its
+    key is spread at random. A line that every document repeats meets in one task only once a block.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,20 +116,26 @@ def anchor_table(rows: DataFrame) -> DataFrame:
                         parts.append((h, context, np.full(len(h), i), (place << 16) | ((place - first) << 8) | (last - first)))
                 if parts:
                     h, context, who, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    docs, names = (np.asarray(b.column(c).fill_null(-(1 << 63))) for c in (0, 2))
+                    copy = later_copies(h, context, docs[who], names[who], at)
+                    key = np.where(copy, (h ^ (names[who] * 0x9E3779B1) ^ (at << 7)), h)
                     who = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(context), b.column(0).take(who), b.column(2).take(who), pa.array(at)], ["h", "context", "doc_id", "row", "at"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key), pa.array(h), pa.array(context), b.column(0).take(who), b.column(2).take(who), pa.array(at), pa.array(copy)], ["key", "h", "context", "doc_id", "row", "at", "copy"]
+                    )
 
-    return rows.select("doc_id", "text", "row").mapInArrow(made, "h long, context long, doc_id long, row long, at long")
+    return rows.select("doc_id", "text", "row").mapInArrow(made, "key long, h long, context long, doc_id long, row long, at long, copy boolean")
 
 
 def compared(table: DataFrame) -> DataFrame:
     """(h, row, at, copy) of anchors that repeat: copy, if an equal context is earlier; else the earliest of its context,
     where the anchor has others."""
-    several = Window.partitionBy("h")
-    same = Window.partitionBy("h", "context")
+    several = Window.partitionBy("key")
+    same = Window.partitionBy("key", "context")
     place = F.struct("doc_id", "row", "at")
-    many = table.withColumn("lo", F.min("context").over(several)).withColumn("hi", F.max("context").over(several)).withColumn("n", F.count("*").over(several)).filter("n > 1")
-    marked = many.withColumn("copy", F.min(place).over(same) < place)
+    live = lambda c: F.when(~F.col("copy"), F.col(c))
+    many = table.withColumn("lo", F.min(live("context")).over(several)).withColumn("hi", F.max(live("context")).over(several)).withColumn("n", F.count("*").over(several)).filter("n > 1 OR copy")
+    marked = many.withColumn("copy", F.col("copy") | (F.min(F.when(~F.col("copy"), place)).over(same) < place))
     return marked.filter("copy OR lo <> hi").select("h", "row", "at", "copy")
 
 
