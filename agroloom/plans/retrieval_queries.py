@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,19 @@ fu AS (SELECT item_id, section, round(sum(part), 6) AS score, min(list * 1000 +
 fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first_seen) AS rank FROM fu)
 """
 
+#: The second pass: the same lists for the queries of ``retry``, their names with an appended 2.
+RETRY_CTE = f"""
+rt AS (SELECT item_id, term, df.df AS held, row_number() OVER (PARTITION BY item_id ORDER BY df.df, term) AS n, count(*) OVER (PARTITION BY item_id) AS m
+       FROM (SELECT DISTINCT item_id, term FROM qt) JOIN df USING (term)
+       WHERE item_id IN (SELECT item_id FROM fr WHERE rank = 1 AND NOT coalesce(dense_rank = 1 AND sparse_rank = 1, false))),
+retry AS (SELECT item_id, r.text FROM (SELECT item_id, string_agg(term, ' ' ORDER BY held, term) AS text FROM rt WHERE n <= (m + 1) // 2 GROUP BY item_id) r
+          JOIN benchmark b USING (item_id) WHERE r.text <> lower(trim(b.text))),
+""" + re.sub(
+    r"\b(qv_c|qv|ds|dl20|qt|sc|sl20|dsec|ssec|un|fu|fr)\b",
+    r"\g<1>2",
+    ", ".join(x.strip().rstrip(",") for x in (hash_cte("qv", "retry", "item_id"), "ds AS" + DENSE_CTE.split("ds AS")[1], "qt AS" + SPARSE_CTE.split("qt AS")[1].replace("benchmark", "retry"), "dsec AS" + FUSE_CTE.split("dsec AS")[1])),
+)
+
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
@@ -112,27 +127,31 @@ def section_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("section"))
 
 
-def section_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Dense and sparse hits, the best of each section, five sections a list."""
-    (docs,) = tables(spark, sf_dir, "documents")
+def section_lists(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse hits of the queries ``asked``, the best of each section, five sections a list."""
     secs = section_of(docs)
-    sparse = R.ranked(bm25_scores(spark, sf_dir), 20)
-    return tuple(R.best_per_section(hits.join(secs, "doc_id"), ["section"], 5) for hits in (dense_list(spark, sf_dir), sparse))
+    dense = R.dense_top_k(R.hashed(docs), R.hashed(asked, "item_id"), 20)
+    sparse = R.ranked(R.bm25(docs, asked), 20)
+    return tuple(R.best_per_section(hits.join(secs, "doc_id"), ["section"], 5) for hits in (dense, sparse))
 
 
 def best_chunk_per_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_lists(spark, sf_dir)[1].select("item_id", "doc_id", "section", "score", F.col("rank").cast("long").alias("rank"))
+    return section_lists(*tables(spark, sf_dir, "documents", "benchmark"))[1].select("item_id", "doc_id", "section", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, section, doc_id, score, rank, rank_0, rank_1) of all fused sections."""
-    dense, sparse = section_lists(spark, sf_dir)
+def hybrid_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, section, doc_id, score, rank, rank_0, rank_1) of all fused sections of the queries ``asked``."""
+    dense, sparse = section_lists(docs, asked)
     dense, sparse = dense.withColumn("list", F.lit(0)), sparse.withColumn("list", F.lit(1))
     fused = R.fuse([dense, sparse], "section")
     shown = dense.unionByName(sparse).groupBy("item_id", "section").agg(F.min_by("doc_id", F.struct("list", "rank")).alias("doc_id"))
     return fused.join(shown, ["item_id", "section"])
 
 
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_of(*tables(spark, sf_dir, "documents", "benchmark"))
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hybrid(spark, sf_dir)
     return h.select("item_id", "section", "doc_id", "score", *(F.coalesce(F.col(a), F.lit(0)).cast("long").alias(b) for a, b in (("rank", "rank"), ("rank_0", "dense_rank"), ("rank_1", "sparse_rank"))))
@@ -164,14 +183,43 @@ def filtered_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrective_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries whose lists disagree are searched again by their rarer half of terms; the second answer counts if the
-    sparse list's first hit is also the fused first."""
+    """One pass: the fused first hit of each query, judged by the ranks it has in the two lists. Nothing is searched
+    again; ``corrective_retry_two_pass`` does that."""
     first = hybrid(spark, sf_dir).filter("rank = 1").select("item_id", "doc_id", "section", "rank_0", "rank_1")
     sure = F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False))
     again = F.coalesce(F.col("rank_1") == 1, F.lit(False))
     return first.select("item_id", "doc_id", F.when(sure, "confident").when(again, "corrected").otherwise("low_confidence").alias("status"))
 
 
+def retry_queries(docs: DataFrame, unsure: DataFrame) -> DataFrame:
+    """(item_id, text): the rarer half (rounded up) of the distinct terms of each query that the corpus holds, rarest
+    first, ties by term; no row where that is the query itself or nothing."""
+    asked = R.query_terms(unsure).select("item_id", "term")
+    held = R.document_terms(docs).select(F.explode(F.array_distinct("tokens")).alias("term"))
+    df = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    by_df = asked.join(df, "term").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
+    half = by_df.select("item_id", F.array_join(F.slice("terms", 1, F.ceil(F.size("terms") / 2).cast("int")), " ").alias("text"))
+    same = unsure.select("item_id", F.lower(F.trim("text")).alias("before"))
+    return half.join(same, "item_id").filter("text <> before").drop("before")
+
+
+def corrective(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, doc_id, status): where the lists of the first pass don't agree on the first hit, a second pass over
+    the same corpus asks for the rarer half of the terms. Its answer counts if its fused first is its sparse first
+    ('corrected'), else the first pass's answer stands ('low_confidence')."""
+    first = hybrid_of(docs, asked).filter("rank = 1").select("item_id", "doc_id", F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False)).alias("sure"))
+    first = first.persist()  # one row a query; both passes start from it
+    retried = retry_queries(docs, asked.join(first.filter("NOT sure").select("item_id"), "item_id", "left_semi"))
+    second = hybrid_of(docs, retried).filter("rank = 1 AND rank_1 = 1").select("item_id", F.col("doc_id").alias("again"))
+    status = F.when(F.col("sure"), "confident").when(F.col("again").isNotNull(), "corrected").otherwise("low_confidence")
+    return first.join(second, "item_id", "left").select("item_id", F.coalesce("again", "doc_id").alias("doc_id"), status.alias("status"))
+
+
+def corrective_retry_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries whose lists disagree are searched again by the rarer half of their terms."""
+    return corrective(*tables(spark, sf_dir, "documents", "benchmark"))
+
+
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     header = F.concat(F.lit("["), "source", F.lit("] "))
@@ -180,7 +228,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_terms, doc_freq_top, bm25_topk, bm25_single_terms, bm25_okapi_topk, dense_topk, hash_embed, hash_dense_topk, best_chunk_per_section, rrf_fusion, hybrid_flagship, agreement_confidence, section_siblings, filtered_hybrid, corrective_retry, chunk_windows)
+    for f in (tokenize_terms, doc_freq_top, bm25_topk, bm25_single_terms, bm25_okapi_topk, dense_topk, hash_embed, hash_dense_topk, best_chunk_per_section, rrf_fusion, hybrid_flagship, agreement_confidence, section_siblings, filtered_hybrid, corrective_retry, corrective_retry_two_pass, chunk_windows)
 }
 
 SPARSE_OUT = "SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {0}) WHERE rank <= 5 AND score > 0"
@@ -205,4 +253,7 @@ SQL = {
     "section_siblings": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, ch AS (SELECT item_id, section, doc_id FROM fr WHERE rank <= 3) SELECT item_id, section, doc_id, n FROM (SELECT c.item_id, c.section, s.doc_id, row_number() OVER (PARTITION BY c.item_id, c.section ORDER BY s.doc_id) AS n FROM ch c JOIN secs s USING (section) WHERE s.doc_id <> c.doc_id) WHERE n <= 3",
     "filtered_hybrid": f"WITH {BM25_CTE}, fl AS (SELECT sc.* FROM sc JOIN documents d USING (doc_id) WHERE starts_with(lower(d.lang), 'en')) {SPARSE_OUT.format('fl')}",
     "corrective_retry": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE} SELECT item_id, doc_id, CASE WHEN dense_rank = 1 AND sparse_rank = 1 THEN 'confident' WHEN sparse_rank = 1 THEN 'corrected' ELSE 'low_confidence' END AS status FROM fr WHERE rank = 1",
+    "corrective_retry_two_pass": f"""WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, {RETRY_CTE}
+SELECT f.item_id, coalesce(g.doc_id, f.doc_id) AS doc_id, CASE WHEN f.dense_rank = 1 AND f.sparse_rank = 1 THEN 'confident' WHEN g.doc_id IS NOT NULL THEN 'corrected' ELSE 'low_confidence' END AS status
+FROM fr f LEFT JOIN (SELECT item_id, doc_id FROM fr2 WHERE rank = 1 AND sparse_rank = 1) g USING (item_id) WHERE f.rank = 1""",
 }
