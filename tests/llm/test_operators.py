@@ -205,6 +205,13 @@ def test_base_spans_against_the_patterns():
     assert pii.base_spans("a" * 200_000 + "1" * 200_000 + "@" * 50_000) == []
 
 
+@pytest.mark.parametrize("at", ["{at}", "<at>", "[ at ]", "[AT]", "(AT)", " at ", " At ", " @ "])
+def test_every_loose_form_of_an_address_is_proposed(at):
+    found = pii.candidates(f"ask jane.doe{at}example.com now")
+    assert found == [("email", 4, 4 + len(f"jane.doe{at}example.com"))]
+    assert pii.candidates(f"ask jane.doe{at}example.com now @ dot") == found
+
+
 def test_pii_learns_other_forms_and_redacts(spark, docs, empty):
     r = random.Random(2)
     rows = []
