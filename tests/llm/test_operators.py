@@ -212,6 +212,36 @@ def test_every_loose_form_of_an_address_is_proposed(at):
     assert pii.candidates(f"ask jane.doe{at}example.com now @ dot") == found
 
 
+def test_pii_sample_isnt_filled_by_copies(spark, monkeypatch):
+    seen = []
+    plain = pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, frame: (seen.extend(frame.collect()), plain(self, frame))[1])
+    r = random.Random(3)
+    copies = ["mail me@shop1.example.com", "ask you@host2.example.org at once", "from 10.1.2.3 and 10.4.5.6", "call +1 (202) 555-0143 soon"]
+    rows = [(i, copies[i % 4]) for i in range(6000)]
+    for i in range(300):
+        rows.append((9000 + i, f"{prose(i, 8)} mail u{i}.x@host{i % 9}.example.com {prose(i + 1, 8)} from 10.{i % 250}.3.{r.randint(1, 99)}"))
+    selector = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=800)
+    features = [tuple(row.features) for row in seen]
+    assert len(features) == len(set(features)) > 200  # no example twice, and copies leave room for the others
+    assert {row.label for row in seen} == {0.0, 1.0} and "email" in selector.thresholds
+
+
+def test_pii_halves_share_no_example(spark, monkeypatch):
+    scored, seen = [], []
+    plain, score = pii.GBTClassifier.fit, pii.Selector.score
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, frame: (seen.extend(frame.collect()), plain(self, frame))[1])
+    monkeypatch.setattr(pii.Selector, "score", lambda self, x: (scored.append(tuple(x)), score(self, x))[1])
+    rows = [(i, f"{prose(i % 60, 8)} mail u{i % 60}.x@host{i % 9}.example.com") for i in range(600)]
+    pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert scored and seen and not set(scored) & {tuple(row.features) for row in seen}
+
+
+def test_pii_quotas():
+    assert pii.quotas({"a": 3, "b": 100, "c": 1000}, 203) == {"a": 3, "b": 100, "c": 100}
+    assert pii.quotas({"a": 5}, 8) == {"a": 5} and pii.quotas({}, 8) == {}
+
+
 def test_pii_learns_other_forms_and_redacts(spark, docs, empty):
     r = random.Random(2)
     rows = []
