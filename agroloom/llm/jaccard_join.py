@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join by universe-partition pigeonhole, and its connected components.
 
 A text's set holds its distinct word shingles as 64-bit hashes. Two sets x, y (x the smaller) with a Jaccard similarity
-of at least J = 85/100 differ in at most H = floor((1 - J) / J * |x|) elements.
+of at least J (85/100 unless told otherwise) differ in at most H = floor((1 - J) / J * |x|) elements.
 
 1. Sizes fall into bands, each about 1.25 times as wide as the one before. A pair belongs to the band of its smaller
    set, so a set takes part in its own band and in that of the smallest partner it may have.
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from agroloom.llm.common import texts, utf8, written
 from agroloom.llm.graph import components
 
-#: Words of a shingle; least similarity as a fraction.
-WORDS, NUM, DEN = 4, 85, 100
+#: Words of a shingle; least similarity as a fraction (numerator, denominator).
+WORDS, LEAST = 4, (85, 100)
 #: Most groups of equal sets that are broadcast.
 HEAVY = 1024
 BAND_RATIO = 1.25
@@ -114,10 +114,10 @@ def band_of(sizes) -> np.ndarray:
     return np.searchsorted(BANDS, sizes, side="right") - 1
 
 
-def allocation(band: int, sets: int) -> tuple[int, int]:
+def allocation(band: int, sets: int, least: tuple[int, int] = LEAST) -> tuple[int, int]:
     """(segments, those of them that tolerate one difference) of a band that ``sets`` sets take part in."""
     low, high = int(BANDS[band]), int(BANDS[band + 1]) - 1
-    cover = (DEN - NUM) * high // NUM + 1
+    cover = (least[1] - least[0]) * high // least[0] + 1
     j = np.arange(cover // 2 + 1)
     segments = cover - j
     width = low / segments
@@ -128,10 +128,10 @@ def allocation(band: int, sets: int) -> tuple[int, int]:
     return int(segments[best]), best
 
 
-def index_keys(s: np.ndarray, plan: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def index_keys(s: np.ndarray, plan: dict[int, tuple[int, int]], least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(keys, whether each stands for a whole subset) under which a set is indexed."""
     n = len(s)
-    first, last = (int(b) for b in band_of([-(-NUM * n // DEN), n]))
+    first, last = (int(b) for b in band_of([-(-least[0] * n // least[1]), n]))
     keys, whole = [], []
     high = s >> U(32)
     for band in range(first, last + 1):
@@ -155,17 +155,17 @@ def segment_tags(band: int, segments: int) -> np.ndarray:
     return mixed(np.arange(segments, dtype=U) + U((band + 1) << 32))
 
 
-def allowed(n1, n2):
+def allowed(n1, n2, least: tuple[int, int] = LEAST):
     """Most differing elements of linked sets of these sizes."""
-    return (DEN - NUM) * (n1 + n2) // (DEN + NUM)
+    return (least[1] - least[0]) * (n1 + n2) // (least[1] + least[0])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-    return DEN * both >= NUM * (len(a) + len(b) - both) and both > 0
+    return least[1] * both >= least[0] * (len(a) + len(b) - both) and both > 0
 
 
 def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -180,7 +180,7 @@ def set_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return texts(docs, id_col, text_col).mapInArrow(measured, "doc_id long, n_shingles long, digest binary, sketch binary")
 
 
-def index_table(docs: DataFrame, plan: dict[int, tuple[int, int]], heavy: dict[bytes, int], id_col: str, text_col: str, words: int) -> DataFrame:
+def index_table(docs: DataFrame, plan: dict[int, tuple[int, int]], heavy: dict[bytes, int], id_col: str, text_col: str, words: int, least: tuple[int, int] = LEAST) -> DataFrame:
     """(key, doc, whole): index rows of every text that has words, one text for each heavy group."""
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def index_table(docs: DataFrame, plan: dict[int, tuple[int, int]], heavy: dict[b
                     s = shingles(text)
                     if doc is None or not len(s) or heavy and heavy.get(set_digest(s), doc) != doc:
                         continue
-                    k, w = index_keys(s, plan)
+                    k, w = index_keys(s, plan, least)
                     docs_.append(np.full(len(k), doc, np.int64))
                     keys.append(k)
                     whole.append(w)
@@ -211,17 +211,17 @@ def folded(mark: bytes, width: int) -> np.ndarray:
     return x
 
 
-def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+def possible(pairs: DataFrame, marks: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """The pairs (a, b) that sizes and sketches can't rule out."""
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n1, n2 = b.column(2).to_numpy(), b.column(3).to_numpy()
-            right = np.abs(n1 - n2) <= allowed(n1, n2)
+            right = np.abs(n1 - n2) <= allowed(n1, n2, least)
             x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
             for i in np.flatnonzero(right):
                 width = min(len(x[i]), len(y[i]))
-                right[i] = np.bitwise_count(folded(x[i], width) ^ folded(y[i], width)).sum() <= allowed(n1[i], n2[i])
+                right[i] = np.bitwise_count(folded(x[i], width) ^ folded(y[i], width)).sum() <= allowed(n1[i], n2[i], least)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(right, pa.bool_())], ["a", "b", "right"])
 
     one = marks.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
@@ -243,12 +243,12 @@ def elements_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
     return texts(docs, id_col, text_col).join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(built, "doc long, elements binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by their elements."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            right = [linked(np.frombuffer(x, U), np.frombuffer(y, U)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            right = [linked(np.frombuffer(x, U), np.frombuffer(y, U), least) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(right, pa.bool_())], ["a", "b", "right"])
 
     one = sets.select(F.col("doc").alias("b"), F.col("elements").alias("of_b"))
@@ -257,7 +257,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(checked, "a long, b long, right boolean").filter("right").select("a", "b").distinct()
 
 
-def close_pairs(bucket: pa.Table) -> pa.Table:
+def close_pairs(bucket: pa.Table, least: tuple[int, int] = LEAST) -> pa.Table:
     """Pairs of one block pair of a bucket, in different components, that the sketches can't rule out."""
     left = np.array(bucket["left"].to_pylist(), bool)
     doc, comp, n = (bucket[c].to_numpy() for c in ("doc", "comp", "n"))
@@ -274,7 +274,7 @@ def close_pairs(bucket: pa.Table) -> pa.Table:
         other = at_right[apart & (whole[at_right] | whole[i])]
         if not len(other):
             continue
-        most = allowed(n[other], n[i])
+        most = allowed(n[other], n[i], least)
         near = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most
         near &= np.abs(n[other] - n[i]) <= most
         for k in other[near]:
@@ -283,7 +283,7 @@ def close_pairs(bucket: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, tried: DataFrame) -> DataFrame:
+def across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, tried: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket, aren't ``tried`` and may be similar enough."""
     named = buckets.join(comps.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", "whole", F.coalesce("root", "doc").alias("comp"))
     members = F.sum(F.xxhash64("doc", "whole") % (1 << 40))
@@ -293,11 +293,15 @@ def across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, tried: DataFra
     rows = named.join(several, "key").join(sets.select("doc", "n", "sketch"), "doc")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "doc", "whole", "comp", "n", "sketch", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
-    pairs = rows.groupBy("key", "p", "q").applyInArrow(close_pairs, "a long, b long").distinct()
+
+    def close(bucket: pa.Table) -> pa.Table:
+        return close_pairs(bucket, least)
+
+    pairs = rows.groupBy("key", "p", "q").applyInArrow(close, "a long, b long").distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id that links reach."""
     table = written(set_table(docs, id_col, text_col, words), "sets")
     n = table.count()
@@ -307,18 +311,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # sets in each band: a fixed number of bands
     sizes = table.filter("n_shingles > 0").withColumn("band", band_column("n_shingles")).groupBy("band").count().collect()
     per = {r.band: r["count"] for r in sizes}
-    plan = {b: allocation(b, per.get(b, 0) + per.get(b + 1, 0)) for b in range(max(per, default=0) + 1)}
-    index = index_table(docs, plan, heavy, id_col, text_col, words)
+    plan = {b: allocation(b, per.get(b, 0) + per.get(b + 1, 0), least) for b in range(max(per, default=0) + 1)}
+    index = index_table(docs, plan, heavy, id_col, text_col, words, least)
     bucket = Window.partitionBy("key")
     shared = index.withColumn("rows", F.count("*").over(bucket)).filter("rows > 1").withColumn("rep", F.min(F.when(F.col("whole"), F.col("doc"))).over(bucket))
     buckets = written(shared.filter("rep IS NOT NULL").select("key", "doc", "whole", "rep"), "buckets")
     marks = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
     pairs = buckets.filter("doc <> rep").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
-    near = written(possible(pairs, marks), "pairs")
-    links = written(verified(near, elements_of(docs, near, id_col, text_col, words)), "links")
+    near = written(possible(pairs, marks, least), "pairs")
+    links = written(verified(near, elements_of(docs, near, id_col, text_col, words), least), "links")
     first = written(components(links), "components")
-    more = written(across(buckets, first, marks, near), "pairs")
-    links2 = verified(more, elements_of(docs, more, id_col, text_col, words))
+    more = written(across(buckets, first, marks, near, least), "pairs")
+    links2 = verified(more, elements_of(docs, more, id_col, text_col, words), least)
     comps = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links2))
     named = table
     if heavy:
@@ -335,8 +339,8 @@ def band_column(size: str):
     return F.size(F.filter(F.lit(BANDS.tolist()), lambda low: low <= F.col(size))) - 1
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; all columns as they were."""
-    found = jaccard_components(docs, id_col, text_col, words)
+    found = jaccard_components(docs, id_col, text_col, words, least)
     gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from agroloom.llm import bpe, chat, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, topk_search, toxicity
 from agroloom.llm import queries as Q
 from agroloom.llm.graph import components
@@ -315,6 +316,64 @@ def test_jaccard_near_the_threshold(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(frame).collect()} == jaccard_brute(rows)
 
 
+def brute_roots(sets, num, den):
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_jaccard_with_other_words_and_threshold(spark):
+    r = random.Random(16)
+    base = [f"v{i}" for i in range(100)]
+    rows = [" ".join(base), " ".join(base + [f"u{i}" for i in range(20)])]  # 96/116 of five words, 97/117 of four
+    for size in (5, 12, 60, 300):
+        some = [f"v{r.randrange(10**6)}" for _ in range(size)]
+        rows += [edited(some, r, r.randint(0, size // 30 + 1)) for _ in range(25)]
+    rows = list(enumerate(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_components(frame, words=5, least=(80, 100)).collect()}
+    assert got == brute_roots(sets, 80, 100) and got[1] == 0
+    assert [x.doc_id for x in jaccard_join.keep_one_of_each(frame.filter("doc_id < 2"), words=5, least=(80, 100)).collect()] == [0]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    r = random.Random(21)
+    rows = []
+    for i in range(150):
+        toxic = i % 6 == 0
+        rows.append((i, prose(3000 + i, r.randint(30, 60)).replace("idiot", "stone") + (" you idiot, zappoid zappers" if toxic else "") + (f" mail u{i}.x@host{i % 9}.example.com from 10.{i}.3.7" if i % 4 == 1 else "")))
+    rows += [(200 + i, rows[i][1].upper()) for i in range(20)] + [(300 + i, rows[i][1] + " harvest now") for i in range(20)] + [(400, None), (401, ""), (402, "one two")]
+    spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = collections.defaultdict(bytes)
+    for p in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda p: (p.doc_id, p.start)):
+        assert len(p.ids) == 4 * p.length and p.start * 4 == len(got[p.doc_id])
+        got[p.doc_id] += bytes(p.ids)
+    # stage by stage in plain Python, with the same fitted models
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    scores = {x.doc_id: x.score for x in toxicity.score(read, toxicity.fit(read, spark.read.parquet(str(tmp_path / "labels.parquet")))).collect()}
+    clean = [(i, t) for i, t in rows if scores[i] < 0.3]
+    best = {}
+    for i, t in clean:
+        best[lowered(t)] = max(i, best.get(lowered(t), i))
+    single = [(i, t) for i, t in clean if best[lowered(t)] == i]
+    roots = jaccard_brute(single)
+    alone = [(i, t) for i, t in single if roots[i][1] == i]
+    assert len(rows) > len(clean) > len(single) > len(alone) > 50
+    frame = spark.createDataFrame(alone, "doc_id long, text string")
+    selector = pii.fit(frame)
+    hidden = [(i, t if t is None else pii.redacted_text(t, selector.spans(t)[1])) for i, t in alone]
+    assert any("[EMAIL]" in t for _, t in hidden if t) and not any("@" in t for _, t in hidden if t)
+    coder = word_encoder(public_path("word_bpe_49k.json"))
+    assert got == {i: np.append(coder.encode(t or ""), packing.END_ID).astype("<u4").tobytes() for i, t in hidden}
+
+
 def test_allocation_covers_every_pair():
     for band in range(40):
         for n in (1, 1000, 10**7):
