@@ -9,8 +9,8 @@ Queries against all rows go in blocks: candidates are dealt by id into ``cells``
 on one pair of them; memory is bounded by the size of a cell. A candidate is sent once for each query group, a query
 once for each candidate cell, and each cell returns at most k rows a query; a window takes the k best of those.
 
-Edge cases: null vectors, and vectors with a null or non-finite component or of another length than the pivots', take
-no part. Rows that repeat both id and vector count once; a query's own row is told by its id, so other vectors of that
+Edge cases: null vectors, and vectors with a null or non-finite component or of another length than the
+commonest, take no part. Rows that repeat both id and vector count once; a query's own row is told by its id, so other vectors of that
 id are left out with it. Ties go to the smaller id. Fewer than k candidates give all of them; an empty table an empty
 result. Scores beyond 64 bits are held at the bounds of long. Other columns are never read.
 """
@@ -39,9 +39,13 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCAL
 
 
 def pivots_of(rows: DataFrame, most: int = PIVOTS) -> np.ndarray:
-    """At most ``most`` vectors, chosen by hash: the only rows that reach the driver."""
-    held = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(most).collect()
-    return np.array([r.v for r in held if len(r.v) == len(held[0].v)], dtype=np.int64)
+    """At most ``most`` vectors of the commonest length above 0 (the smaller of equally common ones), chosen by hash:
+    the only rows that reach the driver."""
+    sizes = rows.filter(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not sizes:
+        return np.zeros((0, 0), dtype=np.int64)
+    held = rows.filter(F.size("v") == sizes[0].n).orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(most).collect()
+    return np.array([r.v for r in held], dtype=np.int64)
 
 
 def with_distances(rows: DataFrame, pivots: np.ndarray) -> DataFrame:

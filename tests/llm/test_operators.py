@@ -130,6 +130,20 @@ def test_top_k_many_cells_and_large_values(spark, monkeypatch):
         assert [got[q, n] for n in range(1, 6)] == [(i, -s) for s, i in want]
 
 
+@pytest.mark.parametrize("spread", [0, 100])
+def test_top_k_keeps_the_commonest_length(spark, spread):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    rows += [(1000 + i, [1.0] * (5 + i % spread if spread else 0)) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.top_k(frame, F.col("vec_id") % 10 == 0, 5).collect()}
+    whole = {i: [int(x) for x in np.floor(64 * np.array(v))] for i, v in rows if len(v) == 4}
+    assert {q for q, _ in got} == set(range(0, 60, 10))
+    for q in range(0, 60, 10):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        assert [got[q, n] for n in range(1, 6)] == [(i, -s) for s, i in want]
+
+
 def test_top_k_of_nothing(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
