@@ -377,8 +377,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for i, t in clean:
         best[lowered(t)] = max(i, best.get(lowered(t), i))
     single = [(i, t) for i, t in clean if best[lowered(t)] == i]
-    roots = jaccard_brute(single)
-    alone = [(i, t) for i, t in single if roots[i][1] == i]
+    cut = {i: re.findall("[^\x20\x09-\x0d]+", lowered(t)) for i, t in single}
+    roots = brute_roots({i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in cut.items()}, 80, 100)
+    alone = [(i, t) for i, t in single if roots[i] == i]
     assert len(rows) > len(clean) > len(single) > len(alone) > 50
     frame = spark.createDataFrame(alone, "doc_id long, text string")
     selector = pii.fit(frame)
