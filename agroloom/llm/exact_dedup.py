@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agroloom.llm.common import texts, utf8, written
+from agroloom.llm.common import texts, unused, utf8, written
 
 #: Counters of a Misra-Gries summary, and the most rows that are ever broadcast.
 COUNTERS = 1024
@@ -112,16 +112,16 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeat both doc_id and text are reduced to one.
     """
     groups = exact_groups(docs, id_col, text_col, counters)
+    gone_id, gone_stay, digest, stay_id, stay_digest = (unused(n, docs.columns) for n in ("gone_id", "gone_stay", "digest", "stay_id", "stay_digest"))
     gone = groups.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows")).filter("stay < rows")
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("stay").alias("__gone_stay"))
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__gone_id"]), "left")
-    clear = joined.filter("__gone_stay IS NULL").select(*(docs[c] for c in docs.columns))
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("stay").alias(gone_stay))
+    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[gone_id]), "left")
+    clear = joined.filter(gone[gone_stay].isNull()).select(*(docs[c] for c in docs.columns))
     # a doc_id that several rows share, some of them kept: choose among its rows by digest
-    mixed = joined.filter("__gone_stay > 0").select(*(docs[c] for c in docs.columns))
-    text = F.coalesce(mixed[text_col], F.lit(""))
-    mixed = mixed.withColumn("__norm", F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    mixed = mixed.withColumn("__digest", F.unhex(F.sha2("__norm", 256))).drop("__norm")
-    stay = groups.filter("kept").select(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_digest"))
-    mixed = mixed.join(stay, mixed[id_col].cast("long").eqNullSafe(stay["__stay_id"]) & (mixed["__digest"] == stay["__stay_digest"]), "left_semi")
-    mixed = mixed.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    mixed = joined.filter(gone[gone_stay] > 0).select(*(docs[c] for c in docs.columns))
+    norm = F.translate(F.coalesce(mixed[text_col], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    mixed = mixed.withColumn(digest, F.unhex(F.sha2(norm, 256)))
+    stay = groups.filter("kept").select(F.col("doc_id").alias(stay_id), F.col("text_sha256").alias(stay_digest))
+    mixed = mixed.join(stay, mixed[id_col].cast("long").eqNullSafe(stay[stay_id]) & (mixed[digest] == stay[stay_digest]), "left_semi")
+    mixed = mixed.dropDuplicates([id_col, digest]).drop(digest)
     return clear.unionByName(mixed)

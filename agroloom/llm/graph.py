@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agroloom.llm.common import written
+from agroloom.llm.common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,12 +13,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes. The smallest neighbour of a node comes from a
     partial aggregation and is joined back, so a hub of any degree is never gathered. Each round is written to the
-    shared folder.
+    shared folder, and the round before it deleted.
+
+    Rows that repeat a link count once, links of a node with itself and links with a null don't count; a node that
+    occurs in no other link has no row. An empty table gives an empty result; other columns are never read.
     """
     edges = written(oriented(links.select("a", "b")), "edges")
     held = fingerprint(edges)
     while held[0]:
-        edges = written(oriented(small_star(large_star(edges))), "edges")
+        before, edges = edges, written(oriented(small_star(large_star(edges))), "edges")
+        discard(before)
         now = fingerprint(edges)
         if now == held:
             break

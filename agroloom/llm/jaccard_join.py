@@ -11,10 +11,12 @@ of at least J (85/100 unless told otherwise) differ in at most H = floor((1 - J)
    expected chance matches, from the number of sets in the band.
 3. The index rows (hash of band, segment and the segment's subset) are shuffled by key. In each bucket every set is
    paired with the smallest one only, and these pairs are verified exactly: links, and components of them.
-4. Buckets that still hold several components are compared across those: parity sketches give lower bounds of the
-   difference that rule out nearly all pairs inside the task; what is left is verified exactly. Large buckets are
-   compared block by block, over many tasks. No pair of a bucket is emitted unless its bound allows a link, so no
-   link is lost and no group is expanded into all its pairs.
+4. Buckets that still hold several components are compared across those, inside the task: parity sketches give lower
+   bounds of the difference that rule out nearly all pairs. Of the pairs that are left only a spanning forest is emitted
+   (fewer rows than the bucket has), so texts that may be linked lie in one group of these forests.
+5. In each group the elements of its texts, sent there once, are compared exactly across components, and a spanning
+   forest of the links is emitted, again fewer rows than texts. Large buckets and groups are compared block by block,
+   over many tasks. No link between components is lost, and no group is expanded into all its pairs.
 
 Groups of equal sets with more than n / 1025 rows are represented by their smallest doc_id: the (at most 1024) hashes
 of such sets are broadcast, and other rows of the group are never indexed.
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agroloom.llm.common import texts, utf8, written
+from agroloom.llm.common import texts, unused, utf8, written
 from agroloom.llm.graph import components
 
 #: Words of a shingle; least similarity as a fraction (numerator, denominator).
@@ -46,8 +48,8 @@ HEAVY = 1024
 BAND_RATIO = 1.25
 #: Cost of a chance match against that of an index row.
 MATCH_COST = 0.3
-#: Rows of a block when a large bucket is compared.
-BLOCK = 2048
+#: Rows of a block when a large bucket or group is compared, and elements of a block of a group.
+BLOCK, BLOCK_ELEMENTS = 2048, 1 << 22
 #: Words whose hashes a task holds.
 MEMO = 400_000
 
@@ -230,17 +232,22 @@ def possible(pairs: DataFrame, marks: DataFrame, least: tuple[int, int] = LEAST)
     return both.mapInArrow(tried, "a long, b long, right boolean").filter("right").select("a", "b").distinct()
 
 
-def elements_of(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc, elements) of the texts that occur in ``pairs``."""
+def elements_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc, elements) of the texts whose ids are ``wanted`` (doc)."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in utf8(b.column(1))], pa.binary())], ["doc", "elements"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # the ids grow with the corpus: a shuffled join at any size
-    return texts(docs, id_col, text_col).join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(built, "doc long, elements binary")
+    ids = wanted.select(F.col("doc").alias("doc_id")).distinct().hint("merge")
+    return texts(docs, id_col, text_col).join(ids, "doc_id", "left_semi").mapInArrow(built, "doc long, elements binary")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(doc) of both sides of ``pairs`` (a, b)."""
+    return pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -257,48 +264,123 @@ def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST)
     return both.mapInArrow(checked, "a long, b long, right boolean").filter("right").select("a", "b").distinct()
 
 
-def close_pairs(bucket: pa.Table, least: tuple[int, int] = LEAST) -> pa.Table:
-    """Pairs of one block pair of a bucket, in different components, that the sketches can't rule out."""
-    left = np.array(bucket["left"].to_pylist(), bool)
-    doc, comp, n = (bucket[c].to_numpy() for c in ("doc", "comp", "n"))
-    whole = np.array(bucket["whole"].to_pylist(), bool)
-    right = np.array(bucket["right"].to_pylist(), bool)
+class Forest:
+    """Disjoint sets of keys, and the edges that made them."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int, edge: tuple[int, int]) -> bool:
+        """Whether x and y were apart; then they are one now, by this edge."""
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        self.edges.append((min(edge), max(edge)))
+        return True
+
+    def table(self) -> pa.Table:
+        a, b = zip(*self.edges, strict=True) if self.edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def side(block: pa.Table, name: str) -> np.ndarray:
+    return block[name].to_numpy(zero_copy_only=False).astype(bool)
+
+
+def compared(left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows of other components that it is still to be compared with) of one pair of blocks."""
+    at_right = np.flatnonzero(right)
+    there = comp[at_right]
     one_block = bool((left & right).all())
+    for i in np.flatnonzero(left):
+        other = at_right[there > comp[i] if one_block else there != comp[i]]
+        if len(other):
+            yield int(i), other
+
+
+def near(i: int, other: np.ndarray, n: np.ndarray, bits: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Those of ``other`` that sizes and sketches can't rule out as linked with row i."""
+    most = allowed(n[other], n[i], least)
+    other, most = (x[np.abs(n[other] - n[i]) <= most] for x in (other, most))
+    return other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most] if len(other) else other
+
+
+def close_forest(bucket: pa.Table, least: tuple[int, int] = LEAST) -> pa.Table:
+    """A spanning forest of the pairs of one block pair of a bucket, in different components, that can't be ruled out."""
+    doc, comp, n = (bucket[c].to_numpy() for c in ("doc", "comp", "n"))
+    whole = side(bucket, "whole")
     marks = bucket["sketch"].to_pylist()
     width = min(map(len, marks))
     bits = np.stack([folded(m, width) for m in marks]).view(np.uint64)
-    out_a, out_b = [], []
-    at_right = np.flatnonzero(right)
-    for i in np.flatnonzero(left):
-        apart = comp[at_right] > comp[i] if one_block else comp[at_right] != comp[i]
-        other = at_right[apart & (whole[at_right] | whole[i])]
-        if not len(other):
-            continue
-        most = allowed(n[other], n[i], least)
-        near = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64) <= most
-        near &= np.abs(n[other] - n[i]) <= most
-        for k in other[near]:
-            out_a.append(min(int(doc[i]), int(doc[k])))
-            out_b.append(max(int(doc[i]), int(doc[k])))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-
-def across(buckets: DataFrame, comps: DataFrame, sets: DataFrame, tried: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket, aren't ``tried`` and may be similar enough."""
+    forest = Forest()
+    for i, other in compared(side(bucket, "left"), side(bucket, "right"), comp):
+        if not whole[i]:
+            other = other[whole[other]]
+        for k in near(i, other, n, bits, least):
+            forest.join(int(doc[i]), int(doc[k]), (int(doc[i]), int(doc[k])))
+    return forest.table()
+
+
+def linked_forest(group: pa.Table, least: tuple[int, int] = LEAST) -> pa.Table:
+    """A spanning forest, over components, of the links of one block pair of a group, by the elements."""
+    doc, comp = (group[c].to_numpy() for c in ("doc", "comp"))
+    sets = [np.frombuffer(x, U) for x in group["elements"].to_pylist()]
+    n = np.array([len(s) for s in sets])
+    marks = [sketch(s) for s in sets]
+    width = min(map(len, marks))
+    bits = np.stack([folded(m, width) for m in marks]).view(np.uint64)
+    forest = Forest()
+    for i, other in compared(side(group, "left"), side(group, "right"), comp):
+        for k in near(i, other, n, bits, least):
+            if forest.find(int(comp[i])) != forest.find(int(comp[k])) and linked(sets[i], sets[k], least):
+                forest.join(int(comp[i]), int(comp[k]), (int(doc[i]), int(doc[k])))
+    return forest.table()
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``blocks``, the blocks of the row's group) once for each pair (p, q) of blocks that it is in, and
+    on which side(s) of the pair it is."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = (F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+    return dealt.select(*(c for c in rows.columns if c != "blocks"), *sides)
+
+
+def possible_links(buckets: DataFrame, comps: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Pairs (a, b): texts of different components that share a bucket and may be linked are connected by them."""
     named = buckets.join(comps.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", "whole", F.coalesce("root", "doc").alias("comp"))
     members = F.sum(F.xxhash64("doc", "whole") % (1 << 40))
     several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"), members.alias("members"), F.sum(F.xxhash64("whole", "doc") % (1 << 40)).alias("again")).filter("lo <> hi")
     # buckets with just the same members give the same pairs: one of them is compared
     several = several.groupBy("lo", "hi", "rows", "members", "again").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(several, "key").join(sets.select("doc", "n", "sketch"), "doc")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "doc", "whole", "comp", "n", "sketch", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+    rows = block_pairs(named.join(several, "key").join(sets.select("doc", "n", "sketch"), "doc"))
 
     def close(bucket: pa.Table) -> pa.Table:
-        return close_pairs(bucket, least)
+        return close_forest(bucket, least)
+
+    return rows.groupBy("key", "p", "q").applyInArrow(close, "a long, b long").distinct()
+
 
-    pairs = rows.groupBy("key", "p", "q").applyInArrow(close, "a long, b long").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+def across(maybe: DataFrame, comps: DataFrame, marks: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links (a, b) that connect the components of ``comps`` as far as the groups of ``maybe`` (a, b) hold any."""
+    groups = components(maybe).select(F.col("node").alias("doc"), F.col("root").alias("key"))
+    named = groups.join(comps.select(F.col("node").alias("doc"), F.col("root").alias("comp")), "doc", "left")
+    named = written(named.select("doc", "key", F.coalesce("comp", "doc").alias("comp")), "groups")
+    sizes = named.join(marks.select("doc", "n"), "doc").groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
+    sizes = sizes.select("key", F.ceil(F.greatest(F.col("rows") / BLOCK, F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    rows = named.join(sizes, "key").join(elements_of(docs, named, id_col, text_col, words), "doc")
+
+    def exact(group: pa.Table) -> pa.Table:
+        return linked_forest(group, least)
+
+    return block_pairs(rows).groupBy("key", "p", "q").applyInArrow(exact, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -318,12 +400,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = written(shared.filter("rep IS NOT NULL").select("key", "doc", "whole", "rep"), "buckets")
     marks = table.filter("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "sketch")
     pairs = buckets.filter("doc <> rep").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct()
-    near = written(possible(pairs, marks, least), "pairs")
-    links = written(verified(near, elements_of(docs, near, id_col, text_col, words), least), "links")
+    stars = written(possible(pairs, marks, least), "pairs")
+    links = written(verified(stars, elements_of(docs, ends(stars), id_col, text_col, words), least), "links")
     first = written(components(links), "components")
-    more = written(across(buckets, first, marks, near, least), "pairs")
-    links2 = verified(more, elements_of(docs, more, id_col, text_col, words), least)
-    comps = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links2))
+    maybe = written(possible_links(buckets, first, marks, least), "pairs")
+    more = across(maybe, first, marks, docs, id_col, text_col, words, least)
+    comps = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = table
     if heavy:
         kept = docs.sparkSession.createDataFrame([(k, v) for k, v in heavy.items()], "digest binary, keep long")
@@ -340,7 +422,12 @@ def band_column(size: str):
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; all columns as they were."""
+    """``docs`` without the documents whose component has a smaller doc_id; all columns as they were, whatever their names.
+
+    Rows with a null doc_id, a null or empty text, or one without words stay. Of rows that repeat the smallest doc_id of
+    a component all stay (their texts aren't compared with one another); an empty table stays empty.
+    """
     found = jaccard_components(docs, id_col, text_col, words, least)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
+    gone_id = unused("gone_id", docs.columns)
+    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[gone_id], "left_anti")
