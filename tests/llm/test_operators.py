@@ -279,6 +279,40 @@ def test_pii_learns_other_forms_and_redacts(spark, docs, empty):
     assert pii.redacted_text("ab cd ef", [("email", 3, 5), ("ip", 4, 8)]) == "ab [EMAIL]"
 
 
+def obfuscated(r):
+    """(kind, text) of personal data in a form that no base pattern finds."""
+    n = [str(r.randrange(10**9, 10**10)) for _ in range(3)]
+    kind = r.choice(("email", "email", "ip", "card", "phone"))
+    if kind == "email":
+        user, host = f"w{r.randrange(999)}.k", f"host{r.randrange(99)}"
+        return kind, r.choice((f"{user} at {host} dot example dot com", f"{user}[at]{host}[dot]example[dot]com", f"{user} (at) {host}.example.org"))
+    if kind == "ip":
+        return kind, "[.]".join(str(r.randrange(1, 255)) for _ in range(4))
+    if kind == "phone":
+        return kind, r.choice((f"({n[0][:3]}) {n[0][3:6]}-{n[0][6:]}", f"{n[0][:3]}.{n[0][3:6]}.{n[0][6:]}"))
+    d = next(f"4{n[0]}{n[1][:4]}{c}" for c in "0123456789" if pii.luhn(f"4{n[0]}{n[1][:4]}{c}"))
+    return kind, r.choice("._").join(d[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_pii_finds_planted_forms_and_leaves_look_alikes(spark):
+    r = random.Random(14)
+    rows = []
+    for i in range(500):
+        n = f"{r.randint(200, 999)}{r.randint(200, 999)}{r.randint(1000, 9999)}"
+        d = next(f"4000{n}{c}" for c in (f"{k:02d}" for k in range(100)) if pii.luhn(f"4000{n}{c}"))
+        rows.append((i, f"{prose(i, 12)} mail u{i}.x@host{i % 9}.example.com or phone +1 {n[:3]} {n[3:6]} {n[6:]} at 10.{i % 250}.3.{i % 99} {prose(i + 1, 12)} card {d} {prose(i + 2, 12)}"))
+    planted = [obfuscated(r) for _ in range(300)]
+    rows += [(1000 + i, f"{prose(5000 + i, 20)} {t} {prose(6000 + i, 20)}") for i, (_, t) in enumerate(planted)]
+    wrong = [next(x for x in (f"4{r.randrange(10**14, 10**15)}" for _ in range(99)) if not pii.luhn(x)) for _ in range(100)]
+    rows += [(2000 + i, f"{prose(7000 + i, 20)} {t} {prose(8000 + i, 20)}") for i, t in enumerate(wrong)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x for x in pii.find(frame, pii.fit(frame)).collect()}
+    caught = [any(s.kind == kind for s in found[1000 + i].spans) for i, (kind, _) in enumerate(planted)]
+    assert not any(found[1000 + i].base for i in range(len(planted)))
+    assert np.mean(caught) >= 0.9, {k: np.mean([c for c, (x, _) in zip(caught, planted) if x == k]) for k in pii.KINDS}
+    assert np.mean([bool(found[2000 + i].spans) for i in range(len(wrong))]) <= 0.05
+
+
 # 6 Jaccard
 
 
