@@ -3,10 +3,11 @@
 1. Voters. Lexicon voters are a short fixed list and words mined from a bounded sample of labelled documents; pattern
    voters are mined word beginnings, and shouting. A voter fires or abstains; when no lexicon or pattern voter fires,
    one more voter says clean.
-2. A generative label model: each voter fires at a rate of its own given the hidden label. The rates (the voters'
-   accuracies) are estimated by expectation maximisation over the sample's votes, held to the labels only by its
-   start. Voters that fire together more than their rates explain are correlated; each voter's evidence is divided by
-   the size of its correlated cluster.
+2. A generative label model: each voter fires at a rate of its own given the hidden label, and else abstains. The rates
+   (the voters' accuracies) are estimated by expectation maximisation over the sample's votes; it sees no labels and
+   starts from whether any voter for label 1 fires. In each round the correlation of every two voters, beyond what their
+   rates explain, is estimated as well; a vote's evidence is divided by one plus its positive correlations with the
+   other votes on that text.
 3. The posterior labels of the sample train a linear classifier (MLlib logistic regression), which scores every text
    in one map-only scan.
 
@@ -35,10 +36,8 @@ from agroloom.llm.labelled import sample
 #: Labelled documents that are read at most, mined voters, and the least precision and support of one.
 SAMPLE, VOTERS, PRECISION, SUPPORT = 12_000, 192, 0.75, 4
 ROUNDS = 20
-#: Two voters are correlated from this correlation on, given the label.
-CORRELATED = 0.5
 #: Lengths of the word beginnings that are tried as patterns.
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
 
 #: Insults that vote without any labels.
 INSULTS = frozenset(w.encode() for w in "idiot idiots moron morons stupid dumb loser losers scum trash garbage clown pathetic worthless disgusting vermin filth bastard bastards jerk imbecile".split())
@@ -113,31 +112,26 @@ def mine(rows: DataFrame, voters: int = VOTERS) -> Votes:
     return Votes([k for k in top if not k.endswith(b"*")], [k[:-1] for k in top if k.endswith(b"*")])
 
 
-def label_model(fired: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Posterior probability of label 1 for each row of a 0/1 vote matrix."""
-    n, v = fired.shape
-    truth = labels.astype(float)
-    posterior = 0.05 + 0.9 * truth
-    evidence = np.ones(v)
-    for step in range(ROUNDS):
+def label_model(fired: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Posterior probability of label 1 for each row of a 0/1 vote matrix; ``toxic`` marks the voters that say 1."""
+    posterior = np.where(fired[:, toxic].any(axis=1), 0.9, 0.02)
+    for _ in range(ROUNDS):
         prior = np.clip(posterior.mean(), 0.01, 0.99)
         one = (posterior @ fired + 0.5) / (posterior.sum() + 1)
         zero = ((1 - posterior) @ fired + 0.5 * prior) / ((1 - posterior).sum() + 1)
-        if step == 1:  # once the rates are known: which voters agree beyond them
-            evidence = 1 / cluster_sizes(fired, posterior, one, zero)
-        one, zero = np.clip(one, 1e-4, 1 - 1e-4), np.clip(zero, 1e-4, 1 - 1e-4)
-        fire, rest = np.log(one / zero) * evidence, np.log((1 - one) / (1 - zero)) * evidence
-        odds = np.log(prior / (1 - prior)) + fired @ fire + (1 - fired) @ rest
+        alone = fired / (1 + fired @ correlations(fired, posterior, one, zero))
+        odds = np.log(prior / (1 - prior)) + alone @ np.log(np.clip(one, 1e-4, 1 - 1e-4) / np.clip(zero, 1e-4, 1 - 1e-4))
         posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return posterior
 
 
-def cluster_sizes(fired: np.ndarray, posterior: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """Of each voter: the voters, itself included, that are correlated with it given the hidden label."""
+def correlations(fired: np.ndarray, posterior: np.ndarray, one: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Positive correlations of every two voters given the hidden label; 0 on the diagonal."""
     residual = fired - (posterior[:, None] * one + (1 - posterior)[:, None] * zero)
     scale = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-    correlation = (residual.T @ residual) / len(fired) / np.outer(scale, scale)
-    return np.maximum((correlation >= CORRELATED).sum(axis=1), 1)
+    out = np.maximum((residual.T @ residual) / len(fired) / np.outer(scale, scale), 0)
+    np.fill_diagonal(out, 0)
+    return out
 
 
 class Scorer:
@@ -177,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, m
     fired = np.zeros((len(held), votes.n))
     for k, r in enumerate(held):
         fired[k, [i for i in r["at"] if i < votes.n]] = 1
-    posterior = label_model(fired, y)
+    posterior = label_model(fired, np.arange(votes.n) < votes.shout)
     # both labels of a row, weighted by the posterior
     train = [(float(c), float(p if c else 1 - p), Vectors.sparse(size, list(r["at"]), list(r["x"]))) for r, p in zip(held, posterior, strict=True) for c in (0, 1)]
     frame = spark.createDataFrame(train, ["label", "weight", "features"]).coalesce(1)
