@@ -71,8 +71,8 @@ def title_words(text: Column, stop: list[str]) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Sentences that end with . ! ? or danda before white space, or with a line."""
-    return F.split(text, r"(?<=[.!?।])\s+|\n+")
+    """Trimmed sentences, none empty: they end with . ! ? or danda before white space, or with a line."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?।])\s+|\n+"), strip), lambda s: s != "")
 
 
 def evidence_sentences(text: Column, most: int = 40) -> Column:

@@ -30,6 +30,7 @@ def dose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOSE_CTE = """dt AS (SELECT l_orderkey, l_linenumber, 'Use ' || l_quantity::INT || ' kg of ' || p_name || ' per acre in ' || p_size || '-60 liters, again after two weeks.' AS answer,
   'Apply ' || l_quantity::INT || ' kg with ' || p_size || ' l within second week.' AS source FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+READABLE = r"CASE WHEN {0} >= 100 THEN printf('%.0f', {0}) WHEN {0} >= 10 THEN regexp_replace(printf('%.1f', {0}), '\.?0+$', '') ELSE regexp_replace(printf('%.2f', {0}), '\.?0+$', '') END"
 UNIT_CASE = "CASE lower({0}) " + " ".join(f"WHEN '{w}' THEN '{u}'" for w, u in N.UNIT_OF.items()) + " END"
 
 
@@ -43,7 +44,7 @@ def sql_numbers(text: str, words: bool = True) -> str:
 
 
 def sql_amounts(text: str) -> str:
-    pattern = N.AMOUNT.replace(r"(?![\p{L}\p{M}\p{N}_])", r"(?:[^\p{L}\p{M}\p{N}_]|$)")
+    pattern = N.AMOUNT.replace(N.NO_LETTER_AFTER, r"(?:[^\p{L}\p{N}_ऀ-੿]|$)")
     get = lambda i: f"regexp_extract_all({text}, '{pattern}', {i})"
     return f"""list_sort(list_distinct(flatten(list_transform(list_zip({get(1)}, {get(2)}, {get(3)}), lambda m: list_transform(list_filter([m[1], m[2]], lambda n: n <> ''), lambda n: n || ' ' || {UNIT_CASE.format('m[3]')})))))"""
 
@@ -58,7 +59,7 @@ def amounts_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unbacked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dose_text(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(N.unbacked_numbers(F.col("answer"), F.col("source")), ",").alias("unbacked"))
+    return N.with_unbacked(dose_text(spark, sf_dir), "answer", "source").select("l_orderkey", "l_linenumber", F.array_join("unbacked", ",").alias("unbacked"))
 
 
 def dose_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +67,21 @@ def dose_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def money_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A yearly sum that a customer claims, against the monthly and yearly sums of their orders."""
+    """A sum that a customer claims, written in four ways, against the distinct monthly sums of their orders."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("p"))
-    claims = orders.select("o_orderkey", "o_custkey", F.concat(F.lit("They pay Rs "), F.col("p") * F.when(F.col("o_orderkey") % 2 == 0, 12).otherwise(10), F.lit(" per year")).alias("claim"))
-    facts = orders.select("o_custkey", F.concat(F.lit("The order is Rs "), "p", F.lit(" per month")).alias("fact"))
+    number = lambda c: F.format_number(c, 0)
+    forms = (
+        F.concat(F.lit("They pay Rs "), number(F.col("p") * 12), F.lit(" per year, do they?")),
+        F.concat(F.lit("I heard of "), number(F.col("p") * 10), F.lit(" rupees every year")),
+        F.concat(F.lit("Every month "), F.col("p"), F.lit(" Rs are paid")),
+        F.concat(F.lit("It gives Rs "), F.col("p"), F.lit(" thousand per month")),
+    )
+    claims = orders.select("o_orderkey", "o_custkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("claim"))
+    facts = orders.select("o_custkey", F.concat(F.lit("The order is Rs "), number(F.col("p")), F.lit(" per month")).alias("fact"))
     c = claims.select("o_orderkey", "o_custkey", F.explode(N.money_facts(F.col("claim"))).alias("c"))
-    f = facts.select("o_custkey", F.explode(N.money_facts(F.col("fact"))).alias("f"))
-    same = N.same_money(F.col("c.rupees"), F.col("c.period"), F.col("f.rupees"), F.col("f.period"))
-    pairs = c.join(f, "o_custkey").select("o_orderkey", same.alias("same"), same.isNotNull().alias("comparable"), F.col("f.rupees").alias("rupees"))
+    f = facts.select("o_custkey", F.explode(N.money_facts(F.col("fact"))).alias("f")).select("o_custkey", "f.rupees", "f.period").distinct()
+    same = N.same_money(F.col("c.rupees"), F.col("c.period"), F.col("rupees"), F.col("period"))
+    pairs = c.join(f, "o_custkey").select("o_orderkey", same.alias("same"), same.isNotNull().alias("comparable"), "rupees")
     return pairs.groupBy("o_orderkey").agg(rules.claim_verdict(F.col("same"), F.col("comparable")).alias("verdict"), F.min("rupees").alias("lowest"), F.max("rupees").alias("highest"))
 
 
@@ -180,7 +188,7 @@ def evidence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "\x01")).alias("digest"))
 
 
-SENT = r"regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?।])\s+', '\1' || chr(10), 'g'), '\n+', chr(1), 'g'), chr(1))"
+SENT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '([.!?।])\s+', '\1' || chr(10), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +299,9 @@ SQL = {
     "unbacked_numbers": f"""WITH {DOSE_CTE}, n AS (SELECT *, {sql_amounts('answer')} AS a, {sql_amounts('source')} AS sa, {sql_numbers('answer', False)} AS nu, {sql_numbers('source')} AS sn FROM dt),
       x AS (SELECT *, list_concat(list_filter(a, lambda x: NOT list_contains(sa, x)), list_filter(nu, lambda x: NOT list_contains(sn, x) AND NOT list_contains(list_transform(a, lambda y: string_split(y, ' ')[1]), x))) AS u FROM n)
       SELECT l_orderkey, l_linenumber, array_to_string(list_transform(list_sort(list_transform(u, lambda x: {{'v': string_split(x, ' ')[1]::DOUBLE, 'x': x}})), lambda p: p.x), ',') AS unbacked FROM x""",
-    "money_claims": "WITH o AS (SELECT o_orderkey, o_custkey, floor(o_totalprice)::BIGINT AS p FROM orders) SELECT c.o_orderkey, CASE WHEN bool_or(abs(c.p * (CASE WHEN c.o_orderkey % 2 = 0 THEN 12 ELSE 10 END) - f.p * 12) < 0.5) THEN 'supported' ELSE 'contradicted' END AS verdict, min(f.p)::DOUBLE AS lowest, max(f.p)::DOUBLE AS highest FROM o c JOIN o f USING (o_custkey) GROUP BY c.o_orderkey",
+    "money_claims": "WITH o AS (SELECT o_orderkey, o_custkey, floor(o_totalprice)::BIGINT AS p FROM orders) SELECT c.o_orderkey, CASE WHEN bool_or(c.p * (CASE c.o_orderkey % 4 WHEN 0 THEN 12 WHEN 1 THEN 10 WHEN 2 THEN 12 ELSE 12000 END) = f.p * 12) THEN 'supported' ELSE 'contradicted' END AS verdict, min(f.p)::DOUBLE AS lowest, max(f.p)::DOUBLE AS highest FROM o c JOIN o f USING (o_custkey) GROUP BY c.o_orderkey",
+    "dose_scaling": f"""WITH {DOSE_CTE.replace("AS answer,", "AS answer, l_quantity::INT * 3.5::DOUBLE AS q, p_size * 3.5::DOUBLE AS s, 'Use ' || l_quantity::INT || ' kg (' AS a, ' for your 3.5 acres)' AS z, ' of ' || p_name || ' per acre in ' || p_size || '-60 liters (' AS b,")}
+      SELECT l_orderkey, l_linenumber, a || ({READABLE.format('q')}) || ' kg' || z || b || ({READABLE.format('s')}) || '-210 litres' || z || ', again after two weeks.' || chr(10) || chr(10) || '_Totals are worked out for 3.5 acres._' AS scaled FROM dt""",
     "newest_prices": "SELECT o_orderstatus, o_orderkey, strftime(day, '%d/%m/%Y') AS day, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM (SELECT *, o_orderdate::DATE AS day, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate::DATE DESC) AS d FROM orders) WHERE d = 1) WHERE n <= 5",
     "price_lookup_fallback": """WITH r AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000), lo AS (SELECT c_nationkey, c_mktsegment, round(avg(c_acctbal), 2) AS lp FROM r GROUP BY ALL), wi AS (SELECT n_regionkey, c_mktsegment, round(avg(c_acctbal), 2) AS wp FROM r GROUP BY ALL)
       SELECT c_custkey, coalesce(lp, wp, -1.0::DOUBLE) AS price, CASE WHEN lp IS NOT NULL THEN 'local' WHEN wp IS NOT NULL THEN 'region' ELSE 'none' END AS source FROM customer c JOIN nation ON c_nationkey = n_nationkey LEFT JOIN lo USING (c_nationkey, c_mktsegment) LEFT JOIN wi USING (n_regionkey, c_mktsegment) """,

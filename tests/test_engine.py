@@ -122,13 +122,19 @@ def test_index_round_trip(spark, tmp_path):
 def test_numbers(spark):
     assert one(spark, N.numbers_in(F.col("t")), t="1. Manual\nuse 2,000 or 1,00,000 in the second week, 01.50") == ["1.5", "100000", "2", "2000"]
     assert one(spark, N.amounts_in(F.col("t")), t="80-125 liters and 400 gm for 30-day") == ["125 l", "30 day", "400 g", "80 l"]
-    assert one(spark, N.unbacked_numbers(F.col("a"), F.col("s")), a="400 ml twice in 7 days", s="400 g for seven or 7 days") == ["400 ml"]
-    money = one(spark, N.money_facts(F.col("t")), t="Rs 2 lakh per year or Rs 500 a month")
-    assert [(m.rupees, m.period) for m in money] == [(200000.0, "year"), (500.0, "month")]
+    unbacked = lambda a, s: N.with_unbacked(spark.createDataFrame([(a, s)], "a string, s string"), "a", "s").first().unbacked
+    assert unbacked("400 ml twice in 7 days", "400 g for seven or 7 days") == ["400 ml"]
+    assert unbacked("wait 6 weeks, 1.0 litre", "after six weeks 1 l") == [] and unbacked("२,००० and 5%", "2000 rupees and 5 per cent") == []
+    money = one(spark, N.money_facts(F.col("t")), t="Rs 2 lakh per year. Then Rs 500 a month. Rs 12,000 per month! 12000 rupees every year? हर महीने 300 रुपये")
+    assert [(m.rupees, m.period) for m in money] == [(200000.0, "year"), (500.0, "month"), (12000.0, "month"), (12000.0, "year"), (300.0, "month")]
+    assert [m.words for m in money][2:4] == ["Rs 12,000 per month", "12000 rupees every year"]
     assert one(spark, N.same_money(F.lit(100.0), F.lit("month"), F.lit(1200.0), F.lit("year"))) is True
     assert one(spark, N.same_money(F.lit(100.0), F.lit("month"), F.lit(100.0), F.lit("quintal"))) is None
     assert [one(spark, N.readable(F.col("v")), v=v) for v in (5.44, 13.6, 2720.0, 10.0)] == ["5.44", "13.6", "2,720", "10"]
-    assert one(spark, N.scale_doses(F.col("t"), F.lit(2.0)), t="Use 400 g per acre. Wait 3 kg here.") == "Use 400 g (800 g in all) per acre. Wait 3 kg here."
+    scaled = lambda t, acres: one(spark, N.scale_doses(F.col("t"), F.lit(acres)), t=t).split("\n\n_Totals")[0]
+    assert scaled("Use 400 g per acre.\nWait 3 kg here.", 2.0) == "Use 400 g per acre (800 g for your 2 acres).\nWait 3 kg here."
+    assert scaled("Mix 200-300 g of 25 WG in 100 to 150 litres per acre.", 4.0) == "Mix 200-300 g (0.8-1.2 kg for your 4 acres) of 25 WG in 100 to 150 litres per acre (400-600 litres for your 4 acres)."
+    assert scaled("प्रति एकड़ 80 ग्राम", 34.0) == "प्रति एकड़ 80 ग्राम (2.72 kg for your 34 acres)" and scaled("400 g per acre", 0.0) == "400 g per acre"
 
 
 @pytest.mark.parametrize(
@@ -232,7 +238,7 @@ def oracle():
 def test_query_equals_its_sql(spark, oracle, name):
     got = catalog.queries()[name](spark, DATA).toPandas()
     if name not in catalog.oracle_sql():
-        assert len(got) and name in ("chunk_windows", "dialog_state_exact", "dose_scaling", "page_sections")
+        assert len(got) and name in ("chunk_windows", "dialog_state_exact", "page_sections")
         return
     want = oracle.execute(catalog.oracle_sql()[name]).fetchdf()
     columns = sorted(got.columns)
