@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agroloom.plans import claim_queries, dialogue_queries, fact_queries, retrieval_queries
+from agroloom.plans import answer_queries, claim_queries, dialogue_queries, fact_queries, retrieval_queries
 
-MODULES = (retrieval_queries, dialogue_queries, fact_queries, claim_queries)
+MODULES = (retrieval_queries, dialogue_queries, fact_queries, claim_queries, answer_queries)
 
 
 def queries() -> dict:
