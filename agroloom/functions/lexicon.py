@@ -6,7 +6,7 @@ no join, no explode, and the patterns compile once a task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,4 +74,9 @@ class Lexicon:
     farming: tuple[str, ...] = ("irrigation", "sowing", "seed", "fertilizer", "urea", "soil", "kheti", "yield")
     pronouns: tuple[str, ...] = ("this", "that", "it", "iska")
     scheme_follow_up: tuple[str, ...] = ("apply", "claim", "documents", "premium")
-    extra: dict = field(default_factory=dict, hash=False, compare=False)
+    irrigation: tuple[str, ...] = ("irrigate", "irrigation", "sinchai", "सिंचाई")
+    #: Topic: its words; and the words a chapter's titles use for it.
+    topics: Entries = (("weeds", ("weed", "weeds", "nadeen", "खरपतवार")), ("varieties", ("variety", "varieties", "kism")), ("nutrient deficiency", ("deficiency", "zinc", "kami")))
+    topic_titles: tuple[tuple[str, str], ...] = (("weeds", "weed control"), ("varieties", "improved varieties"), ("nutrient deficiency", "fertilizer application"))
+    #: English words for words of other languages.
+    english: tuple[tuple[str, str], ...] = (("nadeen", "weeds"), ("खरपतवार", "weeds"), ("kism", "varieties"), ("kami", "deficiency"))

@@ -65,6 +65,39 @@ def classify(rows: DataFrame, text: str = "text", lex: Lexicon | None = None, ch
     return decided.select("*", *(F.col("_r")[c].alias(c) for c in ("intent", "confidence", "crop", "topic", "place", "use_chapters"))).drop(*hidden)
 
 
+def weather_topics(text: Column, lex: Lexicon | None = None) -> Column:
+    """Which advice a weather question asks for: irrigation alone where it speaks of spraying water, else spray and
+    irrigation as they are named."""
+    lex = lex or Lexicon()
+    both = F.array(F.when(any_term(text, lex.spray), F.lit("spray")), F.when(any_term(text, lex.irrigation), F.lit("irrigation")))
+    return F.when(any_term(text, lex.water_spray), F.array(F.lit("irrigation"))).otherwise(F.filter(both, lambda x: x.isNotNull()))
+
+
+def search_terms(text: Column, lex: Lexicon | None = None) -> Column:
+    """The topics that a question names, in English, each with the words that section titles use for it; empty if none.
+
+    A word of another script without an English word is left out; every term comes once, in the lexicon's order.
+    """
+    lex = lex or Lexicon()
+    english, titles = dict(lex.english), dict(lex.topic_titles)
+    found = []
+    for topic, words in lex.topics:
+        found += [F.when(any_term(text, (w,)), F.lit(english.get(w, w))) for w in words if w in english or w.isascii()]
+        if topic in titles:
+            found.append(F.when(any_term(text, words), F.lit(titles[topic])))
+    return F.array_join(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull())), " ")
+
+
+def refers_back(intent: Column, text: Column, lex: Lexicon | None = None) -> Column:
+    """Whether a question on an uncovered topic points back to an earlier one."""
+    return (intent == "topic_not_covered") & any_term(text, (lex or Lexicon()).pronouns)
+
+
+def asks_back(intent: Column, crop: Column, topic: Column, follow_up_of: Column, repeat_spray: Column) -> Column:
+    """Whether a question on spraying again names nothing that it could be about."""
+    return repeat_spray & crop.isNull() & F.coalesce(topic == GENERAL_TOPIC, F.lit(True)) & follow_up_of.isNull()
+
+
 def weather_advice(rain: Column, wind: Column, temperature: Column) -> tuple[Column, Column]:
     """(spray, irrigation) advice."""
     spray = F.when(rain > 40, "no_spray_rain").when(wind > 15, "no_spray_wind").otherwise("spray_ok")
@@ -108,8 +141,10 @@ def premise_status(check_statuses: Column) -> Column:
     return F.when(has("contradicted", "qualified"), "corrected").when(has("unverified", "unknown_problem", "unknown_product"), "unverified").otherwise("none")
 
 
-def review_reasons(intent: Column, banned: Column, pesticide: Column, by_llm: Column, grounding: Column, low_retrieval: Column, replaced: Column, least: float = 0.5) -> Column:
-    """Why an expert should see an answer; empty if none should."""
+def review_reasons(intent: Column, banned: Column, pesticide: Column, by_llm: Column, grounding: Column, low_retrieval: Column, replaced: Column, photo_confidence: Column | None = None, least: float = 0.5) -> Column:
+    """Why an expert should see an answer; empty if none should. A photo's diagnosis of less than high confidence is a
+    reason; no photo (null) is none."""
+    photo = F.lit(None).cast("string") if photo_confidence is None else photo_confidence
     tests = (
         (banned, "banned_pesticide"),
         (pesticide, "pesticide"),
@@ -117,6 +152,7 @@ def review_reasons(intent: Column, banned: Column, pesticide: Column, by_llm: Co
         (intent.isin("crop_not_covered", "topic_not_covered"), "not_covered"),
         (replaced, "llm_numbers_replaced"),
         (low_retrieval, "low_retrieval_confidence"),
+        (photo != "high", "photo_uncertain"),
     )
     return F.filter(F.array(*(F.when(t, F.lit(name)) for t, name in tests)), lambda r: r.isNotNull())
 

@@ -33,6 +33,12 @@ STAND_IN = L.Lexicon(
     gaps=(("weeds", ("he", "ou")), ("varieties", ("er",))),
     actions=("sh",),
     farming=("tion",),
+    pronouns=("is", "it"),
+    scheme_follow_up=("of", "de"),
+    irrigation=("un", "ein"),
+    topics=(("weeds", ("he", "ou")), ("varieties", ("er",))),
+    topic_titles=(("weeds", "weed control"),),
+    english=(("er", "variety"),),
 )
 
 
@@ -121,7 +127,10 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dialog_state_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialog.resolved(intents(spark, sf_dir))
+    """Every user turn with the crop, topic and place of earlier turns where it goes on from them, and the rule that decided."""
+    out = dialog.resolved(intents(spark, sf_dir), lex=STAND_IN)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select("conv_id", "turn", "intent", blank("crop"), blank("topic"), blank("place"), blank("follow_up_of"), "rule")
 
 
 def language_script(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,14 +174,72 @@ def grounding_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "g.grounded", "g.ratio")
 
 
+def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics that documents name, in search words; which weather advice they ask for; whether they point back."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text IS NOT NULL")
+    return rows.select("doc_id", rules.search_terms(F.col("text"), STAND_IN).alias("terms"), F.array_join(rules.weather_topics(F.col("text"), STAND_IN), ",").alias("advice"), rules.refers_back(F.lit("topic_not_covered"), F.col("text"), STAND_IN).alias("back"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (intent_cascade, previous_turn, last_matching_turn, recent_history, query_expansion, dialog_state_exact, language_script, lexicon_match_word, first_alias, longest_alias, banned_scan, safety_notes, grounding_ratio)
+    for f in (intent_cascade, previous_turn, last_matching_turn, recent_history, query_expansion, dialog_state_exact, topic_terms, language_script, lexicon_match_word, first_alias, longest_alias, banned_scan, safety_notes, grounding_ratio)
 }
 
 INTENT_SQL = intent_sql(STAND_IN)
+
+
+def state_sql(lex: L.Lexicon) -> str:
+    """The same rules as a recursion over the turns of each conversation."""
+    word = lambda terms: sql_any("text", terms)
+    general = "('crop_question', 'general_agriculture', 'safety_query', 'image_diagnosis')"
+    real = lambda c: f"nullif({c}, '{rules.GENERAL_TOPIC}')"
+    title = r"array_to_string(list_transform(regexp_extract_all(trim(text, ' ?.!,'), '\p{L}+|[^\p{L}]+'), lambda x: upper(x[1]) || lower(x[2:])), '')"
+    remember = """intent AS p_intent, coalesce(nullif(topic, 'Agronomy/General'), topic) AS p_topic, place AS p_place, text AS p_text, intent IN ('market_price', 'weather') AND place IS NULL AS wait"""
+    return f"""
+WITH RECURSIVE i AS (SELECT conv_id, turn, intent, confidence, nullif(crop, '') AS crop, nullif(topic, '') AS topic, nullif(place, '') AS place FROM ({INTENT_SQL})),
+u AS (SELECT i.*, c.text, row_number() OVER (PARTITION BY i.conv_id ORDER BY i.turn) AS n, len(list_filter(regexp_split_to_array(coalesce(c.text, ''), '\\s+'), lambda w: w <> '')) AS words,
+  coalesce({word(lex.pronouns)}, false) AS refers, coalesce({word(lex.scheme_follow_up)}, false) AS scheme_word, coalesce({word(lex.repeat_spray)}, false) AS repeated,
+  coalesce({word(lex.water_spray)} OR {word(lex.spray)} OR {word(lex.irrigation)}, false) AS weather_word FROM i JOIN conversations c ON c.conv_id = i.conv_id AND c.turn = i.turn),
+back AS (SELECT * REPLACE (CASE WHEN b THEN 'general_agriculture' ELSE intent END AS intent, CASE WHEN b THEN NULL ELSE topic END AS topic, CASE WHEN b THEN NULL ELSE place END AS place, CASE WHEN b THEN 0.7 ELSE confidence END AS confidence)
+  FROM (SELECT *, n > 1 AND intent = 'topic_not_covered' AND refers AS b FROM u)),
+r AS (
+  SELECT conv_id, n, turn, intent, crop, topic, place, NULL::VARCHAR AS follow, 'first' AS rule, {remember}, CASE WHEN intent = 'market_price' THEN place END AS m_place, CASE WHEN intent = 'weather' THEN place END AS w_place,
+    CASE WHEN intent IN {general} THEN crop END AS c_crop, CASE WHEN intent IN {general} AND crop IS NOT NULL THEN topic END AS c_topic, CASE WHEN intent IN {general} AND crop IS NOT NULL THEN text END AS c_text, CASE WHEN intent IN {general} AND crop IS NOT NULL THEN intent END AS c_intent
+  FROM back WHERE n = 1
+  UNION ALL
+  SELECT conv_id, n, turn, intent, crop, topic, place, follow, rule, {remember},
+    CASE WHEN intent = 'market_price' THEN place ELSE m_place END, CASE WHEN intent = 'weather' THEN place ELSE w_place END,
+    CASE WHEN keep THEN crop ELSE c_crop END, CASE WHEN keep THEN topic ELSE c_topic END, CASE WHEN keep THEN text ELSE c_text END, CASE WHEN keep THEN intent ELSE c_intent END
+  FROM (SELECT *, intent IN {general} AND crop IS NOT NULL AS keep FROM (
+    SELECT conv_id, n, turn, text, m_place, w_place, c_crop, c_topic, c_text, c_intent, rule,
+      CASE rule WHEN 'place_reply' THEN p_intent WHEN 'price_follow_up' THEN 'market_price' WHEN 'scheme_follow_up' THEN 'scheme_query' WHEN 'weather_follow_up' THEN 'weather'
+        WHEN 'same_crop' THEN CASE WHEN confidence > 0.70 THEN intent ELSE c_intent END WHEN 'new_crop' THEN 'crop_question' ELSE intent END AS intent,
+      CASE WHEN rule IN ('place_reply', 'price_follow_up', 'scheme_follow_up') THEN NULL WHEN rule = 'same_crop' THEN c_crop ELSE crop END AS crop,
+      CASE rule WHEN 'place_reply' THEN CASE WHEN p_intent = 'market_price' THEN '{rules.MARKET_TOPIC}' ELSE '{rules.WEATHER_TOPIC}' END WHEN 'price_follow_up' THEN '{rules.MARKET_TOPIC}' WHEN 'scheme_follow_up' THEN p_topic
+        WHEN 'weather_follow_up' THEN '{rules.WEATHER_TOPIC}' WHEN 'same_crop' THEN {real('c_topic')} WHEN 'new_crop' THEN c_topic ELSE topic END AS topic,
+      CASE rule WHEN 'place_reply' THEN coalesce(place, {title}) WHEN 'price' THEN coalesce(place, m_place) WHEN 'price_follow_up' THEN coalesce(place, m_place) WHEN 'scheme_follow_up' THEN NULL WHEN 'weather' THEN coalesce(place, w_place)
+        WHEN 'weather_follow_up' THEN coalesce(place, p_place) ELSE place END AS place,
+      CASE WHEN rule IN ('place_reply', 'price_follow_up', 'scheme_follow_up', 'weather_follow_up') THEN p_text WHEN rule = 'same_crop' THEN c_text END AS follow
+    FROM (SELECT b.*, r.p_intent, r.p_topic, r.p_place, r.p_text, r.m_place, r.w_place, r.c_crop, r.c_topic, r.c_text, r.c_intent, CASE
+        WHEN r.wait AND b.words <= 4 AND b.intent NOT IN ('greeting', 'out_of_scope', 'scheme_query') AND b.crop IS NULL AND coalesce(b.topic, '') IN ('', '{rules.GENERAL_TOPIC}', '{rules.MARKET_TOPIC}', '{rules.WEATHER_TOPIC}') THEN 'place_reply'
+        WHEN b.intent IN ('greeting', 'out_of_scope', 'crop_not_covered', 'topic_not_covered') THEN 'closed'
+        WHEN b.intent = 'market_price' THEN 'price'
+        WHEN r.p_intent = 'market_price' AND b.words <= 6 AND (b.crop IS NOT NULL OR b.place IS NOT NULL) THEN 'price_follow_up'
+        WHEN r.p_intent = 'scheme_query' AND ((b.crop IS NULL AND {real('b.topic')} IS NULL) OR b.scheme_word) AND b.intent IN {general} THEN 'scheme_follow_up'
+        WHEN b.intent = 'weather' THEN 'weather'
+        WHEN r.p_intent = 'weather' AND b.crop IS NULL AND {real('b.topic')} IS NULL AND NOT b.repeated AND (b.place IS NOT NULL OR b.weather_word) THEN 'weather_follow_up'
+        WHEN r.c_crop IS NOT NULL AND b.intent IN {general} AND b.crop IS NULL AND {real('b.topic')} IS NULL THEN 'same_crop'
+        WHEN r.c_crop IS NOT NULL AND b.intent IN {general} AND b.crop IS NOT NULL AND {real('b.topic')} IS NULL AND {real('r.c_topic')} IS NOT NULL AND b.words <= 5 THEN 'new_crop'
+        ELSE 'as_is' END AS rule FROM r JOIN back b ON b.conv_id = r.conv_id AND b.n = r.n + 1)))
+)
+SELECT conv_id, turn, intent, coalesce(crop, '') AS crop, coalesce(topic, '') AS topic, coalesce(place, '') AS place, coalesce(follow, '') AS follow_up_of, rule FROM r
+"""
+
+
 SQL = {
     "intent_cascade": INTENT_SQL,
+    "dialog_state_exact": state_sql(STAND_IN),
+    "topic_terms": f"SELECT doc_id, concat_ws(' ', CASE WHEN {sql_any('text', ('he',))} THEN 'he' END, CASE WHEN {sql_any('text', ('ou',))} THEN 'ou' END, CASE WHEN {sql_any('text', ('he', 'ou'))} THEN 'weed control' END, CASE WHEN {sql_any('text', ('er',))} THEN 'variety' END) AS terms, CASE WHEN {sql_any('text', ('water',))} THEN 'irrigation' ELSE concat_ws(',', CASE WHEN {sql_any('text', ('on', 'auf'))} THEN 'spray' END, CASE WHEN {sql_any('text', ('un', 'ein'))} THEN 'irrigation' END) END AS advice, {sql_any('text', ('is', 'it'))} AS back FROM documents WHERE text IS NOT NULL",
     "previous_turn": "SELECT conv_id, turn, coalesce(lag(role) OVER w, '') AS previous_role, coalesce(lag(turn) OVER w, -1) AS previous_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "last_matching_turn": f"SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' AND {sql_any('text', ('the', 'der'))} THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS last_turn FROM conversations",
     "recent_history": "SELECT conv_id, turn, coalesce(array_to_string(list(CASE WHEN length(x) > 500 THEN x[1:500] || '...' ELSE x END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), chr(10)), '') AS history FROM (SELECT *, role || ': ' || text AS x FROM conversations)",

@@ -12,39 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "intent string, crop string, topic string, place string, turns long"
-OUT = "conv_id long, turn long, intent string, crop string, topic string, place string"
-
-
-def carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Turns of one conversation, in order, with the crop, topic and place of earlier turns where they name none."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    held = list(state.get) if state.exists else [None, None, None, None, 0]
-    rows = []
-    for t in pd.concat(list(batches)).sort_values("turn").to_dict("records"):
-        named = [t[c] if isinstance(t[c], str) else None for c in ("intent", "crop", "topic", "place")]
-        if named[0] in ("greeting", "out_of_scope"):
-            rows.append((key[0], t["turn"], *named))
-            continue
-        held = [named[0], *(n if n is not None else h for n, h in zip(named[1:], held[1:4], strict=True)), held[4] + 1]
-        rows.append((key[0], t["turn"], *held[:4]))
-    state.update(tuple(held))
-    yield pd.DataFrame(rows, columns=["conv_id", "turn", "intent", "crop", "topic", "place"])
-
-
-def dialogue(turns: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
-    """Streamed classified turns with carried state. With ``forget_after_ms`` a conversation is forgotten so long after
-    its last turn; such a stream never runs out of batches, so it suits continuous triggers only."""
+from agroloom.operators import dialog
+
+def dialogue(turns: DataFrame, forget_after_ms: int | None = None, chapters: bool = False) -> DataFrame:
+    """Streamed turns (classified and ``dialog.marked``), resolved by the same steps as the batch operator. With
+    ``forget_after_ms`` a conversation is forgotten so long after its last turn; such a stream never runs out of
+    batches, so it suits continuous triggers only."""
 
     def carried(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from carry(key, batches, state)
-        if forget_after_ms is not None and state.exists:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = dict(zip(dialog.CARRIED_NAMES, state.get, strict=True)) if state.exists else None
+        done = []
+        for t in dialog.turns_of(pd.concat(list(batches))):
+            r, held = dialog.step(t, held, chapters)
+            done.append({"conv_id": key[0], "turn": t["turn"], **r})
+        state.update(tuple(held[c] for c in dialog.CARRIED_NAMES))
+        if forget_after_ms is not None:
             state.setTimeoutDuration(forget_after_ms)
+        yield pd.DataFrame(done, columns=[c.split()[0] for c in dialog.STATE_SCHEMA.split(", ")])
 
     timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return turns.groupBy("conv_id").applyInPandasWithState(carried, OUT, STATE, "append", timeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(carried, dialog.STATE_SCHEMA, dialog.CARRIED, "append", timeout)
 
 
 def event_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -53,11 +43,11 @@ def event_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 mi
 
 
 def append_reviews(stream: DataFrame, path: str, checkpoint: str):
-    """Appends answers with reasons to the review log, batch by batch; ids make a replayed batch harmless."""
+    """Writes answers with reasons to the review log, one folder for each batch: a replayed batch replaces itself."""
     from agroloom.operators.review import submit
 
     def write(batch: DataFrame, number: int) -> None:
-        submit(batch).write.mode("append").parquet(path)
+        submit(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
