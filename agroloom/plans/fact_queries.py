@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agroloom.functions import numbers as N
 from agroloom.functions import text as T
 from agroloom.operators import logs, reports, rules
+from agroloom.operators.spread import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, l_linenumber, answer, source): texts with doses made of line items and parts."""
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     q, s = F.col("l_quantity").cast("int").cast("string"), F.col("p_size").cast("string")
     return items.join(parts, "l_partkey").select(
@@ -50,7 +51,7 @@ def sql_amounts(text: str) -> str:
 
 
 def numbers_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.array_join(N.numbers_in(F.col("text")), ",").alias("numbers")).filter("numbers <> ''")
 
 

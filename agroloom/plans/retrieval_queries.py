@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from agroloom.functions.text import search_tokens
 from agroloom.operators import chunking
 from agroloom.operators import retrieval as R
+from agroloom.operators.spread import spread
 
 TOK = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[\p{{P}}\p{{S}}\p{{C}}]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda x: length(x) > 1)"
 ALL_TOK = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[\p{{P}}\p{{S}}\p{{C}}]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda x: x <> '')"
@@ -116,7 +117,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_list(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     docs, bench = tables(spark, sf_dir, "documents", "benchmark")
-    return R.dense_top_k(R.hashed(docs), R.hashed(bench, "item_id"), k)
+    return R.dense_top_k(R.unit_vectors(docs), R.unit_vectors(bench, "item_id"), k, (docs.count(), bench.count()))
 
 
 def hash_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +128,10 @@ def section_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("section"))
 
 
-def section_lists(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def section_lists(docs: DataFrame, asked: DataFrame, sizes: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse hits of the queries ``asked``, the best of each section, five sections a list."""
     secs = section_of(docs)
-    dense = R.dense_top_k(R.hashed(docs), R.hashed(asked, "item_id"), 20)
+    dense = R.dense_top_k(R.unit_vectors(docs), R.unit_vectors(asked, "item_id"), 20, sizes or (docs.count(), asked.count()))
     sparse = R.ranked(R.bm25(docs, asked), 20)
     return tuple(R.best_per_section(hits.join(secs, "doc_id"), ["section"], 5) for hits in (dense, sparse))
 
@@ -139,13 +140,9 @@ def best_chunk_per_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_lists(*tables(spark, sf_dir, "documents", "benchmark"))[1].select("item_id", "doc_id", "section", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def hybrid_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+def hybrid_of(docs: DataFrame, asked: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(item_id, section, doc_id, score, rank, rank_0, rank_1) of all fused sections of the queries ``asked``."""
-    dense, sparse = section_lists(docs, asked)
-    dense, sparse = dense.withColumn("list", F.lit(0)), sparse.withColumn("list", F.lit(1))
-    fused = R.fuse([dense, sparse], "section")
-    shown = dense.unionByName(sparse).groupBy("item_id", "section").agg(F.min_by("doc_id", F.struct("list", "rank")).alias("doc_id"))
-    return fused.join(shown, ["item_id", "section"])
+    return R.fuse(list(section_lists(docs, asked, sizes)), "section", show="doc_id")
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,25 +167,56 @@ def agreement_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (docs,) = tables(spark, sf_dir, "documents")
+    """Further chunks of the chosen sections: those of the dense list first, then in corpus order."""
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
     chosen = hybrid(spark, sf_dir).filter("rank <= 3")
-    return R.siblings(chosen, section_of(docs).join(docs.select("doc_id"), "doc_id"), ["section"]).select("item_id", "section", "doc_id", F.col("n").cast("long").alias("n"))
+    first = R.dense_top_k(R.unit_vectors(docs), R.unit_vectors(bench, "item_id"), 20, (docs.count(), bench.count()))
+    return R.siblings(chosen, section_of(docs), ["section"], first=first).select("item_id", "section", "doc_id", F.col("n").cast("long").alias("n"))
+
+
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """Documents as chunks: language as crop ("xx (lang)"; Spanish stands for all crops), a kind, a section and a title."""
+    crop = F.when(F.col("lang") == "es", "All Crops").otherwise(F.concat("lang", F.lit(" (lang)")))
+    return docs.select("*", crop.alias("crop"), F.when(F.col("doc_id") % 3 == 0, "pau").otherwise("advisory").alias("kind"), F.concat_ws("/", "source", "lang").alias("section"), F.substring("text", 1, 60).alias("title"))
+
+
+def filtered_lists(docs: DataFrame, asked: DataFrame, kind: str, crop: str, k: int = 5) -> list[DataFrame]:
+    """Dense, sparse and title lists of sections within one kind and crop: every chunk that passes takes part, with the
+    statistics of the whole corpus."""
+    chunks = chunk_table(docs)
+    kept = R.wanted_chunks(chunks, kind, crop)
+    best = R.block_top_k(R.unit_vectors(kept, keep=("section",)), R.unit_vectors(asked, "item_id"), 1 << 20, section="section", sizes=(docs.count(), asked.count()))
+    dense_all = R.best_per_section(R.ranked(best, 1 << 30, positive=False), ["section"], 1 << 30)
+    scores = R.bm25(docs, asked).join(kept.select("doc_id", "section"), "doc_id")
+    sparse = R.best_per_section(R.ranked(scores, 1 << 30), ["section"], k)
+    titled = R.title_matches(dense_all, kept, asked, STOP, k)
+    return [dense_all.filter(F.col("rank") <= k), sparse, titled]
+
+
+STOP = ["the", "and", "de", "der", "la"]
 
 
 def filtered_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse hits in one language only: the filter after scoring with statistics of the whole corpus, before ranking."""
-    (docs,) = tables(spark, sf_dir, "documents")
-    kept = bm25_scores(spark, sf_dir).join(docs.filter(F.lower("lang").startswith("en")).select("doc_id"), "doc_id")
-    return R.ranked(kept, 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    """The three best sections of one crop's chapters, from dense and sparse lists."""
+    lists = filtered_lists(*tables(spark, sf_dir, "documents", "benchmark"), "pau", "EN")[:2]
+    top = R.fuse(lists, "section", show="doc_id").filter("rank <= 3")
+    return top.select("item_id", "section", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def corrective_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass: the fused first hit of each query, judged by the ranks it has in the two lists. Nothing is searched
-    again; ``corrective_retry_two_pass`` does that."""
-    first = hybrid(spark, sf_dir).filter("rank = 1").select("item_id", "doc_id", "section", "rank_0", "rank_1")
-    sure = F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False))
-    again = F.coalesce(F.col("rank_1") == 1, F.lit(False))
-    return first.select("item_id", "doc_id", F.when(sure, "confident").when(again, "corrected").otherwise("low_confidence").alias("status"))
+def rrf_three_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``filtered_hybrid``, with the sections whose title shares words with the query as a third list."""
+    top = R.fuse(filtered_lists(*tables(spark, sf_dir, "documents", "benchmark"), "pau", "EN"), "section", show="doc_id")
+    return top.select("item_id", "section", "doc_id", "score", F.col("rank").cast("long").alias("rank"), F.coalesce("rank_2", F.lit(0)).cast("long").alias("title_rank"))
+
+
+def crop_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best sections with those of the asked crop in front, and whether the first is titled for the question."""
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    asked = F.element_at(F.array(F.lit("de"), F.lit("fr"), F.lit(None).cast("string")), (F.pmod("item_id", F.lit(3)) + 1).cast("int"))
+    top = hybrid(spark, sf_dir).filter("rank <= 5").join(chunk_table(docs).select("doc_id", "crop"), "doc_id").withColumn("asked_crop", asked)
+    again = R.crop_first(top)
+    named = (F.col("rank") == 1) & R.names_question(F.col("section"), F.col("crop"), F.lit("WEB"), F.col("asked_crop"))
+    return again.select("item_id", "section", "doc_id", F.col("rank").cast("long").alias("rank"), named.alias("named"))
 
 
 def retry_queries(docs: DataFrame, unsure: DataFrame) -> DataFrame:
@@ -207,32 +235,64 @@ def corrective(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(item_id, doc_id, status): where the lists of the first pass don't agree on the first hit, a second pass over
     the same corpus asks for the rarer half of the terms. Its answer counts if its fused first is its sparse first
     ('corrected'), else the first pass's answer stands ('low_confidence')."""
-    first = hybrid_of(docs, asked).filter("rank = 1").select("item_id", "doc_id", F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False)).alias("sure"))
+    sizes = (docs.count(), asked.count())
+    first = hybrid_of(docs, asked, sizes).filter("rank = 1").select("item_id", "doc_id", F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False)).alias("sure"))
     first = first.persist()  # one row a query; both passes start from it
     retried = retry_queries(docs, asked.join(first.filter("NOT sure").select("item_id"), "item_id", "left_semi"))
-    second = hybrid_of(docs, retried).filter("rank = 1 AND rank_1 = 1").select("item_id", F.col("doc_id").alias("again"))
+    second = hybrid_of(docs, retried, sizes).filter("rank = 1 AND rank_1 = 1").select("item_id", F.col("doc_id").alias("again"))
     status = F.when(F.col("sure"), "confident").when(F.col("again").isNotNull(), "corrected").otherwise("low_confidence")
     return first.join(second, "item_id", "left").select("item_id", F.coalesce("again", "doc_id").alias("doc_id"), status.alias("status"))
 
 
-def corrective_retry_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corrective_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries whose lists disagree are searched again by the rarer half of their terms."""
     return corrective(*tables(spark, sf_dir, "documents", "benchmark"))
 
 
+def corrective_retry_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same under the name it had before."""
+    return corrective_retry(spark, sf_dir)
+
+
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     header = F.concat(F.lit("["), "source", F.lit("] "))
+    docs = spread(docs.select("doc_id", "text", "source"))
     return docs.select("doc_id", F.posexplode(chunking.chunks_of(F.coalesce("text", F.lit("")), header)).alias("n", "chunk"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_terms, doc_freq_top, bm25_topk, bm25_single_terms, bm25_okapi_topk, dense_topk, hash_embed, hash_dense_topk, best_chunk_per_section, rrf_fusion, hybrid_flagship, agreement_confidence, section_siblings, filtered_hybrid, corrective_retry, corrective_retry_two_pass, chunk_windows)
+    for f in (tokenize_terms, doc_freq_top, bm25_topk, bm25_single_terms, bm25_okapi_topk, dense_topk, hash_embed, hash_dense_topk, best_chunk_per_section, rrf_fusion, hybrid_flagship, agreement_confidence, section_siblings, filtered_hybrid, rrf_three_lists, crop_priority, corrective_retry, corrective_retry_two_pass, chunk_windows)
 }
 
+TITLE = lambda c: rf"list_distinct(list_transform(list_filter({ALL_TOK.format(c)}, lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(w) for w in STOP)})), lambda w: {STEM}))"
+ONE = "CASE WHEN ends_with(w, 'ies') THEN w[:-4] || 'y' ELSE rtrim(w, 's') END"
+STEM = f"CASE WHEN ends_with({ONE}, 'ing') AND length({ONE}) > 6 THEN ({ONE})[:-4] ELSE {ONE} END"
+FILTERED_CTE = f"""
+{DENSE_CTE}, {BM25_CTE},
+k AS (SELECT doc_id, source || '/' || lang AS section, text[1:60] AS title FROM documents WHERE doc_id % 3 = 0 AND (starts_with(lower(CASE WHEN lang = 'es' THEN 'All Crops' ELSE lang || ' (lang)' END), 'en') OR lang = 'es')),
+zd AS (SELECT k.doc_id, i.item_id FROM k, benchmark i),
+da AS (SELECT item_id, doc_id, section, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, section ORDER BY score DESC, doc_id) AS one
+       FROM (SELECT item_id, doc_id, section, coalesce(score, 0) AS score FROM zd JOIN k USING (doc_id) LEFT JOIN ds USING (item_id, doc_id))) WHERE one = 1),
+sa AS (SELECT item_id, doc_id, section, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id, section ORDER BY score DESC, doc_id) AS one FROM sc JOIN k USING (doc_id) WHERE score > 0) WHERE one = 1),
+kt AS (SELECT doc_id, {TITLE('title')} AS t FROM k), bt AS (SELECT item_id, {TITLE('text')} AS q FROM benchmark),
+ta AS (SELECT item_id, doc_id, section, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, rank) AS rank FROM (SELECT da.*, len(list_intersect(t, q)) AS shared FROM da JOIN kt USING (doc_id) JOIN bt USING (item_id)) WHERE shared > 0)
+"""
+
+
+def filtered_fuse(lists: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT item_id, section, doc_id, {i} AS list, rank, 1.0::DOUBLE / (60 + rank) AS part FROM {t} WHERE rank <= 5" for i, t in enumerate(("da", "sa", "ta")[:lists]))
+    return f"""fu AS (SELECT item_id, section, round(sum(part), 6) AS score, min(list * 1000 + rank) AS first_seen, arg_min(doc_id, list * 1000 + rank) AS doc_id, max(CASE WHEN list = 2 THEN rank END) AS title_rank FROM ({parts}) GROUP BY item_id, section),
+fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, first_seen) AS rank FROM fu)"""
+
+
 SPARSE_OUT = "SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {0}) WHERE rank <= 5 AND score > 0"
 
+TWO_PASS = f"""WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, {RETRY_CTE}
+SELECT f.item_id, coalesce(g.doc_id, f.doc_id) AS doc_id, CASE WHEN f.dense_rank = 1 AND f.sparse_rank = 1 THEN 'confident' WHEN g.doc_id IS NOT NULL THEN 'corrected' ELSE 'low_confidence' END AS status
+FROM fr f LEFT JOIN (SELECT item_id, doc_id FROM fr2 WHERE rank = 1 AND sparse_rank = 1) g USING (item_id) WHERE f.rank = 1"""
+
 SQL = {
     "tokenize_terms": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)",
     "doc_freq_top": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOK.format('text')})) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 50",
@@ -250,10 +310,10 @@ SQL = {
     "rrf_fusion": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE} SELECT item_id, section, doc_id, score, rank, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank FROM fr",
     "hybrid_flagship": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE} SELECT item_id, rank, doc_id, score, d.source || ' - document ' || doc_id || ' [' || section || ']' AS citation FROM fr JOIN documents d USING (doc_id) WHERE rank <= 3",
     "agreement_confidence": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE} SELECT item_id, coalesce(dense_rank = 1 AND sparse_rank = 1, false) AS confident FROM fr WHERE rank = 1",
-    "section_siblings": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, ch AS (SELECT item_id, section, doc_id FROM fr WHERE rank <= 3) SELECT item_id, section, doc_id, n FROM (SELECT c.item_id, c.section, s.doc_id, row_number() OVER (PARTITION BY c.item_id, c.section ORDER BY s.doc_id) AS n FROM ch c JOIN secs s USING (section) WHERE s.doc_id <> c.doc_id) WHERE n <= 3",
-    "filtered_hybrid": f"WITH {BM25_CTE}, fl AS (SELECT sc.* FROM sc JOIN documents d USING (doc_id) WHERE starts_with(lower(d.lang), 'en')) {SPARSE_OUT.format('fl')}",
-    "corrective_retry": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE} SELECT item_id, doc_id, CASE WHEN dense_rank = 1 AND sparse_rank = 1 THEN 'confident' WHEN sparse_rank = 1 THEN 'corrected' ELSE 'low_confidence' END AS status FROM fr WHERE rank = 1",
-    "corrective_retry_two_pass": f"""WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, {RETRY_CTE}
-SELECT f.item_id, coalesce(g.doc_id, f.doc_id) AS doc_id, CASE WHEN f.dense_rank = 1 AND f.sparse_rank = 1 THEN 'confident' WHEN g.doc_id IS NOT NULL THEN 'corrected' ELSE 'low_confidence' END AS status
-FROM fr f LEFT JOIN (SELECT item_id, doc_id FROM fr2 WHERE rank = 1 AND sparse_rank = 1) g USING (item_id) WHERE f.rank = 1""",
+    "section_siblings": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, ch AS (SELECT item_id, section, doc_id FROM fr WHERE rank <= 3) SELECT item_id, section, doc_id, n FROM (SELECT c.item_id, c.section, s.doc_id, row_number() OVER (PARTITION BY c.item_id, c.section ORDER BY l.rank NULLS LAST, s.doc_id) AS n FROM ch c JOIN secs s USING (section) LEFT JOIN dl20 l ON l.item_id = c.item_id AND l.doc_id = s.doc_id WHERE s.doc_id <> c.doc_id) WHERE n <= 3",
+    "filtered_hybrid": f"WITH {FILTERED_CTE}, {filtered_fuse(2)} SELECT item_id, section, doc_id, score, rank FROM fr WHERE rank <= 3",
+    "rrf_three_lists": f"WITH {FILTERED_CTE}, {filtered_fuse(3)} SELECT item_id, section, doc_id, score, rank, coalesce(title_rank, 0) AS title_rank FROM fr",
+    "crop_priority": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, a AS (SELECT f.*, ([ 'de', 'fr', NULL])[item_id % 3 + 1] AS asked, CASE WHEN d.lang = 'es' THEN 'all crops' ELSE d.lang || ' (lang)' END AS crop FROM fr f JOIN documents d USING (doc_id) WHERE rank <= 5), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY asked IS NOT NULL AND NOT starts_with(crop, asked), rank) AS again FROM a) SELECT item_id, section, doc_id, again AS rank, coalesce(again = 1 AND contains(lower(section), 'web') AND starts_with(crop, asked), false) AS named FROM o",
+    "corrective_retry": TWO_PASS,
+    "corrective_retry_two_pass": TWO_PASS,
 }
