@@ -102,7 +102,7 @@ def follow_up(r: dict, t: dict, s: dict, chapters: bool) -> tuple[str, dict]:
     if s["crop"] and r["intent"] in GENERAL:
         if vague:
             inherited = "crop_question" if s["crop_intent"] == "image_diagnosis" else s["crop_intent"]
-            intent = r["intent"] if r["confidence"] > 0.70 else inherited
+            intent = r["intent"] if r["confidence"] is None or r["confidence"] > 0.70 else inherited
             return "same_crop", {"intent": intent, "crop": s["crop"], "topic": real(s["crop_topic"]), "use_chapters": bool(s["crop_chapters"]), "follow_up_of": s["crop_text"]}
         if r["crop"] and not real(r["topic"]) and real(s["crop_topic"]) and n <= 5:
             return "new_crop", {"intent": "crop_question", "topic": s["crop_topic"], "use_chapters": bool(s["crop_chapters"])}

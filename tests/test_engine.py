@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agroloom.functions import lexicon as L
 from agroloom.functions import numbers as N
 from agroloom.functions import text as T
-from agroloom.operators import chunking, dialog, logs, reports, review, rules
+from agroloom.operators import chunking, claims, dialog, logs, reports, review, rules, tools
 from agroloom.operators import retrieval as R
 from agroloom.plans import catalog
 from agroloom.plans import retrieval_queries as queries_of_retry
@@ -77,8 +77,13 @@ def test_chunk_sizes_and_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"kind": "pau_package_of_practices", "document_title": "Book", "sections": [{"section_title": "E", "pau_text": ""}, {"section_title": "F", "pau_text": "Sow early.", "pages": "3-4"}]}))
     rows = {r.chunk_id: r for r in chunking.chunk_documents(readers.json_documents(spark, str(tmp_path))).collect()}
     assert set(rows) == {"a_s0_c0", "b_s1_c0"}
-    assert rows["a_s0_c0"].text == "Section: One\nRecommended action: Spray.\nWarning: Gloves" and rows["a_s0_c0"].has_warning
-    assert rows["b_s1_c0"].text.endswith("(pages 3-4)")
+    assert rows["a_s0_c0"].text == "Crop: General Agriculture (All season)\nSource: ICAR\nTopic: One\nRecommended action: Spray.\nWarning: Gloves" and rows["a_s0_c0"].has_warning
+    assert rows["b_s1_c0"].text == "Crop: General Agriculture (All season)\nTopic: F\nAdvice: Sow early." and rows["b_s1_c0"].reference == "Book, pages 3-4"
+    long = chunking.chunk_documents(readers.json_documents(spark, str(tmp_path)), 120, 0).filter("doc_id = 'b'").first()
+    assert long.text == rows["b_s1_c0"].text
+    (tmp_path / "c.json").write_text(json.dumps({"sections": [{"section_title": "One", "symptoms": "Later file."}]}))
+    held = {r.section: r.symptoms for r in readers.original_sections(readers.json_documents(spark, str(tmp_path))).collect()}
+    assert held["One"] == "Later file." and held["E"] is None
 
 
 def test_fusion_arithmetic(spark):
@@ -170,10 +175,51 @@ def test_status_rules(spark):
     assert g.ratio == 0.5 and g.grounded and one(spark, rules.grounding(F.col("a"), F.col("c")), a="x", c="").ratio == 0.0
 
 
+TALKS = {
+    # conversation: turns of (text, intent, crop, topic, place, answer's needs_crop), then (intent, crop, topic, place, rule) of the last one
+    1: ([("u", "crop_question", "Wheat", "Aphid", None, False), ("kal?", "weather", None, None, "Delhi", False), ("what dose is that", "general_agriculture", None, None, None, False)], ("general_agriculture", "Wheat", "Aphid", None, "same_crop")),
+    2: ([("price", "market_price", None, "Market prices", None, False), ("Sangrur?", "general_agriculture", None, None, None, False)], ("market_price", None, "Market prices", "Sangrur", "place_reply")),
+    3: ([("rate in Delhi", "market_price", None, "Market prices", "Delhi", False), ("hello", "greeting", None, None, None, False), ("rice rate", "market_price", None, "Market prices", None, False)], ("market_price", None, "Market prices", "Delhi", "price")),
+    4: ([("rate in Delhi", "market_price", None, "Market prices", "Delhi", False), ("and mustard?", "general_agriculture", "Mustard", None, None, False)], ("market_price", None, "Market prices", "Delhi", "price_follow_up")),
+    5: ([("kcc loan", "scheme_query", None, "KCC", None, False), ("how do I claim for my wheat", "crop_question", "Wheat", "Rust", None, False)], ("scheme_query", None, "KCC", None, "scheme_follow_up")),
+    6: ([("rain in Delhi", "weather", None, "Weather and spraying", "Delhi", False), ("irrigation?", "general_agriculture", None, None, None, False)], ("weather", None, "Weather and spraying", "Delhi", "weather_follow_up")),
+    7: ([("aphid in wheat", "crop_question", "Wheat", "Aphid", None, False), ("what about mustard", "general_agriculture", "Mustard", "Agronomy/General", None, False)], ("crop_question", "Mustard", "Aphid", None, "new_crop")),
+    8: ([("leaves turn brown", "general_agriculture", None, None, None, True), ("wheat", "general_agriculture", "Wheat", None, None, False)], ("crop_question", "Wheat", None, None, "crop_reply")),
+    9: ([("aphid in wheat", "crop_question", "Wheat", "Aphid", None, False), ("which variety resists this", "topic_not_covered", None, "varieties", None, False)], ("crop_question", "Wheat", "Aphid", None, "same_crop")),
+    10: ([("aphid in wheat", "crop_question", "Wheat", "Aphid", None, False), ("weeds", "topic_not_covered", None, "weeds", None, False)], ("topic_not_covered", None, "weeds", None, "closed")),
+}
+
+
+def talks(spark):
+    rows = [(c, n, t, i, 0.7 if i == "topic_not_covered" else 0.9, crop, topic, place, False, asks) for c, (turns, _) in TALKS.items() for n, (t, i, crop, topic, place, asks) in enumerate(turns)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, text string, intent string, confidence double, crop string, topic string, place string, use_chapters boolean, needs_crop boolean")
+
+
 def test_dialogue(spark):
-    rows = [(1, 0, "u", "crop_question", "Wheat", "Aphid", None), (1, 1, "kal?", "weather", None, None, "Delhi"), (1, 2, "what dose is that", "general_agriculture", None, None, None), (2, 0, "price", "market_price", None, "Market prices", None), (2, 1, "Sangrur", "general_agriculture", None, None, None)]
-    got = {(r.conv_id, r.turn): r for r in dialog.resolved(spark.createDataFrame(rows, "conv_id long, turn long, text string, intent string, crop string, topic string, place string")).collect()}
-    assert got[1, 2].crop == "Wheat" and got[1, 2].topic == "Aphid" and got[2, 1].place == "Sangrur" and got[2, 1].intent == "market_price"
+    got = {(r.conv_id, r.turn): (r.intent, r.crop, r.topic, r.place, r.rule) for r in dialog.resolved(talks(spark)).collect()}
+    assert {c: got[c, len(turns) - 1] for c, (turns, _) in TALKS.items()} == {c: want for c, (_, want) in TALKS.items()}
+    book = {r.conv_id: (r.intent, r.crop, r.topic, r.use_chapters) for r in dialog.resolved(talks(spark), chapters=True).filter("turn = 1").collect()}
+    assert book[10] == ("crop_question", "Wheat", "weeds weed control", True)
+
+
+def test_places_and_terms(spark):
+    place = lambda t: one(spark, tools.detect_place(F.col("t")), t=t)
+    assert [place(t) for t in ("rain in nashik today", "moga vich bhav", "weather in UP", "pick up now", "ਸੰਗਰੂਰ ਮੰਡੀ")] == ["Nashik", "Moga", "Uttar Pradesh", None, "Sangrur"]
+    assert one(spark, rules.search_terms(F.col("t")), t="नदी में खरपतवार, zinc") == "weeds weed control zinc fertilizer application"
+    assert one(spark, rules.weather_topics(F.col("t")), t="spray water before irrigation") == ["irrigation"]
+    assert tools.crop_words((("Rice", ("basmati rice", "धान")),)) == ("basmati", "rice")
+
+
+def test_claims(spark):
+    checks = lambda c, **v: [(x.kind, x.status) for x in one(spark, c, **v)]
+    proof = F.array(F.col("e"))
+    assert checks(claims.money_checks(F.col("q"), proof), q="Since it gives ₹12,000 per month, how?", e="It pays Rs 6,000 per year in 3 instalments.") == [("money", "contradicted")]
+    assert checks(claims.money_checks(F.col("q"), proof), q="500 rupees a month?", e="Rs 6000 yearly") == [("money", "supported")]
+    assert checks(claims.money_checks(F.col("q"), proof), q="Rs 500 per acre", e="Rs 500 per quintal") == [("money", "unverified")]
+    assert checks(claims.dose_checks(F.col("q"), proof), q="100 g Actara per acre", e="Spray 40 g of actara. 100 g tilt.") == [("dose", "contradicted")]
+    assert checks(claims.dose_checks(F.col("q"), proof), q="use 5 kg in water", e="5 kg") == []
+    assert one(spark, claims.unknown_diseases(F.col("q"), F.col("e")), q="treat para wilt and golden blight", e="parawilt of cotton") == []
+    assert one(spark, claims.premise_clause(F.col("q")), q="I heard that the state buys all, is it so?") == "the state buys all"
 
 
 def test_logs_and_reports(spark):
@@ -212,11 +258,13 @@ def test_sources(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    turns = spark.createDataFrame([(1, 0, "crop_question", "Wheat", "Aphid", None), (1, 1, "general_agriculture", None, None, None)], "conv_id long, turn long, intent string, crop string, topic string, place string")
+    turns = talks(spark)
     turns.write.parquet(str(tmp_path / "turns"))
-    q = streams.dialogue(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns"))).writeStream.format("memory").queryName("dialogue").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    stream = dialog.marked(spark.readStream.schema(turns.schema).parquet(str(tmp_path / "turns")))
+    q = streams.dialogue(stream).writeStream.format("memory").queryName("dialogue").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    assert {(r.turn, r.crop) for r in spark.sql("SELECT * FROM dialogue").collect()} == {(0, "Wheat"), (1, "Wheat")}
+    columns = ["conv_id", "turn", "intent", "crop", "topic", "place", "follow_up_of", "rule"]
+    assert sorted(map(str, spark.sql("SELECT * FROM dialogue").select(*columns).collect())) == sorted(map(str, dialog.resolved(turns).select(*columns).collect()))
     answers = spark.createDataFrame([("q1", "t1", ["pesticide"])], "question string, created string, reasons array<string>")
     answers.write.parquet(str(tmp_path / "answers"))
     streams.append_reviews(spark.readStream.schema(answers.schema).parquet(str(tmp_path / "answers")), str(tmp_path / "log"), str(tmp_path / "cp2")).awaitTermination()
