@@ -330,6 +330,9 @@ SQL = {
     "latency_quantiles": "WITH v AS (SELECT event_type, list(value ORDER BY value) AS l, median(value) AS m FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, round(m, 6) AS median, l[floor(0.95 * (len(l) - 1))::INT + 1] AS p95_index, l[greatest(floor(0.95 * len(l))::INT, 1)] AS p95_count FROM v",
     "stale_index_diff": "WITH d AS (SELECT doc_id, md5(text) AS text FROM documents), o AS (SELECT * FROM d WHERE doc_id % 10 <> 3), n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN md5(text) ELSE text END AS text FROM d WHERE doc_id % 10 <> 4) SELECT *, 'removed' AS side FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT *, 'added' FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o)",
     "vector_cache_missing": "WITH k AS (SELECT doc_id, sha1('hashed|256|' || text) AS key FROM documents) SELECT key, min(doc_id) AS doc_id FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 3 = 0) GROUP BY key",
+    "page_sections": r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)(<(?:h[1-6]|p)[^>]*>.*?</(?:h[1-6]|p)>)', 1) AS l FROM pages), b AS (SELECT page_id, i AS pos, l[i] AS block FROM p, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+      t AS (SELECT page_id, pos, regexp_matches(block, '^<h[1-6]') AS head, trim(regexp_replace(regexp_replace(block, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM b),
+      r AS (SELECT *, (sum(head::INT) OVER (PARTITION BY page_id ORDER BY pos))::BIGINT AS section FROM t) SELECT page_id, section, count(*) AS blocks, md5(string_agg(text, chr(10) ORDER BY pos)) AS digest FROM r GROUP BY ALL""",
     "json_props": "SELECT json_extract_string(props, '$.k')::INT AS k, count(*) AS n FROM events GROUP BY 1",
     "event_windows": "SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM s GROUP BY ALL) GROUP BY user_id",
