@@ -579,6 +579,68 @@ def test_pack_block(seed):
         assert at == n
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """The tables of the registered queries, small and odd: nulls, empty and long texts, copies, columns with clashing names."""
+    at = tmp_path_factory.mktemp("sf")
+    rows = [(i, t) for i, t in texts() if i is not None and i != 14] + [(20, "ab" * 60_000), (21, "word " * 20_000), (22, "call +1 (202) 555-0143 or mail a.b@c.example.org from 10.0.0.7")]
+    clash = {"gone_id": 1, "gone_stay": 2, "digest": "x", "stay_id": 3, "row": 4, "key": 5, "__gone_id": 6}
+    frame = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.withColumns({n: F.lit(v) for n, v in clash.items()}).repartition(3).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(12)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    spark.createDataFrame([(i, None if i == 7 else [float(i % 5), float(-i), 0.5]) for i in range(50)], "vec_id long, embedding array<float>").write.parquet(str(at / "embeddings.parquet"))
+    spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", None), (None, 0, None, None)], "conv_id long, turn long, role string, text string").write.parquet(str(at / "conversations.parquet"))
+    return str(at), rows
+
+
+def sha(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
+
+
+def test_registered_queries_return_their_digests(spark, folder):
+    at, rows = folder
+    run = lambda name: Q.queries()[name](spark, at).collect()
+    raw = {i: (t or "").encode() for i, t in rows}
+    best = {}
+    for i, t in rows:
+        best[lowered(t)] = max(i, best.get(lowered(t), i))
+    got = {r.doc_id: r for r in run("op1_exact_dedup")}
+    assert set(got) == set(raw) and all((r.keep_id, r.kept, r.text_sha256) == (best[lowered(t)], best[lowered(t)] == i, sha(lowered(t).encode())) for i, t in rows for r in [got[i]])
+    tok = byte_encoder(public_path("byte_bpe_50k.json")).library
+    got = {r.doc_id: r for r in run("op3_bpe")}
+    for i, t in rows:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tok.decode(ids, skip_special_tokens=False).encode()))
+    for r in run("op5_pii"):
+        base = base_brute(raw[r.doc_id].decode())
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()) and all(f"{k}:{a}:{b}" in r.spans.split(",") for k, a, b in base)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in run("op6_jaccard_join")} == jaccard_brute(rows)
+    for name, parts, held, least in (("op7_toxicity", 4, 2, 0.3), ("op8_quality", 3, 1, 0.5)):
+        got = run(name)
+        assert {r.doc_id for r in got} == set(raw) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= least) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % parts == held) for r in got)
+    want = repeats_brute(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run("op9_suffix_dedup")} == {i: (*v[:3], sha(v[3])) for i, v in want.items()}
+    coder, seen = word_encoder(public_path("word_bpe_49k.json")), collections.defaultdict(int)
+    for r in run("op10_packing"):
+        ids = np.append(coder.encode(raw[r.doc_id].decode()), packing.END_ID).astype("<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        seen[r.doc_id] += r.length
+    assert all(seen[i] == len(coder.encode(t.decode())) + 1 for i, t in raw.items())
+    assert len(run("op2_topk")) == 3 * 20 and [r.conv_id for r in run("op4_chat")] == [2]
+
+
+def test_pipeline_stages_keep_other_columns(spark, folder, empty):
+    at, rows = folder
+    docs = spark.read.parquet(f"{at}/documents.parquet").withColumn("text", F.regexp_replace("text", "(?i)idiot", "stone"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, at)
+        assert set(docs.columns) >= {"doc_id", "text", "gone_id", "__gone_id", "digest", "key"} and docs.count() > 8
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, at).count() > 8
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, at).count() == 0, name
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 11)]
     assert set(Q.oracle_sql()) <= set(Q.queries())
