@@ -95,15 +95,24 @@ def newest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("o_orderstatus", "o_orderkey", F.date_format("day", "dd/MM/yyyy").alias("day"), F.col("n").cast("long").alias("n"))
 
 
+#: A nation's own price needs this many customers of the segment.
+LEAST_LOCAL = 10
+
+
 def price_lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average balance of a customer's segment in their nation, else in their region: the local row wins."""
+    """Average balance, in whole cents, of a customer's segment in their nation if it has ``LEAST_LOCAL`` customers there,
+    else in their region: the local row wins."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    rich = c.filter("c_acctbal > 9000").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    local = rich.groupBy("c_nationkey", "c_mktsegment").agg(F.round(F.avg("c_acctbal"), 2).alias("local_price"))
-    wide = rich.groupBy("n_regionkey", "c_mktsegment").agg(F.round(F.avg("c_acctbal"), 2).alias("wide_price"))
-    asked = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey", "c_mktsegment")
+    placed = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    cents = placed.withColumn("cents", F.round(F.col("c_acctbal") * 100).cast("long")).filter("cents IS NOT NULL")
+    local = cents.groupBy("c_nationkey", "n_regionkey", "c_mktsegment").agg(F.sum("cents").alias("total"), F.count("*").alias("n"))
+    wide = local.groupBy("n_regionkey", "c_mktsegment").agg(F.expr("sum(total) div sum(n)").alias("wide_price"))
+    local = local.filter(F.col("n") >= LEAST_LOCAL).select("c_nationkey", "c_mktsegment", F.expr("total div n").alias("local_price"))
+    asked = placed.select("c_custkey", "c_nationkey", "n_regionkey", "c_mktsegment")
     both = asked.join(local, ["c_nationkey", "c_mktsegment"], "left").join(wide, ["n_regionkey", "c_mktsegment"], "left")
-    return both.select("c_custkey", F.coalesce("local_price", "wide_price", F.lit(-1.0)).alias("price"), F.when(F.col("local_price").isNotNull(), "local").when(F.col("wide_price").isNotNull(), "region").otherwise("none").alias("source"))
+    price = F.coalesce(F.coalesce("local_price", "wide_price") / 100, F.lit(-1.0))
+    source = F.when(F.col("local_price").isNotNull(), "local").when(F.col("wide_price").isNotNull(), "region").otherwise("none")
+    return both.select("c_custkey", price.alias("price"), source.alias("source"))
 
 
 def eligibility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,8 +313,9 @@ SQL = {
     "dose_scaling": f"""WITH {DOSE_CTE.replace("AS answer,", "AS answer, l_quantity::INT * 3.5::DOUBLE AS q, p_size * 3.5::DOUBLE AS s, 'Use ' || l_quantity::INT || ' kg (' AS a, ' for your 3.5 acres)' AS z, ' of ' || p_name || ' per acre in ' || p_size || '-60 liters (' AS b,")}
       SELECT l_orderkey, l_linenumber, a || ({READABLE.format('q')}) || ' kg' || z || b || ({READABLE.format('s')}) || '-210 litres' || z || ', again after two weeks.' || chr(10) || chr(10) || '_Totals are worked out for 3.5 acres._' AS scaled FROM dt""",
     "newest_prices": "SELECT o_orderstatus, o_orderkey, strftime(day, '%d/%m/%Y') AS day, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM (SELECT *, o_orderdate::DATE AS day, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate::DATE DESC) AS d FROM orders) WHERE d = 1) WHERE n <= 5",
-    "price_lookup_fallback": """WITH r AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000), lo AS (SELECT c_nationkey, c_mktsegment, round(avg(c_acctbal), 2) AS lp FROM r GROUP BY ALL), wi AS (SELECT n_regionkey, c_mktsegment, round(avg(c_acctbal), 2) AS wp FROM r GROUP BY ALL)
-      SELECT c_custkey, coalesce(lp, wp, -1.0::DOUBLE) AS price, CASE WHEN lp IS NOT NULL THEN 'local' WHEN wp IS NOT NULL THEN 'region' ELSE 'none' END AS source FROM customer c JOIN nation ON c_nationkey = n_nationkey LEFT JOIN lo USING (c_nationkey, c_mktsegment) LEFT JOIN wi USING (n_regionkey, c_mktsegment) """,
+    "price_lookup_fallback": f"""WITH r AS (SELECT c_nationkey, n_regionkey, c_mktsegment, round(c_acctbal * 100)::BIGINT AS cents FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal IS NOT NULL),
+      lo AS (SELECT c_nationkey, c_mktsegment, sum(cents)::BIGINT // count(*) AS lp FROM r GROUP BY ALL HAVING count(*) >= {LEAST_LOCAL}), wi AS (SELECT n_regionkey, c_mktsegment, sum(cents)::BIGINT // count(*) AS wp FROM r GROUP BY ALL)
+      SELECT c_custkey, coalesce(coalesce(lp, wp) / 100, -1.0::DOUBLE) AS price, CASE WHEN lp IS NOT NULL THEN 'local' WHEN wp IS NOT NULL THEN 'region' ELSE 'none' END AS source FROM customer c JOIN nation ON c_nationkey = n_nationkey LEFT JOIN lo USING (c_nationkey, c_mktsegment) LEFT JOIN wi USING (n_regionkey, c_mktsegment) """,
     "eligibility_rules": f"""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'needs_info' WHEN own IS false THEN 'not_eligible' WHEN reasons <> '' THEN 'not_eligible' WHEN own THEN 'likely_eligible' ELSE 'needs_info' END AS status,
       CASE WHEN c_custkey % 11 = 0 THEN '' WHEN own IS false THEN concat_ws(',', 'no_land', nullif(reasons, '')) ELSE reasons END AS reasons, c_custkey % 11 <> 0 AND ({FLAG(5)}) IS true AS may_be_withheld
       FROM (SELECT c_custkey, {FLAG(4)} AS own, concat_ws(',', CASE WHEN ({FLAG(9)}) IS true THEN 'pensioner' END, CASE WHEN ({FLAG(13)}) IS true THEN 'taxpayer' END) AS reasons FROM customer)""",
