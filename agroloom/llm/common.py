@@ -2,56 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agroloom.sources.shared import at_path, discard, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: the session's ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is used on a local master (and set for ``DataFrame.checkpoint`` too); on a
-    cluster that is an error, as its machines don't share such a folder.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = os.path.join(tempfile.gettempdir(), "agroloom-checkpoints")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors.
-
-    Nulls, repeated rows and empty tables come back as they were. The folder goes by ``discard``, at the latest when the
-    session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop, files = at_path(spark, path)
-    files.deleteOnExit(hadoop)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what ``written`` wrote for ``df``; nothing that is still to be computed may read it."""
-    hadoop, files = at_path(df.sparkSession, df.written_at)
-    files.delete(hadoop, True)
-
-
-def at_path(spark: SparkSession, path: str):
-    """Hadoop's path and file system of ``path``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+__all__ = ["at_path", "discard", "documents", "shared_dir", "texts", "unused", "utf8", "written"]
 
 
 def unused(name: str, columns: list[str]) -> str:
