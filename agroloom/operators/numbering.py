@@ -13,7 +13,6 @@ from agroloom.sources.shared import written
 ROW_BITS = 33
 
 
-
 def number_by_range(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), name: str = "n", count: str | None = None) -> DataFrame:
     """``rows`` with their position (from 0) in ``order`` within each group of ``by``; with ``count``, the group's size too.
 
@@ -23,8 +22,9 @@ def number_by_range(rows: DataFrame, order: list[str | Column], by: tuple[str, .
     them comes first is arbitrary. Nulls come first; an empty table stays empty.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    keys = [*(F.col(c).asc_nulls_first() for c in by), *order, F.xxhash64(F.monotonically_increasing_id())]
-    held = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys[:-1]).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    keys = [*(F.col(c).asc_nulls_first() for c in by), *order]
+    ranged = rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*keys, "_tie")
+    held = written(ranged.sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", ROW_BITS)
     runs = held.groupBy(part.alias("_part"), *by).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
