@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agroloom.llm import bpe, chat, exact_dedup, jaccard_join, packing, pii, quality, suffix_dedup, topk_search, toxicity
+from agroloom.llm import alignment, bpe, chat, exact_dedup, jaccard_join, merkle, packing, pieces, pii, quality, suffix_dedup, topk_search, toxicity
 from agroloom.llm.common import documents
 from agroloom.llm.labelled import remainder
 from agroloom.llm.tokenization import public_path
@@ -124,6 +124,70 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the documents, with every second row's line ends gone when it is checked."""
+    docs = documents(spark, sf_dir)
+    rows = merkle.manifest(docs, merkle.without_lines(docs))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def spelled_sql(text: str) -> str:
+    parts = (f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256(concat({', '.join(parts)}))"
+
+
+#: CRC-32 of decimal digits, bit by bit.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+OP11_SQL = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, source, {spelled_sql('text')} AS leaf, CASE WHEN {CRC_SQL} % 2 = 0 THEN {spelled_sql("replace(text, chr(10), '')")} END AS other FROM documents
+), l AS (
+  SELECT coalesce('=' || source, '') AS src, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, doc_id, leaf, coalesce(other, leaf) AS other FROM raw
+), tree AS (
+  SELECT src, 0 AS level, pos, n, leaf AS digest FROM l
+  UNION ALL
+  SELECT src, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY src, level, pos // 3, n
+), sub AS (SELECT src, digest AS subroot, row_number() OVER (ORDER BY src) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+above AS (
+  SELECT 0 AS level, pos, n, subroot AS digest FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY level, pos // 3, n
+), root AS (SELECT digest AS root FROM above WHERE n = 1),
+low AS (SELECT src, level, pos // 3 AS run, list(digest ORDER BY pos) AS nodes FROM tree WHERE n > 1 GROUP BY ALL),
+high AS (SELECT level, pos // 3 AS run, list(digest ORDER BY pos) AS nodes FROM above WHERE n > 1 GROUP BY ALL),
+walk AS (
+  SELECT doc_id, leaf, l.src, 0 AS level, l.pos, false AS over, '' AS proof, l.other AS node, l.n FROM l
+  UNION ALL
+  SELECT doc_id, leaf, w.src, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.n = 1 THEN s.pos ELSE w.pos // 3 END, w.over OR w.n = 1,
+         CASE WHEN w.n = 1 THEN proof ELSE proof || array_to_string(x.nodes[:w.pos % 3], '') || array_to_string(x.nodes[w.pos % 3 + 2:], '') END,
+         CASE WHEN w.n = 1 THEN node ELSE sha256(array_to_string(x.nodes[:w.pos % 3], '') || node || array_to_string(x.nodes[w.pos % 3 + 2:], '')) END,
+         CASE WHEN w.n = 1 THEN s.n ELSE (w.n + 2) // 3 END
+  FROM walk w JOIN sub s USING (src)
+  LEFT JOIN (SELECT src, false AS over, level, run, nodes FROM low UNION ALL SELECT s2.src, true, level, run, nodes FROM high, sub s2) x ON x.src = w.src AND x.over = w.over AND x.level = w.level AND x.run = w.pos // 3
+  WHERE NOT (w.over AND w.n = 1)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM walk JOIN sub USING (src), root WHERE over AND walk.n = 1
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public vocabularies meet in every text, and how common their pairs are."""
+    rows = alignment.align(documents(spark, sf_dir), public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = alignment.scored(rows.withColumn("groups_sha256", digest).drop("groups"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every whole text and the text they decode to, as digests."""
+    path = public_path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(documents(spark, sf_dir), path), path)
+    spelled = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -136,8 +200,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
+        "op11_merkle": op11_merkle,
+        "op12_alignment": op12_alignment,
+        "op13_sentencepiece": op13_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op4_chat": OP4_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op4_chat": OP4_SQL, "op11_merkle": OP11_SQL}

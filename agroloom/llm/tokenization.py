@@ -12,6 +12,7 @@ import json
 import re
 
 import numpy as np
+import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -36,6 +37,7 @@ class ByteEncoder:
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=self.special)
+        self.ordinary = tiktoken.Encoding("ordinary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         #: By code point (a byte): its symbol.
         self.symbols = {b: s for s, b in symbols.items()}
         self.library = Tokenizer.from_file(path)
@@ -50,6 +52,10 @@ class ByteEncoder:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(self.coder.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
+    def plain(self, text: str) -> np.ndarray:
+        """Ids of a text in which strings of special tokens are ordinary text."""
+        return np.asarray(self.ordinary.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+
     def pieces(self, text: str) -> list[tuple[int, int]]:
         """Bounds of the pieces into which the library's pre-tokenizer splits a text without special tokens."""
         return [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
@@ -126,6 +132,64 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+class PieceEncoder:
+    """SentencePiece ids by a table of distinct chunks; for models whose pieces don't cross white-space markers.
+
+    A normalised text starts with a marker. It is cut before every marker that follows another character, so a chunk is
+    one marked word (with further markers in front where white space repeats). No piece of the vocabulary holds a marker
+    after another character, hence no merge crosses a cut, and the ids of a text are those of its chunks in order. The
+    library segments each distinct chunk once while the table holds it (at most ``most`` chunks, and ``most_chars``
+    characters, after which it starts anew).
+    """
+
+    MARK = "\u2581"
+
+    def __init__(self, path: str, most: int = 200_000, most_chars: int = 16_000_000):
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        crossing = [p for p in self.pieces if self.MARK in p.lstrip(self.MARK)]
+        if crossing or self.model.normalize("a  b ") != f"{self.MARK}a{self.MARK}{self.MARK}b{self.MARK}":
+            raise ValueError("chunks need pieces that don't cross markers, a marker in front of a text, and white space kept")
+        #: A chunk of one marker is white space at the end of a text; alone, the library would see an empty text.
+        self.lone = [self.model.piece_to_id(self.MARK)]
+        self.most, self.most_chars = most, most_chars
+        self.table: dict[str, bytes] = {}
+        self.chars = 0
+        self.cut = re.compile(f"{self.MARK}+[^{self.MARK}]*")
+
+    def chunks(self, text: str) -> list[str]:
+        return self.cut.findall(self.MARK + text.replace(" ", self.MARK)) if text else []
+
+    def add(self, chunks: list[str]) -> None:
+        """Segments the chunks that the table lacks."""
+        new = list(set(chunks).difference(self.table))
+        if len(new) + len(self.table) > self.most or self.chars > self.most_chars:
+            self.table.clear()
+            self.chars, new = 0, list(set(chunks))
+        # the library puts the first marker in front itself
+        for chunk, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
+            self.table[chunk] = np.array(ids if len(chunk) > 1 else self.lone, "<u4").tobytes()
+            self.chars += len(chunk)
+
+    def encode(self, text: str) -> np.ndarray:
+        chunks = self.chunks(text)
+        self.add(chunks)
+        return np.frombuffer(b"".join(map(self.table.__getitem__, chunks)), "<u4")
+
+    def decode(self, many: list[list[int]]) -> list[str]:
+        return self.model.decode(many, num_threads=1) if many else []
+
+    @functools.cached_property
+    def raw(self) -> list[bytes]:
+        """Bytes of each id: its piece with markers as spaces, or the byte it stands for."""
+        return [bytes([int(p[3:-1], 16)]) if self.model.is_byte(i) else p.replace(self.MARK, " ").encode() for i, p in enumerate(self.pieces)]
+
+
+@functools.cache
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
 @functools.cache
 def byte_encoder(path: str) -> ByteEncoder:
     """One encoder a process and file."""
