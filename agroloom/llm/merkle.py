@@ -129,45 +129,45 @@ def sides(runs: np.ndarray, there: np.ndarray, own: np.ndarray) -> tuple[list[by
     return left, right
 
 
-def blocks(numbered: DataFrame) -> DataFrame:
+def blocks(numbered: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(src, block, n, ids, leaves, others, top): one row for each aligned block of leaves (src, doc_id, leaf, other, at, n)."""
 
     def gathered(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
         raw, n = t["leaf"].to_pylist(), t["n"][0].as_py()
-        top = climbed(hex_rows(raw), min(depth(n), LEVELS))[-1]
+        top = climbed(hex_rows(raw), min(depth(n), levels))[-1]
         others = [b if x is None else x for x, b in zip(t["other"].to_pylist(), raw, strict=True)]
         one = lambda x, kind: pa.array([x], kind)
         return pa.table({"src": t["src"].slice(0, 1), "block": t["block"].slice(0, 1), "n": t["n"].slice(0, 1), "ids": one(t["doc_id"].to_pylist(), pa.list_(pa.int64())), "leaves": one(b"".join(raw), pa.binary()), "others": one(b"".join(others), pa.binary()), "top": one(top.tobytes(), pa.binary())})
 
-    size = F.lit(FANOUT**LEVELS)
+    size = F.lit(FANOUT**levels)
     rows = numbered.withColumn("block", F.floor(F.col("at") / size)).select("src", "block", "at", "n", "doc_id", "leaf", "other")
     return rows.groupBy("src", "block").applyInArrow(gathered, "src string, block long, n long, ids array<long>, leaves binary, others binary, top binary")
 
 
-def climb(nodes: DataFrame) -> DataFrame:
+def climb(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(src, at, up, lefts, rights, n, top): siblings of each node (src, at, n, digest) within its aligned block ``up``;
     ``n`` blocks of the source; the block's ``top`` stands in the row of its first node, else null."""
 
     def gathered(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
-        levels = climbed(matrix(t["digest"].to_pylist()), min(depth(t["n"][0].as_py()), LEVELS))
-        runs, there, own = siblings(levels)
+        rows = climbed(matrix(t["digest"].to_pylist()), min(depth(t["n"][0].as_py()), levels))
+        runs, there, own = siblings(rows)
         lefts, rights = zip(*(sides(runs[i], there[i], own[i]) for i in range(t.num_rows)), strict=True)
-        n = -(-t["n"][0].as_py() // FANOUT**LEVELS)
+        n = -(-t["n"][0].as_py() // FANOUT**levels)
         kind = pa.list_(pa.binary())
-        return pa.table({"src": t["src"], "at": t["at"], "up": t["up"], "lefts": pa.array(lefts, kind), "rights": pa.array(rights, kind), "n": pa.array([n] * t.num_rows, pa.int64()), "top": pa.array([levels[-1].tobytes()] + [None] * (t.num_rows - 1), pa.binary())})
+        return pa.table({"src": t["src"], "at": t["at"], "up": t["up"], "lefts": pa.array(lefts, kind), "rights": pa.array(rights, kind), "n": pa.array([n] * t.num_rows, pa.int64()), "top": pa.array([rows[-1].tobytes()] + [None] * (t.num_rows - 1), pa.binary())})
 
-    rows = nodes.withColumn("up", F.floor(F.col("at") / F.lit(FANOUT**LEVELS))).select("src", "at", "up", "n", "digest")
+    rows = nodes.withColumn("up", F.floor(F.col("at") / F.lit(FANOUT**levels))).select("src", "at", "up", "n", "digest")
     return rows.groupBy("src", "up").applyInArrow(gathered, "src string, at long, up long, lefts array<binary>, rights array<binary>, n long, top binary")
 
 
-def ways_up(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ways_up(nodes: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
     """Ways (src, at, lefts, rights) from each node (src, at, n, digest) to the single node of its ``src``, and these
-    (src, top). A round for every ``LEVELS`` levels; the driver sees one number a round."""
+    (src, top). A round for every ``levels`` levels; the driver sees one number a round."""
     rounds = []
     while True:
-        rounds.append(written(climb(nodes), "climb"))
+        rounds.append(written(climb(nodes, levels), "climb"))
         tops = rounds[-1].filter("top IS NOT NULL")
         nodes = tops.select("src", F.col("up").alias("at"), "n", F.col("top").alias("digest"))
         if (tops.agg(F.max("n")).first()[0] or 1) <= 1:
@@ -182,15 +182,15 @@ def ways_up(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 PROVED = "doc_id long, leaf string, subroot string, root string, proof string, folded_root string, verified boolean"
 
 
-def manifest(docs: DataFrame, altered: tuple[Column, Column] | None = None) -> DataFrame:
+def manifest(docs: DataFrame, altered: tuple[Column, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """One row per row of ``docs``: doc_id, leaf, subroot (its source's node), root, proof (its siblings' digests, level
     by level up to the root, left to right), folded_root (the root that the row, as ``altered``, leads to by its
     siblings) and verified (whether that is the root)."""
     numbered = number_by_range(written(leaves(docs, altered), "leaves"), ["doc_id", "leaf", "other"], ("src",), "at", "n")
-    held = written(blocks(numbered), "blocks")
-    ways, subroots = ways_up(held.select("src", F.col("block").alias("at"), F.ceil(F.col("n") / F.lit(FANOUT**LEVELS)).alias("n"), F.col("top").alias("digest")))
+    held = written(blocks(numbered, levels), "blocks")
+    ways, subroots = ways_up(held.select("src", F.col("block").alias("at"), F.ceil(F.col("n") / F.lit(FANOUT**levels)).alias("n"), F.col("top").alias("digest")), levels)
     ordered = written(number_by_range(subroots, ["src"], (), "at", "n"), "subroots")
-    top_ways, roots = ways_up(ordered.select(F.lit("").alias("src"), "at", "n", F.col("top").alias("digest")))
+    top_ways, roots = ways_up(ordered.select(F.lit("").alias("src"), "at", "n", F.col("top").alias("digest")), levels)
     found = roots.first()
     root = bytes(found.top) if found else b""
     sources = ordered.join(top_ways.select("at", F.col("lefts").alias("_l"), F.col("rights").alias("_r")), "at").select("src", F.col("top").alias("subroot"), "_l", "_r")
@@ -199,17 +199,17 @@ def manifest(docs: DataFrame, altered: tuple[Column, Column] | None = None) -> D
     def proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, n, own, others, subroot, lefts, rights in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                yield block_rows(ids, n, own, others, subroot, lefts, rights, root)
+                yield block_rows(ids, n, own, others, subroot, lefts, rights, root, levels)
 
     rows = held.join(whole, ["src", "block"]).select("ids", "n", "leaves", "others", "subroot", "lefts", "rights")
     return rows.mapInArrow(proved, PROVED)
 
 
-def block_rows(ids: list[int | None], n: int, own: bytes, others: bytes, subroot: bytes, lefts: list[bytes], rights: list[bytes], root: bytes) -> pa.RecordBatch:
+def block_rows(ids: list[int | None], n: int, own: bytes, others: bytes, subroot: bytes, lefts: list[bytes], rights: list[bytes], root: bytes, levels: int = LEVELS) -> pa.RecordBatch:
     """The rows of :func:`manifest` of one block of leaves, given the way from its top to the root."""
     m = len(ids)
     first, second = hex_rows([own]), hex_rows([others])
-    runs, there, slot = siblings(climbed(first, min(depth(n), LEVELS)))
+    runs, there, slot = siblings(climbed(first, min(depth(n), levels)))
     beyond = b"".join(a + b for a, b in zip(lefts, rights, strict=True))
     proofs = [(runs[i][there[i]].tobytes() + beyond).decode() for i in range(m)]
 
