@@ -109,9 +109,9 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
                 part = whole.slice(at, ROWS_AT_ONCE)
                 ids_a, ids_b, rows = [], [], part.column(1).to_pylist()
-                for text in rows:
+                for text, b in zip(rows, two.encode(rows), strict=True):
                     raw = b" " + text.encode()
-                    a, b = (one.plain(" " + text), two.encode(text)) if text else ((), ())
+                    a = one.plain(" " + text) if text else ()
                     if len(a) and one.bytes_of(a.tolist()) == raw and b"".join(map(two.raw.__getitem__, b.tolist())) == raw:
                         ids_a.append(a.astype(np.int64))
                         ids_b.append(b.astype(np.int64))

@@ -34,7 +34,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_OUT):
                 b = whole.slice(at, ROWS_OUT)
-                ids = [coder.encode(t) for t in b.column(1).to_pylist()]
+                ids = coder.encode(b.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])

@@ -7,7 +7,9 @@ white space, contractions, letters outside Latin-1) goes through the library its
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
 import json
 import re
 
@@ -144,16 +146,16 @@ class PieceEncoder:
 
     MARK = "\u2581"
 
-    def __init__(self, path: str, most: int = 200_000, most_chars: int = 16_000_000):
+    def __init__(self, path: str, most: int = 300_000, most_chars: int = 16_000_000):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         crossing = [p for p in self.pieces if self.MARK in p.lstrip(self.MARK)]
         if crossing or self.model.normalize("a  b ") != f"{self.MARK}a{self.MARK}{self.MARK}b{self.MARK}":
             raise ValueError("chunks need pieces that don't cross markers, a marker in front of a text, and white space kept")
         #: A chunk of one marker is white space at the end of a text; alone, the library would see an empty text.
-        self.lone = [self.model.piece_to_id(self.MARK)]
+        self.lone = {self.MARK: array.array("I", [self.model.piece_to_id(self.MARK)]).tobytes()}
         self.most, self.most_chars = most, most_chars
-        self.table: dict[str, bytes] = {}
+        self.table = dict(self.lone)
         self.chars = 0
         self.cut = re.compile(f"{self.MARK}+[^{self.MARK}]*")
 
@@ -164,20 +166,39 @@ class PieceEncoder:
         """Segments the chunks that the table lacks."""
         new = list(set(chunks).difference(self.table))
         if len(new) + len(self.table) > self.most or self.chars > self.most_chars:
-            self.table.clear()
-            self.chars, new = 0, list(set(chunks))
+            self.table = dict(self.lone)
+            self.chars, new = 0, list(set(chunks).difference(self.table))
         # the library puts the first marker in front itself
-        for chunk, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
-            self.table[chunk] = np.array(ids if len(chunk) > 1 else self.lone, "<u4").tobytes()
-            self.chars += len(chunk)
+        ids = self.model.encode([c[1:] for c in new], num_threads=1) if new else []
+        self.table.update(zip(new, [array.array("I", x).tobytes() for x in ids], strict=True))
+        self.chars += sum(map(len, new))
 
-    def encode(self, text: str) -> np.ndarray:
-        chunks = self.chunks(text)
-        self.add(chunks)
-        return np.frombuffer(b"".join(map(self.table.__getitem__, chunks)), "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. The distinct chunks of all of them go to the library in one call."""
+        cut = [self.chunks(t) for t in texts]
+        self.add(list(itertools.chain.from_iterable(cut)))
+        return [np.frombuffer(b"".join(map(self.table.__getitem__, chunks)), "<u4") for chunks in cut]
 
     def decode(self, many: list[list[int]]) -> list[str]:
-        return self.model.decode(many, num_threads=1) if many else []
+        """Text of each row of ids. Where a row starts with a marker and its pieces are whole characters, that is their
+        bytes without the first marker; the library decodes all others."""
+        out, odd = [], []
+        for ids in many:
+            raw = b"".join(map(self.raw.__getitem__, ids))
+            try:
+                plain = bool(ids) and self.pieces[ids[0]][0] == self.MARK and self.silent.isdisjoint(ids)
+                out.append(raw[1:].decode() if plain else None)
+            except UnicodeDecodeError:
+                out.append(None)
+            if out[-1] is None:
+                odd.append(ids)
+        found = iter(self.model.decode(odd, num_threads=1) if odd else [])
+        return [next(found) if text is None else text for text in out]
+
+    @functools.cached_property
+    def silent(self) -> frozenset[int]:
+        """Ids that stand for no text of their own."""
+        return frozenset(i for i in range(len(self.pieces)) if self.model.is_control(i) or self.model.is_unknown(i))
 
     @functools.cached_property
     def raw(self) -> list[bytes]:
