@@ -167,30 +167,31 @@ def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, section: str | N
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     place = lambda seed, count: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).cast("int")
     name = F.col(section) if section else F.lit("")
-    left = vectors.select("id", "v", name.alias("section"), F.lit(False).alias("asks"), place(1, cells).alias("cell"), every(groups).alias("g"))
-    right = queries.select("id", "v", F.lit("").alias("section"), F.lit(True).alias("asks"), every(cells).alias("cell"), place(2, groups).alias("g"))
+    kinds = [d.schema["id"].dataType.simpleString() for d in (queries, vectors)]  # keys may be numbers or strings
+    left = vectors.select("id", F.lit(None).cast(kinds[0]).alias("q"), "v", name.alias("section"), F.lit(False).alias("asks"), place(1, cells).alias("cell"), every(groups).alias("g"))
+    right = queries.select(F.lit(None).cast(kinds[1]).alias("id"), F.col("id").alias("q"), "v", F.lit("").alias("section"), F.lit(True).alias("asks"), every(cells).alias("cell"), place(2, groups).alias("g"))
 
     def searched(t: pa.Table) -> pa.Table:
         asks = t["asks"].to_numpy(zero_copy_only=False).astype(bool)
-        ids = np.array(t["id"].to_pylist())
+        own_ids, asked = t["id"].filter(pa.array(~asks)).to_pylist(), t["q"].filter(pa.array(asks)).to_pylist()
         of = lambda flags: np.stack([np.frombuffer(x, float) for x in t["v"].filter(pa.array(flags)).to_pylist()]) if flags.any() else np.zeros((0, 1))
         a, b = of(asks), of(~asks)
         out: list[tuple] = []
         if len(a) and len(b):
-            names, docs = np.array(t["section"].to_pylist(), object)[~asks], ids[~asks]
+            names, docs = np.array(t["section"].to_pylist(), object)[~asks], np.array(own_ids)
             scores = np.round(a @ b.T, 6)
-            for q, row in zip(ids[asks], scores, strict=True):
+            for q, row in zip(asked, scores, strict=True):
                 order = np.lexsort((docs, -row))
                 if not own:
                     order = order[docs[order] != q]
                 if section:
                     seen: set = set()
                     order = [i for i in order if not (names[i] in seen or seen.add(names[i]))]
-                out += [(q, docs[i], row[i], names[i]) for i in order[:k]]
+                out += [(q, own_ids[i], row[i], names[i]) for i in order[:k]]
         columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.table({"item_id": pa.array(columns[0], pa.int64()), "doc_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64()), "section": pa.array(columns[3], pa.string())})
+        return pa.table({"item_id": pa.array(columns[0], t["q"].type), "doc_id": pa.array(columns[1], t["id"].type), "score": pa.array(columns[2], pa.float64()), "section": pa.array(columns[3], pa.string())})
 
-    found = left.unionByName(right).groupBy("cell", "g").applyInArrow(searched, "item_id long, doc_id long, score double, section string")
+    found = left.unionByName(right).groupBy("cell", "g").applyInArrow(searched, f"item_id {kinds[0]}, doc_id {kinds[1]}, score double, section string")
     return found if section else found.drop("section")
 
 
@@ -291,6 +292,12 @@ def siblings(chosen: DataFrame, chunks: DataFrame, section: list[str], most: int
     return rest.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("_r")
 
 
+def citation(reference: str, source: str, title: str, section: str) -> Column:
+    """Where a hit is printed, if its chunk says so, else its source and title; then its section."""
+    printed = F.when(F.col(reference) != "", F.col(reference))
+    return F.concat(F.coalesce(printed, F.concat(F.col(source), F.lit(" - "), F.col(title))), F.lit(" ["), F.col(section), F.lit("]"))
+
+
 def confident(fused: DataFrame) -> DataFrame:
     """(item_id, confident): whether the top hit is first in both lists."""
     top = fused.filter("rank = 1")

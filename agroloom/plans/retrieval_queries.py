@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from agroloom.functions.text import search_tokens
 from agroloom.operators import chunking
+from agroloom.operators import index as I
 from agroloom.operators import retrieval as R
 from agroloom.operators.spread import spread
+from agroloom.sources import readers
+from agroloom.sources.shared import at_path, fresh_path, shared_dir, written
 
 TOK = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[\p{{P}}\p{{S}}\p{{C}}]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda x: length(x) > 1)"
 ALL_TOK = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[\p{{P}}\p{{S}}\p{{C}}]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda x: x <> '')"
@@ -88,20 +92,59 @@ def doc_freq_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(50)
 
 
-def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(*tables(spark, sf_dir, "documents", "benchmark"))
+def stored_index(spark: SparkSession, sf_dir: str, name: str, docs, id_col: str = "doc_id") -> I.Index:
+    """The index of a table in the session's shared folder: built by the first query that asks for it, read by all others.
+    ``docs`` makes the table."""
+    path = f"{shared_dir(spark)}/tables/index-{spark.sparkContext.applicationId}-{name}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    hadoop, files = at_path(spark, path)
+    if not files.exists(hadoop):
+        files.deleteOnExit(hadoop)
+    try:
+        return I.opened(spark, path)
+    except RuntimeError:
+        return I.build(docs(), path, id_col)
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    return stored_index(spark, sf_dir, "documents", lambda: tables(spark, sf_dir, "documents")[0])
+
+
+def sparse_list(index: I.Index, asked: DataFrame, k: int, **how) -> DataFrame:
+    """(item_id, doc_id, score, rank) from the stored index."""
+    return I.search(index, asked, k, **how).hits.withColumnRenamed("key", "doc_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents, tokens, distinct terms and postings of the stored index."""
+    index = corpus_index(spark, sf_dir)
+    m = index.manifest
+    return index.terms().agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).cast("long").alias("n_postings")).select(F.lit(m.n_docs).cast("long").alias("n_docs"), F.lit(m.n_tokens).cast("long").alias("n_tokens"), "n_terms", "n_postings")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranked(bm25_scores(spark, sf_dir), 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return sparse_list(corpus_index(spark, sf_dir), tables(spark, sf_dir, "benchmark")[0], 5)
 
 
 def bm25_single_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranked(R.bm25(*tables(spark, sf_dir, "documents", "benchmark"), repeats=False), 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return sparse_list(corpus_index(spark, sf_dir), tables(spark, sf_dir, "benchmark")[0], 5, repeats=False)
 
 
 def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranked(R.bm25(*tables(spark, sf_dir, "documents", "benchmark"), kind="okapi"), 5).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return sparse_list(corpus_index(spark, sf_dir), tables(spark, sf_dir, "benchmark")[0], 5, kind="okapi")
+
+
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 after an index of an earlier state of the documents (some missing, some with other texts, some that are gone
+    since) was brought up to date, and after it was compacted: as if it had been built from the documents."""
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    docs = docs.select("doc_id", "text")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("earlier words "), "text")).otherwise(F.col("text")).alias("text")
+    gone = docs.filter("doc_id % 11 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    earlier = I.build(docs.filter("doc_id % 7 <> 0").select("doc_id", changed).unionByName(gone), fresh_path(spark, "index"), vectors=False)
+    now = I.update(earlier, docs, vectors=False)
+    states = ((F.lit(n), sparse_list(ix, bench, 5)) for n, ix in (("updated", now), ("compacted", I.compact(now))))
+    one, two = (hits.withColumn("state", name) for name, hits in states)
+    return one.unionByName(two)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +159,13 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_list(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
-    return R.dense_top_k(R.unit_vectors(docs), R.unit_vectors(bench, "item_id"), k, (docs.count(), bench.count()))
+    (bench,) = tables(spark, sf_dir, "benchmark")
+    return dense_of(corpus_index(spark, sf_dir), bench, k)
+
+
+def dense_of(index: I.Index, asked: DataFrame, k: int) -> DataFrame:
+    """(item_id, doc_id, score, rank) from the stored vectors."""
+    return R.dense_top_k(index.vectors(), R.unit_vectors(asked, "item_id"), k, (index.manifest.n_docs, asked.count()))
 
 
 def hash_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,25 +176,26 @@ def section_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat_ws("/", "source", "lang").alias("section"))
 
 
-def section_lists(docs: DataFrame, asked: DataFrame, sizes: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def section_lists(index: I.Index, secs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dense and sparse hits of the queries ``asked``, the best of each section, five sections a list."""
-    secs = section_of(docs)
-    dense = R.dense_top_k(R.unit_vectors(docs), R.unit_vectors(asked, "item_id"), 20, sizes or (docs.count(), asked.count()))
-    sparse = R.ranked(R.bm25(docs, asked), 20)
+    dense, sparse = dense_of(index, asked, 20), sparse_list(index, asked, 20)
     return tuple(R.best_per_section(hits.join(secs, "doc_id"), ["section"], 5) for hits in (dense, sparse))
 
 
 def best_chunk_per_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_lists(*tables(spark, sf_dir, "documents", "benchmark"))[1].select("item_id", "doc_id", "section", "score", F.col("rank").cast("long").alias("rank"))
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    return section_lists(corpus_index(spark, sf_dir), section_of(docs), bench)[1].select("item_id", "doc_id", "section", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def hybrid_of(docs: DataFrame, asked: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """(item_id, section, doc_id, score, rank, rank_0, rank_1) of all fused sections of the queries ``asked``."""
-    return R.fuse(list(section_lists(docs, asked, sizes)), "section", show="doc_id")
+def hybrid_of(index: I.Index, secs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item_id, section, doc_id, score, rank, rank_0, rank_1) of all fused sections of the queries ``asked``; ``secs``
+    (doc_id, section) says where each chunk belongs."""
+    return R.fuse(list(section_lists(index, secs, asked)), "section", show="doc_id")
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_of(*tables(spark, sf_dir, "documents", "benchmark"))
+    docs, bench = tables(spark, sf_dir, "documents", "benchmark")
+    return hybrid_of(corpus_index(spark, sf_dir), section_of(docs), bench)
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +219,7 @@ def section_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Further chunks of the chosen sections: those of the dense list first, then in corpus order."""
     docs, bench = tables(spark, sf_dir, "documents", "benchmark")
     chosen = hybrid(spark, sf_dir).filter("rank <= 3")
-    first = R.dense_top_k(R.unit_vectors(docs), R.unit_vectors(bench, "item_id"), 20, (docs.count(), bench.count()))
+    first = dense_of(corpus_index(spark, sf_dir), bench, 20)
     return R.siblings(chosen, section_of(docs), ["section"], first=first).select("item_id", "section", "doc_id", F.col("n").cast("long").alias("n"))
 
 
@@ -219,39 +268,64 @@ def crop_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("item_id", "section", "doc_id", F.col("rank").cast("long").alias("rank"), named.alias("named"))
 
 
-def retry_queries(docs: DataFrame, unsure: DataFrame) -> DataFrame:
+def retry_queries(index: I.Index, unsure: DataFrame) -> DataFrame:
     """(item_id, text): the rarer half (rounded up) of the distinct terms of each query that the corpus holds, rarest
     first, ties by term; no row where that is the query itself or nothing."""
     asked = R.query_terms(unsure).select("item_id", "term")
-    held = R.document_terms(docs).select(F.explode(F.array_distinct("tokens")).alias("term"))
-    df = held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    by_df = asked.join(df, "term").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
+    by_df = asked.join(index.terms().select("term", "df"), "term").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
     half = by_df.select("item_id", F.array_join(F.slice("terms", 1, F.ceil(F.size("terms") / 2).cast("int")), " ").alias("text"))
     same = unsure.select("item_id", F.lower(F.trim("text")).alias("before"))
     return half.join(same, "item_id").filter("text <> before").drop("before")
 
 
-def corrective(docs: DataFrame, asked: DataFrame) -> DataFrame:
+def corrective(docs: DataFrame, asked: DataFrame, index: I.Index | None = None) -> DataFrame:
     """(item_id, doc_id, status): where the lists of the first pass don't agree on the first hit, a second pass over
-    the same corpus asks for the rarer half of the terms. Its answer counts if its fused first is its sparse first
+    the same index asks for the rarer half of the terms. Its answer counts if its fused first is its sparse first
     ('corrected'), else the first pass's answer stands ('low_confidence')."""
-    sizes = (docs.count(), asked.count())
-    first = hybrid_of(docs, asked, sizes).filter("rank = 1").select("item_id", "doc_id", F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False)).alias("sure"))
-    first = first.persist()  # one row a query; both passes start from it
-    retried = retry_queries(docs, asked.join(first.filter("NOT sure").select("item_id"), "item_id", "left_semi"))
-    second = hybrid_of(docs, retried, sizes).filter("rank = 1 AND rank_1 = 1").select("item_id", F.col("doc_id").alias("again"))
+    index, secs = index or I.build(docs, fresh_path(docs.sparkSession, "index")), section_of(docs)
+    first = hybrid_of(index, secs, asked).filter("rank = 1").select("item_id", "doc_id", F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False)).alias("sure"))
+    first = written(first, "first-pass")  # one row a query; both passes start from it
+    retried = written(retry_queries(index, asked.join(first.filter("NOT sure").select("item_id"), "item_id", "left_semi")), "retried")
+    second = hybrid_of(index, secs, retried).filter("rank = 1 AND rank_1 = 1").select("item_id", F.col("doc_id").alias("again"))
     status = F.when(F.col("sure"), "confident").when(F.col("again").isNotNull(), "corrected").otherwise("low_confidence")
     return first.join(second, "item_id", "left").select("item_id", F.coalesce("again", "doc_id").alias("doc_id"), status.alias("status"))
 
 
 def corrective_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries whose lists disagree are searched again by the rarer half of their terms."""
-    return corrective(*tables(spark, sf_dir, "documents", "benchmark"))
+    return corrective(*tables(spark, sf_dir, "documents", "benchmark"), corpus_index(spark, sf_dir))
+
+
+#: Characters of a section of the JSON documents that are made of the texts.
+PIECE = 500
 
 
-def corrective_retry_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under the name it had before."""
-    return corrective_retry(spark, sf_dir)
+def as_json(docs: DataFrame, folder: str) -> None:
+    """Documents as JSON records of the advisory form, one a line: every ``PIECE`` characters of a text are a section,
+    every third one with the page where it is printed."""
+    part = lambda i: F.struct(F.concat(F.lit("Part "), i + 1).alias("section_title"), F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)).alias("recommended_action"), F.when(i % 3 == 0, F.concat(F.lit("page "), i + 1)).alias("source_reference"))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / PIECE).cast("int") - 1), part)
+    held = docs.filter(F.length("text") > 0)
+    held.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.col("source").alias("source_organization"), F.concat(F.lit("Document "), "doc_id").alias("document_title"), F.col("lang").alias("crop"), pieces.alias("sections")).write.json(folder)
+
+
+def chunk_table_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the documents, by way of JSON records."""
+    folder = fresh_path(spark, "json")
+    as_json(tables(spark, sf_dir, "documents")[0], folder)
+    return chunking.chunk_documents(readers.json_documents(spark, folder, lines=True))
+
+
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From JSON documents to cited answers: chunks, their stored index, both searches, fusion, and the three best
+    sections of each question with where they are printed."""
+    (bench,) = tables(spark, sf_dir, "benchmark")
+    chunks = written(chunk_table_of(spark, sf_dir), "chunks")
+    index = stored_index(spark, sf_dir, "chunks", lambda: chunks, "chunk_id")
+    secs = chunks.select(F.col("chunk_id").alias("doc_id"), F.concat_ws("/", "doc_id", "section").alias("section"))
+    top = hybrid_of(index, secs, bench).filter("rank <= 3").select("item_id", "rank", F.col("doc_id").alias("chunk_id"), "score")
+    cited = top.join(chunks.select("chunk_id", "source", "title", "section", "reference"), "chunk_id")
+    return cited.select("item_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score", R.citation("reference", "source", "title", "section").alias("citation"))
 
 
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +337,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_terms, doc_freq_top, bm25_topk, bm25_single_terms, bm25_okapi_topk, dense_topk, hash_embed, hash_dense_topk, best_chunk_per_section, rrf_fusion, hybrid_flagship, agreement_confidence, section_siblings, filtered_hybrid, rrf_three_lists, crop_priority, corrective_retry, corrective_retry_two_pass, chunk_windows)
+    for f in (tokenize_terms, doc_freq_top, index_stats, index_update, chunk_search, bm25_topk, bm25_single_terms, bm25_okapi_topk, dense_topk, hash_embed, hash_dense_topk, best_chunk_per_section, rrf_fusion, hybrid_flagship, agreement_confidence, section_siblings, filtered_hybrid, rrf_three_lists, crop_priority, corrective_retry, chunk_windows)
 }
 
 TITLE = lambda c: rf"list_distinct(list_transform(list_filter({ALL_TOK.format(c)}, lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(w) for w in STOP)})), lambda w: {STEM}))"
@@ -293,7 +367,18 @@ TWO_PASS = f"""WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, {RETRY_CTE}
 SELECT f.item_id, coalesce(g.doc_id, f.doc_id) AS doc_id, CASE WHEN f.dense_rank = 1 AND f.sparse_rank = 1 THEN 'confident' WHEN g.doc_id IS NOT NULL THEN 'corrected' ELSE 'low_confidence' END AS status
 FROM fr f LEFT JOIN (SELECT item_id, doc_id FROM fr2 WHERE rank = 1 AND sparse_rank = 1) g USING (item_id) WHERE f.rank = 1"""
 
+CHUNKS_CTE = f"""
+ch AS (SELECT 'd' || doc_id || '_s' || i || '_c0' AS doc_id, source, 'Document ' || doc_id AS title, 'Part ' || (i + 1) AS section, CASE WHEN i % 3 = 0 THEN 'page ' || (i + 1) END AS reference,
+  'Crop: ' || lang || ' (All season)' || chr(10) || 'Source: ' || source || chr(10) || 'Topic: Part ' || (i + 1) || chr(10) || 'Recommended action: ' || text[i * {PIECE} + 1 : (i + 1) * {PIECE}] AS text
+  FROM (SELECT *, unnest(range(0, (length(text) + {PIECE - 1}) // {PIECE})) AS i FROM documents))"""
+OVER_CHUNKS = f"{DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}".replace("FROM documents", "FROM ch").replace("source || '/' || lang", "doc_id")
+CHUNK_SEARCH = f"""WITH {CHUNKS_CTE}, {OVER_CHUNKS}
+SELECT item_id, rank, f.doc_id AS chunk_id, score, coalesce(reference, source || ' - ' || title) || ' [' || c.section || ']' AS citation FROM fr f JOIN ch c USING (doc_id) WHERE rank <= 3"""
+
 SQL = {
+    "index_stats": f"WITH {BM25_CTE} SELECT n AS n_docs, (SELECT sum(len(tokens))::BIGINT FROM dt) AS n_tokens, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM po) AS n_postings FROM st",
+    "index_update": f"WITH {BM25_CTE} SELECT * FROM ({SPARSE_OUT.format('sc')}), (VALUES ('updated'), ('compacted')) s(state)",
+    "chunk_search": CHUNK_SEARCH,
     "tokenize_terms": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)",
     "doc_freq_top": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOK.format('text')})) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 50",
     "bm25_topk": f"WITH {BM25_CTE} {SPARSE_OUT.format('sc')}",
@@ -315,5 +400,4 @@ SQL = {
     "rrf_three_lists": f"WITH {FILTERED_CTE}, {filtered_fuse(3)} SELECT item_id, section, doc_id, score, rank, coalesce(title_rank, 0) AS title_rank FROM fr",
     "crop_priority": f"WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, a AS (SELECT f.*, ([ 'de', 'fr', NULL])[item_id % 3 + 1] AS asked, CASE WHEN d.lang = 'es' THEN 'all crops' ELSE d.lang || ' (lang)' END AS crop FROM fr f JOIN documents d USING (doc_id) WHERE rank <= 5), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY asked IS NOT NULL AND NOT starts_with(crop, asked), rank) AS again FROM a) SELECT item_id, section, doc_id, again AS rank, coalesce(again = 1 AND contains(lower(section), 'web') AND starts_with(crop, asked), false) AS named FROM o",
     "corrective_retry": TWO_PASS,
-    "corrective_retry_two_pass": TWO_PASS,
 }

@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agroloom.operators import index as I
 from agroloom.operators import retrieval as R
 
 
-def save_index(chunks: DataFrame, path: str, dim: int = R.DIM) -> None:
-    """Tables chunks, vectors, postings, and a manifest that a load checks."""
-    terms = R.document_terms(chunks, "chunk_id")
+def save_index(chunks: DataFrame, path: str) -> I.Index:
+    """The chunks and their searchable index (see :mod:`agroloom.operators.index`)."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    R.postings(terms).write.mode("overwrite").parquet(f"{path}/postings")
-    R.hashed(chunks, "chunk_id").write.mode("overwrite").parquet(f"{path}/vectors")
-    stats = R.corpus_stats(terms).withColumn("dim", F.lit(dim))
-    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-
-
-def load_index(spark: SparkSession, path: str, dim: int = R.DIM) -> dict[str, DataFrame]:
-    """The tables of an index; refuses one of another dimension."""
-    held = spark.read.parquet(f"{path}/manifest").first().dim
-    if held != dim:
-        raise ValueError(f"the index has {held} dimensions, not {dim}")
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("chunks", "postings", "vectors", "manifest")}
+    return I.build(chunks.sparkSession.read.parquet(f"{path}/chunks"), f"{path}/index", "chunk_id")
+
+
+def load_index(spark: SparkSession, path: str, dim: int = R.DIM) -> tuple[DataFrame, I.Index]:
+    """The chunks and the index; an error if there is none, or one whose vectors have another dimension."""
+    return spark.read.parquet(f"{path}/chunks"), I.opened(spark, f"{path}/index", dim)
 
 
 def is_stale(index_chunks: DataFrame, chunks: DataFrame) -> bool:

@@ -115,9 +115,9 @@ def test_unsure_queries_are_searched_again(spark):
 def test_index_round_trip(spark, tmp_path):
     chunks = spark.createDataFrame([("c1", "alpha beta"), ("c2", "beta gamma")], "chunk_id string, text string")
     sinks.save_index(chunks, str(tmp_path / "ix"))
-    held = sinks.load_index(spark, str(tmp_path / "ix"))
-    assert held["postings"].count() == 4 and not sinks.is_stale(held["chunks"], chunks)
-    assert sinks.is_stale(held["chunks"], chunks.withColumn("text", F.upper("text")))
+    held, index = sinks.load_index(spark, str(tmp_path / "ix"))
+    assert index.table("postings").agg(F.sum("n")).first()[0] == 4 and not sinks.is_stale(held, chunks)
+    assert sinks.is_stale(held, chunks.withColumn("text", F.upper("text")))
     with pytest.raises(ValueError, match="dimensions"):
         sinks.load_index(spark, str(tmp_path / "ix"), 768)
     embed = lambda rows: rows.select("key", F.lit(1.0).alias("v"))
