@@ -251,7 +251,7 @@ x AS (SELECT *, CASE WHEN k % 4 = 0 OR k % 9 = 0 THEN 'referred' WHEN k % 2 = 0
   false AS t1, CASE WHEN k % 3 <> 0 THEN k % 2 = 1 END AS t2 FROM o),
 c AS (SELECT outcome, list(lang ORDER BY n DESC, lang)[1:2] AS langs FROM (SELECT outcome, lang, count(*) AS n FROM x WHERE lang <> '' GROUP BY ALL) GROUP BY outcome),
 f AS (SELECT outcome, count(*) AS n, count_if(t1) AS h1, count(t1) AS n1, count_if(t2) AS h2, count(t2) AS n2 FROM x GROUP BY outcome)
-SELECT outcome, n, CASE WHEN n1 = 0 THEN 'n/a' ELSE h1 || '/' || n1 || ' (' || round(h1 * 100.0 / n1)::INT || '%)' END AS top_1, CASE WHEN n2 = 0 THEN 'n/a' ELSE h2 || '/' || n2 || ' (' || round(h2 * 100.0 / n2)::INT || '%)' END AS top_2, array_to_string(langs, ', ') AS langs FROM f JOIN c USING (outcome)
+SELECT outcome, n, CASE WHEN n1 = 0 THEN 'n/a' ELSE h1 || '/' || n1 || ' (' || round_even(h1 * 100::DOUBLE / n1, 0)::INT || '%)' END AS top_1, CASE WHEN n2 = 0 THEN 'n/a' ELSE h2 || '/' || n2 || ' (' || round_even(h2 * 100::DOUBLE / n2, 0)::INT || '%)' END AS top_2, array_to_string(langs, ', ') AS langs FROM f JOIN c USING (outcome)
 """
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from agroloom.functions import numbers as N
 from agroloom.functions import text as T
+from agroloom.operators import claims as claims_of
 from agroloom.operators import logs, reports, rules
+from agroloom.operators.numbering import number_by_range
 from agroloom.operators.spread import spread
 
 
@@ -80,10 +82,9 @@ def money_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = orders.select("o_orderkey", "o_custkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("claim"))
     facts = orders.select("o_custkey", F.concat(F.lit("The order is Rs "), number(F.col("p")), F.lit(" per month")).alias("fact"))
     c = claims.select("o_orderkey", "o_custkey", F.explode(N.money_facts(F.col("claim"))).alias("c"))
-    f = facts.select("o_custkey", F.explode(N.money_facts(F.col("fact"))).alias("f")).select("o_custkey", "f.rupees", "f.period").distinct()
-    same = N.same_money(F.col("c.rupees"), F.col("c.period"), F.col("rupees"), F.col("period"))
-    pairs = c.join(f, "o_custkey").select("o_orderkey", same.alias("same"), same.isNotNull().alias("comparable"), "rupees")
-    return pairs.groupBy("o_orderkey").agg(rules.claim_verdict(F.col("same"), F.col("comparable")).alias("verdict"), F.min("rupees").alias("lowest"), F.max("rupees").alias("highest"))
+    f = facts.select("o_custkey", F.explode(N.money_facts(F.col("fact"))).alias("f")).select("o_custkey", "f.rupees", "f.period")
+    judged = claims_of.against_facts(c.select("o_orderkey", "o_custkey", "c.rupees", "c.period"), f, "o_custkey")
+    return judged.groupBy("o_orderkey").agg(rules.claim_verdict(F.col("same"), F.col("comparable")).alias("verdict"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
 
 
 def newest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,11 +166,17 @@ def heldout_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language i mod 4 by rank; the benchmark is the fixed question list, so one ordered window is what is asked for."""
-    b = table(spark, sf_dir, "benchmark")
-    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id")) - 1
+    """Language i mod 4 by the row's number."""
+    b = number_by_range(table(spark, sf_dir, "benchmark").select("item_id"), ["item_id"], name="i")
     langs = F.array(*(F.lit(x) for x in ("en", "pa", "hinglish", "hi")))
-    return b.select("item_id", F.element_at(langs, (F.pmod(i, F.lit(4)) + 1).cast("int")).alias("language"))
+    return b.select("item_id", F.element_at(langs, (F.pmod("i", F.lit(4)) + 1).cast("int")).alias("language"))
+
+
+def row_index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists that belong together row by row: each page with the document at the same place."""
+    pages = number_by_range(table(spark, sf_dir, "pages").select("page_id"), ["page_id"], name="i")
+    docs = number_by_range(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], name="i")
+    return pages.join(docs, "i").select("i", "page_id", "doc_id", "lang")
 
 
 LABEL_RULES = (("apache license|mit license", "licence"), ("@", "contact"), (r"\|", "table"), ("!!", "shouting"), ("^the ", "article"))
@@ -241,10 +248,9 @@ def lang_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and the two p95 definitions of event values by type."""
     e = table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    med = e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"))
-    one = reports.exact_quantile(e, "event_type", "value", 0.95, "floor").withColumnRenamed("value", "p95_index")
-    two = reports.exact_quantile(e, "event_type", "value", 0.95, "count").withColumnRenamed("value", "p95_count")
-    return med.join(one, "event_type").join(two, "event_type")
+    places = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2), "p95_index": reports.place_of(0.95, "floor"), "p95_count": reports.place_of(0.95, "count")}
+    found = reports.nth_values(e, "event_type", "value", places)
+    return found.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), "p95_index", "p95_count")
 
 
 def stale_index_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,14 +297,14 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        numbers_in, amounts_in, unbacked_numbers, dose_scaling, money_claims, newest_prices, price_lookup_fallback, eligibility_rules, weather_advice, fuzzy_place_join, near_duplicate_groups, topic_quota_select, heldout_slice, round_robin, label_rules, log_skip_filter,
+        numbers_in, amounts_in, unbacked_numbers, dose_scaling, money_claims, newest_prices, price_lookup_fallback, eligibility_rules, weather_advice, fuzzy_place_join, near_duplicate_groups, topic_quota_select, heldout_slice, round_robin, row_index_join, label_rules, log_skip_filter,
         sentence_split, evidence_sentences, evidence_status, review_reasons, review_stats, hit_metrics, lang_rollup, latency_quantiles, stale_index_diff, vector_cache_missing, json_props, event_windows, event_sessions, page_sections,
     )
 }
 
 FLAG = lambda k: f"CASE WHEN c_custkey % {k} = 0 THEN true WHEN c_custkey % {k} = 1 THEN false END"
 STATUS_CTE = "s AS (SELECT d.*, quality, toxic, CASE WHEN doc_id % 10 = 0 THEN 'greeting' WHEN doc_id % 10 = 1 THEN 'topic_not_covered' ELSE 'crop_question' END AS intent, least(n_chars / 2000.0::DOUBLE, 1.0) AS score FROM documents d JOIN labels USING (doc_id))"
-HITS = lambda c: f"count_if({c}) || '/' || count(*) || ' (' || round(count_if({c}) * 100.0 / count(*))::INT || '%)'"
+HITS = lambda c: f"count_if({c}) || '/' || count(*) || ' (' || round_even(count_if({c}) * 100::DOUBLE / count(*), 0)::INT || '%)'"
 KEY_SQL = "array_to_string(list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE w WHEN 'aphids' THEN 'aphid' WHEN 'rice' THEN 'paddy' WHEN 'weed' THEN 'weeds' ELSE w END), lambda w: NOT regexp_matches(w, '^(19|20)[0-9][0-9]$') AND w NOT IN (" + ", ".join(f"'{g}'" for g in logs.GENERIC) + ") AND NOT regexp_matches(w, '^(inf|regard)[a-z0-9_]*$')))), ' ')"
 
 QUOTA_SQL = "SELECT topic, key, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, key) AS rank FROM (SELECT source AS topic, md5(" + KEY_SQL + ") AS key, count(*) AS n FROM documents GROUP BY ALL)) WHERE rank BETWEEN {0} AND {1}"
@@ -325,6 +331,7 @@ SQL = {
     "near_duplicate_groups": f"SELECT topic, md5(key) AS key_md5, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, lang AS topic, {KEY_SQL} AS key FROM documents) GROUP BY topic, key HAVING count(*) > 1",
     "topic_quota_select": QUOTA_SQL.format(1, 5),
     "heldout_slice": QUOTA_SQL.format(6, 8),
+    "row_index_join": "SELECT i, page_id, doc_id, lang FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages) JOIN (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) USING (i)",
     "round_robin": "SELECT item_id, (['en', 'pa', 'hinglish', 'hi'])[(row_number() OVER (ORDER BY item_id) - 1) % 4 + 1] AS language FROM benchmark",
     "label_rules": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{s}'" for p, s in LABEL_RULES) + " ELSE 'not_in_kb' END AS section FROM documents",
     "log_skip_filter": r"""WITH q AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || ' ?  ?', '\s+', ' ', 'g'), '^[ \-]+|[ \-]+$', '', 'g'), '(\s*\?)+$', '?') AS q FROM documents WHERE text IS NOT NULL)
