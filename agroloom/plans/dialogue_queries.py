@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agroloom.functions import lexicon as L
 from agroloom.functions import text as T
-from agroloom.operators import dialog, rules
+from agroloom.operators import dialog, rules, terms
 
 #: The classifier's lexicon on the invented prose of the driver's tables: frequent words stand in for farming terms.
 STAND_IN = L.Lexicon(
@@ -180,9 +180,33 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", rules.search_terms(F.col("text"), STAND_IN).alias("terms"), F.array_join(rules.weather_topics(F.col("text"), STAND_IN), ",").alias("advice"), rules.refers_back(F.lit("topic_not_covered"), F.col("text"), STAND_IN).alias("back"))
 
 
+def lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term): all search tokens of four characters or more that the conversations use."""
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return talk.select(F.explode(T.search_tokens(F.col("text"))).alias("term")).filter(F.length("term") >= 4).distinct()
+
+
+def term_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms of a lexicon of thousands occur in each document, and a digest of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    found = terms.found_terms(docs, lexicon_terms(spark, sf_dir))
+    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("term")), ",")).alias("digest"))
+
+
+def unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each question (its first two words, and its third and fourth turned round) that no document of the asked
+    language mentions, white space aside."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    word = lambda n: F.try_element_at(F.split(F.lower("text"), r"\s+"), F.lit(n))
+    crop = F.element_at(F.array(F.lit("EN"), F.lit("de"), F.lit(None).cast("string")), (F.pmod("item_id", F.lit(3)) + 1).cast("int"))
+    asked = bench.select("item_id", crop.alias("crop"), F.explode(F.array(F.struct(F.concat_ws(" ", word(1), word(2), word(5)).alias("name"), F.concat_ws(" ", word(2), word(5)).alias("short")), F.struct(F.concat_ws(" ", F.reverse(word(3)), word(4)).alias("name"), F.concat_ws(" ", word(4), word(3)).alias("short")))).alias("n")).select("item_id", "crop", "n.*")
+    found = terms.unknown_names(asked, docs.select(F.col("lang").alias("crop"), "text"))
+    return found.select("item_id", F.array_join("unknown", ",").alias("unknown"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (intent_cascade, previous_turn, last_matching_turn, recent_history, query_expansion, dialog_state_exact, topic_terms, language_script, lexicon_match_word, first_alias, longest_alias, banned_scan, safety_notes, grounding_ratio)
+    for f in (term_table_match, unknown_names, intent_cascade, previous_turn, last_matching_turn, recent_history, query_expansion, dialog_state_exact, topic_terms, language_script, lexicon_match_word, first_alias, longest_alias, banned_scan, safety_notes, grounding_ratio)
 }
 
 INTENT_SQL = intent_sql(STAND_IN)
@@ -236,7 +260,20 @@ SELECT conv_id, turn, intent, coalesce(crop, '') AS crop, coalesce(topic, '') AS
 """
 
 
+WORD_TOK = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[\p{{P}}\p{{S}}\p{{C}}]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda x: length(x) >= 4)"
+TERMS_SQL = rf"""WITH t AS (SELECT DISTINCT unnest({WORD_TOK.format('text')}) AS term FROM conversations),
+m AS (SELECT doc_id, term FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS term FROM documents) JOIN t USING (term) WHERE regexp_full_match(term, '[\x00-\x7f]+')
+  UNION ALL SELECT doc_id, term FROM documents JOIN t ON contains(lower(text), term) WHERE NOT regexp_full_match(term, '[\x00-\x7f]+'))
+SELECT doc_id, count(*) AS n, md5(string_agg(term, ',' ORDER BY term)) AS digest FROM m GROUP BY doc_id"""
+NAMES_SQL = r"""WITH w AS (SELECT item_id, regexp_split_to_array(lower(text), '\s+') AS w, (['en', 'de', ''])[item_id % 3 + 1] AS crop FROM benchmark),
+n AS (SELECT item_id, crop, concat_ws(' ', w[1], w[2], w[5]) AS name, concat_ws(' ', w[2], w[5]) AS short FROM w UNION ALL SELECT item_id, crop, concat_ws(' ', reverse(w[3]), w[4]), concat_ws(' ', w[4], w[3]) FROM w),
+d AS (SELECT lower(lang) AS lang, regexp_replace(lower(text), '\s+', '', 'g') AS t FROM documents),
+k AS (SELECT item_id, name, EXISTS (SELECT 1 FROM d WHERE starts_with(d.lang, n.crop) AND (contains(t, replace(n.name, ' ', '')) OR contains(t, replace(n.short, ' ', '')))) AS known FROM n)
+SELECT item_id, CASE WHEN bool_or(known) THEN '' ELSE array_to_string(list_sort(list_distinct(list(name))), ',') END AS unknown FROM k GROUP BY item_id"""
+
 SQL = {
+    "term_table_match": TERMS_SQL,
+    "unknown_names": NAMES_SQL,
     "intent_cascade": INTENT_SQL,
     "dialog_state_exact": state_sql(STAND_IN),
     "topic_terms": f"SELECT doc_id, concat_ws(' ', CASE WHEN {sql_any('text', ('he',))} THEN 'he' END, CASE WHEN {sql_any('text', ('ou',))} THEN 'ou' END, CASE WHEN {sql_any('text', ('he', 'ou'))} THEN 'weed control' END, CASE WHEN {sql_any('text', ('er',))} THEN 'variety' END) AS terms, CASE WHEN {sql_any('text', ('water',))} THEN 'irrigation' ELSE concat_ws(',', CASE WHEN {sql_any('text', ('on', 'auf'))} THEN 'spray' END, CASE WHEN {sql_any('text', ('un', 'ein'))} THEN 'irrigation' END) END AS advice, {sql_any('text', ('is', 'it'))} AS back FROM documents WHERE text IS NOT NULL",
