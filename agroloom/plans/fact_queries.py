@@ -144,10 +144,10 @@ def fuzzy_place_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.col("lang").alias("topic"), "text", logs.dedupe_key(F.col("text")).alias("key"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    rows = docs.select("doc_id", F.col("lang").alias("topic"), F.md5(logs.dedupe_key(F.col("text"))).alias("key"))
     g = logs.groups(rows, "topic", "key", "doc_id", "doc_id").filter("n > 1")
-    return g.select("topic", F.md5("key").alias("key_md5"), "n", F.col("example").alias("first_doc"))
+    return g.select("topic", F.col("key").alias("key_md5"), "n", F.col("example").alias("first_doc"))
 
 
 def quota(spark: SparkSession, sf_dir: str, first: int, last: int) -> DataFrame:

@@ -375,7 +375,22 @@ OVER_CHUNKS = f"{DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}".replace("FROM documents",
 CHUNK_SEARCH = f"""WITH {CHUNKS_CTE}, {OVER_CHUNKS}
 SELECT item_id, rank, f.doc_id AS chunk_id, score, coalesce(reference, source || ' - ' || title) || ' [' || c.section || ']' AS citation FROM fr f JOIN ch c USING (doc_id) WHERE rank <= 3"""
 
+FITTING = "coalesce(list_max(list_filter(range(1, len({0}) + 1), lambda k: length(array_to_string({0}[len({0}) - k + 1:], ' ')) <= 150)), 0)"
+WINDOWS_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, '[' || source || '] ' AS h FROM documents),
+s AS (SELECT doc_id, h, CASE WHEN 1000 - length(h) < 100 THEN 1000 ELSE 1000 - length(h) END AS room, list_transform(list_filter(list_transform(string_split(t, '. '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: CASE WHEN ends_with(x, '.') THEN x ELSE x || '.' END) AS s FROM d WHERE length(t) > 1000),
+r AS (
+  SELECT doc_id, 0 AS i, []::VARCHAR[] AS held, NULL::VARCHAR AS window_text, 0 AS n FROM s
+  UNION ALL
+  SELECT doc_id, i + 1, list_append(CASE WHEN NOT over THEN held WHEN whole > 0 THEN held[len(held) - whole + 1:] WHEN part > 0 THEN [array_to_string(w[len(w) - part + 1:], ' ')] ELSE [] END, x), CASE WHEN over THEN h || array_to_string(held, ' ') END, n + over::INT
+  FROM (SELECT *, {FITTING.format('held')} AS whole, {FITTING.format('w')} AS part FROM (
+    SELECT r.*, h, s.s[i + 1] AS x, i > 0 AND length(array_to_string(list_append(held, s.s[i + 1]), ' ')) > room AS over, list_filter(regexp_split_to_array(coalesce(held[-1], ''), '\s+'), lambda y: y <> '') AS w FROM r JOIN s USING (doc_id) WHERE i < len(s.s)))
+)
+SELECT doc_id, 0 AS n, t AS chunk FROM d WHERE length(t) <= 1000
+UNION ALL SELECT doc_id, n - 1, window_text FROM r WHERE window_text IS NOT NULL
+UNION ALL SELECT doc_id, n, h || array_to_string(held, ' ') FROM r JOIN s USING (doc_id) WHERE i = len(s.s) AND i > 0"""
+
 SQL = {
+    "chunk_windows": WINDOWS_SQL,
     "index_stats": f"WITH {BM25_CTE} SELECT n AS n_docs, (SELECT sum(len(tokens))::BIGINT FROM dt) AS n_tokens, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM po) AS n_postings FROM st",
     "index_update": f"WITH {BM25_CTE} SELECT * FROM ({SPARSE_OUT.format('sc')}), (VALUES ('updated'), ('compacted')) s(state)",
     "chunk_search": CHUNK_SEARCH,
