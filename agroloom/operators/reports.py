@@ -67,7 +67,7 @@ def exact_quantile(rows: DataFrame, group: str, value: str, share: float, kind:
 def review_stats(queue: DataFrame) -> DataFrame:
     """One row: total, pending, reviewed and the count of each verdict."""
     verdict = lambda v: F.count_if(F.col("verdict") == v).alias(v)
-    return queue.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "reviewed").alias("reviewed"), verdict("correct"), verdict("needs_correction"), verdict("wrong"))
+    return queue.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "reviewed").alias("reviewed"), verdict("correct"), verdict("needs_correction"), verdict("unsafe"))
 
 
 def content_changes(old: DataFrame, new: DataFrame) -> DataFrame:

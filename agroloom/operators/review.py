@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VERDICTS = ("correct", "needs_correction", "wrong")
+VERDICTS = ("correct", "needs_correction", "unsafe")
 
 
 def submit(answers: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ from agroloom.functions import text as T
 from agroloom.operators import claims as claims_of
 from agroloom.operators import logs, reports, rules
 from agroloom.operators.numbering import number_by_range
+from agroloom.operators.review_store import ReviewStore
 from agroloom.operators.spread import spread
+from agroloom.sources.shared import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,10 +233,26 @@ def review_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "labels")
-    q = l.select(F.when(F.col("quality") == 1, "reviewed").otherwise("pending").alias("status"), F.when(F.col("toxic") == 1, "wrong").when(F.col("doc_id") % 3 == 0, "needs_correction").otherwise("correct").alias("verdict"))
+    q = l.select(F.when(F.col("quality") == 1, "reviewed").otherwise("pending").alias("status"), F.when(F.col("toxic") == 1, "unsafe").when(F.col("doc_id") % 3 == 0, "needs_correction").otherwise("correct").alias("verdict"))
     return reports.review_stats(q)
 
 
+REVIEW_ROWS = "id long, changed long, created long, status string, verdict string"
+
+
+def review_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after every labelled document was submitted, judged in two later batches and compacted."""
+    store = ReviewStore(spark, fresh_path(spark, "reviews"), REVIEW_ROWS)
+    l = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("created"), "quality", "toxic")
+    row = lambda changed, verdict: ("id", F.lit(changed).alias("changed"), "created", F.when(verdict.isNull(), "pending").otherwise("reviewed").alias("status"), verdict.alias("verdict"))
+    store.upsert(l.select(*row(1, F.lit(None).cast("string"))))
+    store.upsert(l.filter("toxic = 1 OR id % 2 = 0").select(*row(2, F.when(F.col("toxic") == 1, "unsafe").otherwise("correct"))))
+    store.upsert(l.filter("quality = 0").select(*row(3, F.lit("needs_correction"))))
+    store.compact(2)
+    store.upsert(l.filter("id % 7 = 0").select(*row(0, F.lit("correct"))))  # late: an older state than what is there
+    return store.items("reviewed").select("id", "verdict")
+
+
 def hit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = statuses(spark, sf_dir)
     return s.groupBy("source").agg(reports.hits(F.col("quality") == 1).alias("right"), reports.hits(F.col("toxic") == 1).alias("false_alarms"))
@@ -298,7 +316,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         numbers_in, amounts_in, unbacked_numbers, dose_scaling, money_claims, newest_prices, price_lookup_fallback, eligibility_rules, weather_advice, fuzzy_place_join, near_duplicate_groups, topic_quota_select, heldout_slice, round_robin, row_index_join, label_rules, log_skip_filter,
-        sentence_split, evidence_sentences, evidence_status, review_reasons, review_stats, hit_metrics, lang_rollup, latency_quantiles, stale_index_diff, vector_cache_missing, json_props, event_windows, event_sessions, page_sections,
+        sentence_split, evidence_sentences, evidence_status, review_reasons, review_stats, review_upserts, hit_metrics, lang_rollup, latency_quantiles, stale_index_diff, vector_cache_missing, json_props, event_windows, event_sessions, page_sections,
     )
 }
 
@@ -332,6 +350,7 @@ SQL = {
     "topic_quota_select": QUOTA_SQL.format(1, 5),
     "heldout_slice": QUOTA_SQL.format(6, 8),
     "row_index_join": "SELECT i, page_id, doc_id, lang FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages) JOIN (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) USING (i)",
+    "review_upserts": "SELECT doc_id AS id, CASE WHEN quality = 0 THEN 'needs_correction' WHEN toxic = 1 THEN 'unsafe' ELSE 'correct' END AS verdict FROM labels WHERE quality = 0 OR toxic = 1 OR doc_id % 2 = 0",
     "round_robin": "SELECT item_id, (['en', 'pa', 'hinglish', 'hi'])[(row_number() OVER (ORDER BY item_id) - 1) % 4 + 1] AS language FROM benchmark",
     "label_rules": "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{s}'" for p, s in LABEL_RULES) + " ELSE 'not_in_kb' END AS section FROM documents",
     "log_skip_filter": r"""WITH q AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text || ' ?  ?', '\s+', ' ', 'g'), '^[ \-]+|[ \-]+$', '', 'g'), '(\s*\?)+$', '?') AS q FROM documents WHERE text IS NOT NULL)
@@ -341,7 +360,7 @@ SQL = {
       SELECT doc_id, list_filter(list_transform({SENT}, lambda x: regexp_replace(x, '^[ *#\-•]+|[ *#\-•]+$', '', 'g')), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 4) AS t FROM documents))""",
     "evidence_status": f"WITH {STATUS_CTE} SELECT doc_id, CASE WHEN intent = 'greeting' OR doc_id % 17 = 0 THEN 'not_applicable' WHEN intent = 'topic_not_covered' OR doc_id % 19 = 0 OR lang = 'fr' THEN 'not_verified' WHEN score < 0.35 OR doc_id % 7 = 0 OR toxic = 1 THEN 'partially_verified' ELSE 'verified' END AS status, CASE WHEN quality = 0 THEN 'corrected' WHEN toxic = 1 THEN 'unverified' ELSE 'none' END AS premise FROM s",
     "review_reasons": f"WITH {STATUS_CTE} SELECT doc_id, concat_ws(',', CASE WHEN toxic = 1 THEN 'banned_pesticide' END, CASE WHEN quality = 0 THEN 'pesticide' END, CASE WHEN doc_id % 2 = 0 AND score < 0.5 THEN 'low_grounding' END, CASE WHEN intent = 'topic_not_covered' THEN 'not_covered' END, CASE WHEN doc_id % 23 = 0 THEN 'llm_numbers_replaced' END, CASE WHEN doc_id % 7 = 0 THEN 'low_retrieval_confidence' END) AS reasons FROM s",
-    "review_stats": "SELECT count(*) AS total, count_if(status = 'pending')::BIGINT AS pending, count_if(status = 'reviewed')::BIGINT AS reviewed, count_if(verdict = 'correct')::BIGINT AS correct, count_if(verdict = 'needs_correction')::BIGINT AS needs_correction, count_if(verdict = 'wrong')::BIGINT AS wrong FROM (SELECT CASE WHEN quality = 1 THEN 'reviewed' ELSE 'pending' END AS status, CASE WHEN toxic = 1 THEN 'wrong' WHEN doc_id % 3 = 0 THEN 'needs_correction' ELSE 'correct' END AS verdict FROM labels)",
+    "review_stats": "SELECT count(*) AS total, count_if(status = 'pending')::BIGINT AS pending, count_if(status = 'reviewed')::BIGINT AS reviewed, count_if(verdict = 'correct')::BIGINT AS correct, count_if(verdict = 'needs_correction')::BIGINT AS needs_correction, count_if(verdict = 'unsafe')::BIGINT AS unsafe FROM (SELECT CASE WHEN quality = 1 THEN 'reviewed' ELSE 'pending' END AS status, CASE WHEN toxic = 1 THEN 'unsafe' WHEN doc_id % 3 = 0 THEN 'needs_correction' ELSE 'correct' END AS verdict FROM labels)",
     "hit_metrics": f"WITH {STATUS_CTE} SELECT source, {HITS('quality = 1')} AS right, {HITS('toxic = 1')} AS false_alarms FROM s GROUP BY source".replace("AS right", 'AS "right"'),
     "lang_rollup": f"WITH {STATUS_CTE} SELECT coalesce(lang, 'all') AS lang, count(*) AS n, sum(quality)::BIGINT AS hits FROM s GROUP BY ROLLUP (lang)",
     "latency_quantiles": "WITH v AS (SELECT event_type, list(value ORDER BY value) AS l, median(value) AS m FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, round(m, 6) AS median, l[floor(0.95 * (len(l) - 1))::INT + 1] AS p95_index, l[greatest(floor(0.95 * len(l))::INT, 1)] AS p95_count FROM v",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -61,3 +62,22 @@ def at_path(spark: SparkSession, path: str):
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop, files = at_path(spark, path)
     return files.exists(hadoop)
+
+
+def latest_version(spark: SparkSession, path: str) -> dict | None:
+    """The newest manifest at ``path``; None without any."""
+    pattern, files = at_path(spark, f"{path}/manifest-*.json")
+    found = sorted(str(s.getPath().toString()) for s in files.globStatus(pattern) or [])
+    return json.loads(spark.read.text(found[-1], wholetext=True).first()[0]) if found else None
+
+
+def commit_version(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Makes ``manifest`` (with its ``version``) the newest: written beside, then renamed, so that readers see the state
+    before or after. Fails if another writer took the version."""
+    draft, files = at_path(spark, f"{path}/draft-{uuid.uuid4().hex}")
+    out = files.create(draft)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    final, _ = at_path(spark, f"{path}/manifest-{manifest['version']:09d}.json")
+    if files.exists(final) or not files.rename(draft, final):
+        raise RuntimeError(f"version {manifest['version']} at {path} was written by someone else")

@@ -252,8 +252,8 @@ def test_review_queue(spark):
     answers = spark.createDataFrame([("q1", "t1", ["pesticide"]), ("q2", "t1", [])], "question string, created string, reasons array<string>")
     queue = review.submit(answers)
     i = queue.first().id
-    done = review.reviewed(queue, spark.createDataFrame([(i, "wrong", 2), (i, "nonsense", 3)], "id string, verdict string, changed int")).first()
-    assert (done.status, done.verdict) == ("reviewed", "wrong")
+    done = review.reviewed(queue, spark.createDataFrame([(i, "unsafe", 2), (i, "nonsense", 3)], "id string, verdict string, changed int")).first()
+    assert (done.status, done.verdict) == ("reviewed", "unsafe")
     log = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "id string, changed int, v string")
     assert review.latest(log).first().v == "y"
 
