@@ -39,7 +39,7 @@ class ByteEncoder:
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=self.special)
-        self.ordinary = tiktoken.Encoding("ordinary", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.ranks = ranks
         #: By code point (a byte): its symbol.
         self.symbols = {b: s for s, b in symbols.items()}
         self.library = Tokenizer.from_file(path)
@@ -54,6 +54,10 @@ class ByteEncoder:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(self.coder.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
+    @functools.cached_property
+    def ordinary(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("ordinary", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens={})
+
     def plain(self, text: str) -> np.ndarray:
         """Ids of a text in which strings of special tokens are ordinary text."""
         return np.asarray(self.ordinary.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
