@@ -642,5 +642,5 @@ def test_pipeline_stages_keep_other_columns(spark, folder, empty):
 
 
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(Q.oracle_sql()) <= set(Q.queries())
