@@ -14,6 +14,7 @@ from agroloom.functions import numbers as N
 from agroloom.functions import text as T
 from agroloom.operators import chunking, claims, dialog, logs, reports, review, rules, tools
 from agroloom.operators import retrieval as R
+from agroloom.operators.index import build
 from agroloom.plans import catalog
 from agroloom.plans import retrieval_queries as queries_of_retry
 from agroloom.sources import readers, sinks
@@ -119,13 +120,14 @@ def test_bm25_repeats_and_no_match(spark):
     assert len(twice) == 1 and twice[0].doc_id == 2 and abs(twice[0].score - 2 * once[0].score) < 1e-5
 
 
-def test_unsure_queries_are_searched_again(spark):
+def test_unsure_queries_are_searched_again(spark, tmp_path):
     docs = spark.createDataFrame([(1, "sand sand sand stone stone river"), (2, "sand stone cloud zebra quill"), (3, "sand river"), (4, "stone river"), (5, None)], "doc_id long, text string").withColumn("source", F.concat(F.lit("s"), "doc_id")).withColumn("lang", F.lit("en"))
     asked = spark.createDataFrame([(1, "sand sand sand stone stone stone river zebra quill"), (2, "zebra"), (3, "unheard of"), (4, "Zebra unheard")], "item_id long, text string")
-    again = {r.item_id: r.text for r in queries_of_retry.retry_queries(docs, asked).collect()}
+    index = build(docs, str(tmp_path / "ix"))
+    again = {r.item_id: r.text for r in queries_of_retry.retry_queries(index, asked).collect()}
     assert again == {1: "quill zebra river", 4: "zebra"}
-    first = {r.item_id: (r.doc_id, r.rank_0, r.rank_1) for r in queries_of_retry.hybrid_of(docs, asked).filter("rank = 1").collect()}
-    got = {r.item_id: (r.doc_id, r.status) for r in queries_of_retry.corrective(docs, asked).collect()}
+    first = {r.item_id: (r.doc_id, r.rank_0, r.rank_1) for r in queries_of_retry.hybrid_of(index, queries_of_retry.section_of(docs), asked).filter("rank = 1").collect()}
+    got = {r.item_id: (r.doc_id, r.status) for r in queries_of_retry.corrective(docs, asked, index).collect()}
     assert first[1][0] == 1 and first[1][1:] != (1, 1)
     assert got[1] == (2, "corrected")
 
