@@ -19,13 +19,10 @@ def known(labels: DataFrame, label: str, parts: int, held_out: int) -> DataFrame
     return rows.filter(remainder(F.col("doc_id"), parts) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", max_bytes: int | None = None) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, most: int, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, y, h): documents of at most ``most`` labelled ids outside the held-out part, chosen by hash.
 
     Only those ids, at most ``most`` rows, are broadcast; labels are never read for held-out rows.
     """
     picked = known(labels, label, parts, held_out).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).orderBy("h", "doc_id").limit(most)
-    rows = texts(docs, id_col, text_col)
-    if max_bytes is not None:
-        rows = rows.filter(F.octet_length("text") <= max_bytes)
-    return rows.join(F.broadcast(picked), "doc_id")
+    return texts(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")

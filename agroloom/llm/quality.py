@@ -4,8 +4,10 @@ Two zstandard dictionaries are built from labelled texts, one from good and one
 dictionary compresses better with it; the difference of the two compressed sizes over the size of the text, calibrated
 on labelled texts that no dictionary has seen, is the score.
 
-Bounds: ``SAMPLE`` labelled documents, of at most ``MAX_BYTES`` each, are read to fit; half of them make the
-dictionaries, half the calibration. Scoring is one map-only scan over whole texts.
+Bounds: ``SAMPLE`` labelled documents are read to fit, none left out for its size; half of them make the dictionaries,
+half the calibration. Of a text longer than ``SLICE`` bytes a dictionary sees ``SLICE`` bytes from a place drawn by the
+hash of its id, so the driver holds at most ``SAMPLE * SLICE`` bytes (98 MB); the calibration measures whole texts, in
+the tasks that hold them. Scoring is one map-only scan over whole texts.
 
 Edge cases: null text counts as empty; an empty text has difference 0 and gets the calibrated score of that; without
 labelled rows of both kinds every score is the share of label 1 (0.5 without any labels); rows that repeat a doc_id
@@ -22,13 +24,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agroloom.llm.common import texts, utf8
+from agroloom.llm.common import discard, texts, utf8, written
 from agroloom.llm.labelled import known, sample
 
-SAMPLE, MAX_BYTES = 6000, 65_536
+SAMPLE, SLICE = 6000, 16_384
 DICTIONARY_BYTES, LEVEL = 112_640, 3
 
 
@@ -73,17 +75,32 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Dictionaries and calibration, from labels outside the held-out part."""
     spark = docs.sparkSession
-    rows = sample(docs, labels, "quality", parts, held_out, most, seed=2, id_col=id_col, text_col=text_col, max_bytes=MAX_BYTES)
-    held = sorted(((r.h, r.y, r.text.encode()) for r in rows.select("h", "y", "text").collect()), key=lambda r: r[:2])
-    share = known(labels, "quality", parts, held_out).agg(F.avg("y").alias("p")).first().p
-    by = {y: [t for _, k, t in held if k == y] for y in (0, 1)}
-    if min(map(len, by.values())) < 4:
+    rows = written(sample(docs, labels, "quality", parts, held_out, most, seed=2, id_col=id_col, text_col=text_col), "quality-sample")
+    turn = F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id")) % 2  # of at most ``most`` rows without their texts
+    halves = rows.select("doc_id", "y", "h").distinct().withColumn("half", turn).select("doc_id", "half")
+    bytes_of = F.encode("text", "UTF-8")
+    from_byte = F.pmod("h", F.greatest(F.octet_length("text") - SLICE + 1, F.lit(1)))
+    cut = F.substring(bytes_of, (from_byte + 1).cast("int"), F.lit(SLICE))
+    dealt = rows.join(F.broadcast(halves), "doc_id")
+    seen = dealt.filter("half = 1").select("y", "h", "doc_id", cut.alias("t")).collect()
+    by = {y: [bytes(r.t) for r in sorted(seen, key=lambda r: (r.h, r.doc_id, bytes(r.t))) if r.y == y] for y in (0, 1)}
+    counts = {r.y: r.n for r in halves.join(rows.select("doc_id", "y").distinct(), "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if min(counts.get(y, 0) for y in (0, 1)) < 4:
+        share = known(labels, "quality", parts, held_out).agg(F.avg("y").alias("p")).first().p
         p = min(max(0.5 if share is None else share, 0.001), 0.999)
         return Scorer(b"", b"", [0.0, 0.0], float(np.log(p / (1 - p))))
-    scorer = Scorer(dictionary(by[1][::2]), dictionary(by[0][::2]), [0.0, 0.0], 0.0)
-    unseen = [(y, t) for y in (0, 1) for t in by[y][1::2]]
-    frame = spark.createDataFrame([(float(y), Vectors.dense(scorer.difference(t))) for y, t in unseen], ["label", "features"]).coalesce(1)
+    scorer = Scorer(dictionary(by[1]), dictionary(by[0]), [0.0, 0.0], 0.0)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            differences = [scorer.difference(t) for t in utf8(b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(differences, pa.list_(pa.float64()))], ["y", "h", "doc_id", "d"])
+
+    unseen = dealt.filter("half = 0").select("y", "h", "doc_id", "text").mapInArrow(measured, "y int, h long, doc_id long, d array<double>").collect()
+    unseen = sorted(unseen, key=lambda r: (r.y, r.h, r.doc_id, r.d))
+    frame = spark.createDataFrame([(float(r.y), Vectors.dense(r.d)) for r in unseen], ["label", "features"]).coalesce(1)
     model = LogisticRegression(regParam=1e-4, maxIter=100).fit(frame)
+    discard(rows)
     return Scorer(scorer.good, scorer.bad, [float(w) for w in model.coefficients.toArray()], float(model.intercept))
 
 

@@ -227,6 +227,11 @@ def test_every_loose_form_of_an_address_is_proposed(at):
     assert pii.candidates(f"ask jane.doe{at}example.com now @ dot") == found
 
 
+def test_a_spelled_out_address_begins_where_its_local_part_does():
+    text = f"ask {'a' * 300} at example.com, or b" + " at x" * 20_000
+    assert pii.candidates(text)[0] == ("email", 4, 4 + 300 + len(" at example.com"))
+
+
 def test_pii_sample_isnt_filled_by_copies(spark, monkeypatch):
     seen = []
     plain = pii.GBTClassifier.fit
@@ -479,6 +484,16 @@ def test_classifiers_on_held_out_rows(spark, empty, op, name, parts, held, least
     assert all(0 <= r.score <= 1 for r in op.score(docs, op.fit(docs, labels.limit(0))).collect())
 
 
+def test_quality_learns_from_long_texts_too(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    monkeypatch.setattr(quality, "SLICE", 200)
+    scorer = quality.fit(docs.withColumn("text", F.repeat("text", 200)), labels)
+    assert any(scorer.weights) and len(scorer.good) <= 600 * 200
+    scores = {r.doc_id: r.score for r in quality.score(docs, scorer).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in scores and r.quality is not None and r.doc_id is not None}
+    assert np.mean([scores[i] for i in truth if truth[i]]) > np.mean([scores[i] for i in truth if not truth[i]])
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     docs, labels = labelled(spark)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
