@@ -31,13 +31,17 @@ def search_tokens(text: Column) -> Column:
     return F.filter(all_tokens(text), lambda t: F.length(t) > 1)
 
 
+def quoted(term: str) -> str:
+    """Regex that matches just ``term``."""
+    return re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", term)
+
+
 def term_pattern(term: str, mode: str = "stem") -> str:
     """Regex for a lexicon term: ASCII terms as whole words; other scripts as a substring (stem) or a name."""
     term = unicodedata.normalize("NFC", term).lower()
-    quoted = re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", term)
     if term.isascii():
-        return NO_WORD_BEFORE + quoted + NO_WORD_AFTER
-    return quoted if mode == "stem" else NO_INDIC_BEFORE + quoted + NO_INDIC_AFTER
+        return NO_WORD_BEFORE + quoted(term) + NO_WORD_AFTER
+    return quoted(term) if mode == "stem" else NO_INDIC_BEFORE + quoted(term) + NO_INDIC_AFTER
 
 
 def contains_term(text: Column, term: str, mode: str = "stem") -> Column:
@@ -45,6 +49,16 @@ def contains_term(text: Column, term: str, mode: str = "stem") -> Column:
     return F.lower(text).rlike(term_pattern(term, mode)) if term else F.lit(False)
 
 
+def any_of(terms: tuple[str, ...], mode: str = "stem") -> str:
+    """Regex for any of some lexicon terms, longest first, in any case."""
+    return "(?i)(?:" + "|".join(term_pattern(t, mode) for t in sorted(terms, key=lambda t: (-len(t), t))) + ")"
+
+
+def sentence_break(ends: str = ".!?।", lines: str = r"\n+") -> str:
+    """Regex of what parts two sentences: white space after one of ``ends``, or a line's end."""
+    return rf"(?<=[{ends}])\s+|{lines}"
+
+
 def fold_indic(text: Column) -> Column:
     """Bindi as tippi, so both spellings meet."""
     return F.translate(text, "ਂ", "ੰ")
@@ -72,7 +86,7 @@ def title_words(text: Column, stop: list[str]) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences, none empty: they end with . ! ? or danda before white space, or with a line."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?।])\s+|\n+"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, sentence_break()), strip), lambda s: s != "")
 
 
 def evidence_sentences(text: Column, most: int = 40) -> Column:

@@ -35,7 +35,7 @@ def flat(checks: str | Column) -> Column:
 
 def price_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price per quintal against the band of a supplier's two prices, and the sentence that contradicts it."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.abs("s_acctbal")).cast("long").alias("p")).filter("p > 100")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.abs("s_acctbal")).cast("long").alias("p"))
     n = lambda c: F.format_number(c, 0)
     said = F.concat(F.lit("Since wheat sells at Rs "), n(F.col("p") + (F.col("s_suppkey") % 5) * 40), F.lit(" per quintal, when do I sell?"))
     proof = F.array(F.concat(F.lit("The MSP of wheat is Rs "), n(F.col("p")), F.lit(" per quintal. Paddy brings "), n(F.col("p") + 20), F.lit(" rupees a quintal.")), F.lit("A bag costs Rs 40 per acre."))
@@ -165,7 +165,7 @@ QUERIES = {f.__name__: f for f in (price_claims, dose_claims, weather_claims, na
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[\p{P}\p{S}\p{C}]', ' ', 'g'), '[\s\p{Z}]+'), lambda x: x <> '')"
 SQL = {
     "price_claims": """
-WITH s AS (SELECT s_suppkey, floor(abs(s_acctbal))::BIGINT AS p, s_suppkey % 5 * 40 AS more FROM supplier WHERE floor(abs(s_acctbal)) > 100)
+WITH s AS (SELECT s_suppkey, floor(abs(s_acctbal))::BIGINT AS p, s_suppkey % 5 * 40 AS more FROM supplier)
 SELECT s_suppkey, CASE WHEN p + more <= (p + 20) * 1.05::DOUBLE THEN 'supported' ELSE 'contradicted' END AS status, 'Rs ' || format('{:,}', p + more) || ' per quintal' AS claim,
   CASE WHEN p + more <= (p + 20) * 1.05::DOUBLE THEN '' ELSE 'The MSP of wheat is Rs ' || format('{:,}', p) || ' per quintal.' END AS fact FROM s""",
     "dose_claims": DOSE_SQL,

@@ -43,7 +43,7 @@ def sql_numbers(text: str, words: bool = True) -> str:
     canon = r"CASE WHEN contains(regexp_replace(x, '^0+([0-9])', '\1'), '.') THEN regexp_replace(regexp_replace(x, '^0+([0-9])', '\1'), '\.?0+$', '') ELSE regexp_replace(x, '^0+([0-9])', '\1') END"
     found = rf"list_transform(regexp_extract_all({text}, '\d+(?:\.\d+)?'), lambda x: {canon})"
     if words:
-        named = ", ".join(rf"CASE WHEN regexp_matches(lower({text}), '(^|[^\p{{L}}\p{{N}}_]){w}([^\p{{L}}\p{{N}}_]|$)') THEN '{v}' END" for w, v in N.NUMBER_WORDS)
+        named = ", ".join(rf"CASE WHEN regexp_matches(lower({text}), '(^|[^\p{{L}}\p{{N}}_]){w}([^\p{{L}}\p{{N}}_]|$)') THEN '{v}' END" for w, v in N.NUMBER_WORDS.items())
         found = f"list_concat({found}, list_filter([{named}], lambda x: x IS NOT NULL))"
     return f"list_sort(list_distinct({found}))"
 
