@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agroloom.functions.lexicon import Lexicon
 from agroloom.functions.text import search_tokens
-from agroloom.operators import chunking
+from agroloom.operators import chunking, rules
 from agroloom.operators import index as I
 from agroloom.operators import retrieval as R
 from agroloom.operators.spread import spread
+from agroloom.plans.dialogue_queries import STAND_IN, intent_sql, sql_any
 from agroloom.sources import readers
 from agroloom.sources.shared import at_path, fresh_path, shared_dir, written
 
@@ -63,19 +66,6 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fi
 """
 
 #: The second pass: the same lists for the queries of ``retry``, their names with an appended 2.
-RETRY_CTE = f"""
-rt AS (SELECT item_id, term, df.df AS held, row_number() OVER (PARTITION BY item_id ORDER BY df.df, term) AS n, count(*) OVER (PARTITION BY item_id) AS m
-       FROM (SELECT DISTINCT item_id, term FROM qt) JOIN df USING (term)
-       WHERE item_id IN (SELECT item_id FROM fr WHERE rank = 1 AND NOT coalesce(dense_rank = 1 AND sparse_rank = 1, false))),
-retry AS (SELECT item_id, r.text FROM (SELECT item_id, string_agg(term, ' ' ORDER BY held, term) AS text FROM rt WHERE n <= (m + 1) // 2 GROUP BY item_id) r
-          JOIN benchmark b USING (item_id) WHERE r.text <> lower(trim(b.text))),
-""" + re.sub(
-    r"\b(qv_c|qv|ds|dl20|qt|sc|sl20|dsec|ssec|un|fu|fr)\b",
-    r"\g<1>2",
-    ", ".join(x.strip().rstrip(",") for x in (hash_cte("qv", "retry", "item_id"), "ds AS" + DENSE_CTE.split("ds AS")[1], "qt AS" + SPARSE_CTE.split("qt AS")[1].replace("benchmark", "retry"), "dsec AS" + FUSE_CTE.split("dsec AS")[1])),
-)
-
-
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
@@ -268,32 +258,50 @@ def crop_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("item_id", "section", "doc_id", F.col("rank").cast("long").alias("rank"), named.alias("named"))
 
 
-def retry_queries(index: I.Index, unsure: DataFrame) -> DataFrame:
-    """(item_id, text): the rarer half (rounded up) of the distinct terms of each query that the corpus holds, rarest
-    first, ties by term; no row where that is the query itself or nothing."""
-    asked = R.query_terms(unsure).select("item_id", "term")
-    by_df = asked.join(index.terms().select("term", "df"), "term").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
-    half = by_df.select("item_id", F.array_join(F.slice("terms", 1, F.ceil(F.size("terms") / 2).cast("int")), " ").alias("text"))
-    same = unsure.select("item_id", F.lower(F.trim("text")).alias("before"))
-    return half.join(same, "item_id").filter("text <> before").drop("before")
+def retry_queries(unsure: DataFrame, lex: Lexicon) -> DataFrame:
+    """(item_id, text) of a second search for each question (item_id, text, crop): its crop and the words that titles use
+    for the topics it names; no row where it names no topic or where that is the question itself."""
+    q = F.lower(F.trim(F.coalesce("text", F.lit(""))))
+    rows = unsure.select("item_id", q.alias("before"), rules.search_terms(q, lex).alias("terms"), "crop")
+    rows = rows.select("item_id", "before", "terms", F.concat_ws(" ", "crop", "terms").alias("text"))
+    return rows.filter((F.col("terms") != "") & (F.lower("text") != F.col("before"))).select("item_id", "text")
 
 
-def corrective(docs: DataFrame, asked: DataFrame, index: I.Index | None = None) -> DataFrame:
-    """(item_id, doc_id, status): where the lists of the first pass don't agree on the first hit, a second pass over
-    the same index asks for the rarer half of the terms. Its answer counts if its fused first is its sparse first
-    ('corrected'), else the first pass's answer stands ('low_confidence')."""
+def corrective(docs: DataFrame, asked: DataFrame, index: I.Index | None = None, lex: Lexicon | None = None) -> DataFrame:
+    """(item_id, doc_id, status): a first hit that both lists agree on, or that is titled for the topic and crop that the
+    question names, stands ('confident'). Otherwise a second pass over the same index asks for crop and topic words. Its
+    answer counts if its fused first is its sparse first ('corrected'), else the first pass's answer stands
+    ('low_confidence')."""
+    lex = lex or Lexicon()
     index, secs = index or I.build(docs, fresh_path(docs.sparkSession, "index")), section_of(docs)
-    first = hybrid_of(index, secs, asked).filter("rank = 1").select("item_id", "doc_id", F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False)).alias("sure"))
-    first = written(first, "first-pass")  # one row a query; both passes start from it
-    retried = written(retry_queries(index, asked.join(first.filter("NOT sure").select("item_id"), "item_id", "left_semi")), "retried")
+    named = rules.classify(asked.select("item_id", "text"), lex=lex).select("item_id", "text", F.col("crop").alias("asked_crop"), "topic")
+    named = named.withColumn("topic", F.when(F.col("topic") != rules.GENERAL_TOPIC, F.col("topic")))
+    top = hybrid_of(index, secs, asked).filter("rank = 1").join(named, "item_id").join(chunk_table(docs).select("doc_id", "crop"), "doc_id")
+    agreed = F.coalesce((F.col("rank_0") == 1) & (F.col("rank_1") == 1), F.lit(False))
+    titled = R.names_question(F.col("section"), F.col("crop"), F.col("topic"), F.col("asked_crop"))
+    first = written(top.select("item_id", "doc_id", "text", F.col("asked_crop").alias("crop"), (agreed | titled).alias("sure")), "first-pass")  # one row a query
+    retried = written(retry_queries(first.filter("NOT sure"), lex), "retried")
     second = hybrid_of(index, secs, retried).filter("rank = 1 AND rank_1 = 1").select("item_id", F.col("doc_id").alias("again"))
     status = F.when(F.col("sure"), "confident").when(F.col("again").isNotNull(), "corrected").otherwise("low_confidence")
     return first.join(second, "item_id", "left").select("item_id", F.coalesce("again", "doc_id").alias("doc_id"), status.alias("status"))
 
 
+#: What stands for crops, pests and topics in the invented prose: languages, sources, and words for words.
+RETRY_WORDS = replace(
+    STAND_IN,
+    crops=(("en", ("the", "that", "of")), ("de", ("der", "und")), ("fr", ("les", "des", "la"))),
+    pests=(("src1", ("with", "for")), ("src3", ("is", "than")), ("src5", ("es", "que"))),
+    pest_crops=(("src1", ("en", "de", "fr")), ("src3", ("en",)), ("src5", ("fr",))),
+    schemes=(("Beta", ("thanon",)),),
+    topics=(("motion", ("tion", "nt", "to")), ("shape", ("sh", "er", "as"))),
+    topic_titles=(("shape", "this other"),),
+    english=(("tion", "thnt"), ("sh", "hein"), ("to", "thon")),
+)
+
+
 def corrective_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries whose lists disagree are searched again by the rarer half of their terms."""
-    return corrective(*tables(spark, sf_dir, "documents", "benchmark"), corpus_index(spark, sf_dir))
+    """Questions whose lists disagree are searched again by crop and topic words."""
+    return corrective(*tables(spark, sf_dir, "documents", "benchmark"), corpus_index(spark, sf_dir), RETRY_WORDS)
 
 
 #: Characters of a section of the JSON documents that are made of the texts.
@@ -363,9 +371,30 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, fi
 
 SPARSE_OUT = "SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM {0}) WHERE rank <= 5 AND score > 0"
 
+def sql_search_terms(q: str, lex: Lexicon) -> str:
+    """The SQL of ``rules.search_terms`` for a lexicon of ASCII terms that lead to different words."""
+    english, titles = dict(lex.english), dict(lex.topic_titles)
+    found = []
+    for topic, words in lex.topics:
+        found += [f"CASE WHEN {sql_any(q, (w,))} THEN '{english.get(w, w)}' END" for w in words]
+        found += [f"CASE WHEN {sql_any(q, words)} THEN '{titles[topic]}' END"] if topic in titles else []
+    return f"concat_ws(' ', {', '.join(found)})"
+
+
+SURE = f"""named AS (SELECT conv_id AS item_id, nullif(crop, '') AS asked_crop, nullif(nullif(topic, ''), '{rules.GENERAL_TOPIC}') AS topic FROM ({intent_sql(RETRY_WORDS).replace("FROM conversations WHERE role = 'user'", "FROM (SELECT item_id AS conv_id, 0 AS turn, text FROM benchmark)")})),
+sure AS (SELECT item_id, asked_crop, coalesce(dense_rank = 1 AND sparse_rank = 1, false) OR coalesce(contains(lower(section), lower(topic)) AND starts_with(lower(CASE WHEN d.lang = 'es' THEN 'All Crops' ELSE d.lang || ' (lang)' END), asked_crop), false) AS sure
+  FROM fr JOIN documents d USING (doc_id) JOIN named USING (item_id) WHERE rank = 1),"""
+RETRY_CTE = f"""{SURE}
+retry AS (SELECT item_id, text FROM (SELECT item_id, concat_ws(' ', asked_crop, terms) AS text, terms, before FROM (SELECT item_id, asked_crop, {sql_search_terms('b.text', RETRY_WORDS)} AS terms, lower(trim(b.text)) AS before FROM sure JOIN benchmark b USING (item_id) WHERE NOT sure)) WHERE terms <> '' AND lower(text) <> before),
+""" + re.sub(
+    r"\b(qv_c|qv|ds|dl20|qt|sc|sl20|dsec|ssec|un|fu|fr)\b",
+    r"\g<1>2",
+    ", ".join(x.strip().rstrip(",") for x in (hash_cte("qv", "retry", "item_id"), "ds AS" + DENSE_CTE.split("ds AS")[1], "qt AS" + SPARSE_CTE.split("qt AS")[1].replace("benchmark", "retry"), "dsec AS" + FUSE_CTE.split("dsec AS")[1])),
+)
+
 TWO_PASS = f"""WITH {DENSE_CTE}, {SPARSE_CTE}, {FUSE_CTE}, {RETRY_CTE}
-SELECT f.item_id, coalesce(g.doc_id, f.doc_id) AS doc_id, CASE WHEN f.dense_rank = 1 AND f.sparse_rank = 1 THEN 'confident' WHEN g.doc_id IS NOT NULL THEN 'corrected' ELSE 'low_confidence' END AS status
-FROM fr f LEFT JOIN (SELECT item_id, doc_id FROM fr2 WHERE rank = 1 AND sparse_rank = 1) g USING (item_id) WHERE f.rank = 1"""
+SELECT f.item_id, coalesce(g.doc_id, f.doc_id) AS doc_id, CASE WHEN s.sure THEN 'confident' WHEN g.doc_id IS NOT NULL THEN 'corrected' ELSE 'low_confidence' END AS status
+FROM fr f JOIN sure s USING (item_id) LEFT JOIN (SELECT item_id, doc_id FROM fr2 WHERE rank = 1 AND sparse_rank = 1) g USING (item_id) WHERE f.rank = 1"""
 
 CHUNKS_CTE = f"""
 ch AS (SELECT 'd' || doc_id || '_s' || i || '_c0' AS doc_id, source, 'Document ' || doc_id AS title, 'Part ' || (i + 1) AS section, CASE WHEN i % 3 = 0 THEN 'page ' || (i + 1) END AS reference,

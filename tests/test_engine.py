@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from agroloom.functions import lexicon as L
 from agroloom.functions import numbers as N
+from agroloom.functions.lexicon import Lexicon
 from agroloom.functions import text as T
 from agroloom.operators import chunking, claims, dialog, logs, reports, review, rules, tools
 from agroloom.operators import retrieval as R
@@ -122,14 +123,19 @@ def test_bm25_repeats_and_no_match(spark):
 
 def test_unsure_queries_are_searched_again(spark, tmp_path):
     docs = spark.createDataFrame([(1, "sand sand sand stone stone river"), (2, "sand stone cloud zebra quill"), (3, "sand river"), (4, "stone river"), (5, None)], "doc_id long, text string").withColumn("source", F.concat(F.lit("s"), "doc_id")).withColumn("lang", F.lit("en"))
-    asked = spark.createDataFrame([(1, "sand sand sand stone stone stone river zebra quill"), (2, "zebra"), (3, "unheard of"), (4, "Zebra unheard")], "item_id long, text string")
+    asked = spark.createDataFrame([(1, "sand sand sand stone stone stone river zebra quill"), (2, "zebra"), (3, "unheard of"), (4, "zebra quill "), (5, None)], "item_id long, text string")
+    lex = Lexicon(crops=(("Cloud", ("river",)),), pests=(("S1", ("river",)),), pest_crops=(("S1", ("Cloud",)),), topics=(("stripes", ("zebra",)),), topic_titles=(("stripes", "quill"),), english=())
     index = build(docs, str(tmp_path / "ix"))
-    again = {r.item_id: r.text for r in queries_of_retry.retry_queries(index, asked).collect()}
-    assert again == {1: "quill zebra river", 4: "zebra"}
+    crops = asked.withColumn("crop", F.when(F.col("item_id") == 1, "Cloud"))
+    again = {r.item_id: r.text for r in queries_of_retry.retry_queries(crops, lex).collect()}
+    assert again == {1: "Cloud zebra quill", 2: "zebra quill"}
     first = {r.item_id: (r.doc_id, r.rank_0, r.rank_1) for r in queries_of_retry.hybrid_of(index, queries_of_retry.section_of(docs), asked).filter("rank = 1").collect()}
-    got = {r.item_id: (r.doc_id, r.status) for r in queries_of_retry.corrective(docs, asked, index).collect()}
+    got = {r.item_id: (r.doc_id, r.status) for r in queries_of_retry.corrective(docs, asked, index, lex).collect()}
     assert first[1][0] == 1 and first[1][1:] != (1, 1)
     assert got[1] == (2, "corrected")
+    titled = Lexicon(crops=(("en", ("river",)),), pests=(("S1", ("sand",)),), pest_crops=(("S1", ("en",)),), topics=lex.topics)
+    got = {r.item_id: (r.doc_id, r.status) for r in queries_of_retry.corrective(docs, asked, index, titled).collect()}
+    assert got[1] == (1, "confident")  # its section "s1/en" is titled for what the question names
 
 
 def test_index_round_trip(spark, tmp_path):
