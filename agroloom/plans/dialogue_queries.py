@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agroloom.functions import lexicon as L
 from agroloom.functions import text as T
 from agroloom.operators import dialog, rules, terms
+from agroloom.streaming import keyed
 
 #: The classifier's lexicon on the invented prose of the driver's tables: frequent words stand in for farming terms.
 STAND_IN = L.Lexicon(
@@ -204,9 +205,22 @@ def unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", F.array_join("unknown", ",").alias("unknown"))
 
 
+def source_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of each source (an event type), some of which failed: those less than 600 s after a failed one are skipped,
+    and what is skipped can't fail."""
+    calls = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "event_id", "ts", (F.col("value") < 60).alias("ok"))
+    return keyed.in_batch(calls, "event_type", "ts", "event_id", keyed.breaker("event_type", ("event_id",)), "event_type string, event_id long, skipped boolean")
+
+
+def entry_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of each user, served from the entry that was fetched for the user while it is younger than 24 hours."""
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", F.col("event_id").alias("fresh"))
+    return keyed.in_batch(asked, "user_id", "ts", "event_id", keyed.cache("user_id", ("event_id",)), "user_id long, event_id long, fetched boolean, value long")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (term_table_match, unknown_names, intent_cascade, previous_turn, last_matching_turn, recent_history, query_expansion, dialog_state_exact, topic_terms, language_script, lexicon_match_word, first_alias, longest_alias, banned_scan, safety_notes, grounding_ratio)
+    for f in (source_breaker, entry_cache, term_table_match, unknown_names, intent_cascade, previous_turn, last_matching_turn, recent_history, query_expansion, dialog_state_exact, topic_terms, language_script, lexicon_match_word, first_alias, longest_alias, banned_scan, safety_notes, grounding_ratio)
 }
 
 INTENT_SQL = intent_sql(STAND_IN)
@@ -271,7 +285,22 @@ d AS (SELECT lower(lang) AS lang, regexp_replace(lower(text), '\s+', '', 'g') AS
 k AS (SELECT item_id, name, EXISTS (SELECT 1 FROM d WHERE starts_with(d.lang, n.crop) AND (contains(t, replace(n.name, ' ', '')) OR contains(t, replace(n.short, ' ', '')))) AS known FROM n)
 SELECT item_id, CASE WHEN bool_or(known) THEN '' ELSE array_to_string(list_sort(list_distinct(list(name))), ',') END AS unknown FROM k GROUP BY item_id"""
 
+BREAKER_SQL = """
+WITH RECURSIVE c AS (SELECT event_type, event_id, epoch_ms(ts) AS t, value < 60 AS ok FROM events WHERE ts IS NOT NULL),
+b AS (SELECT event_type, min(t) AS t FROM c WHERE NOT ok GROUP BY event_type
+  UNION ALL SELECT b.event_type, min(c.t) FROM b JOIN c ON c.event_type = b.event_type AND c.t >= b.t + 600000 AND NOT c.ok GROUP BY b.event_type),
+f AS (SELECT c.event_type, min(event_id) AS event_id, t FROM c JOIN b USING (event_type, t) WHERE NOT ok GROUP BY c.event_type, t)
+SELECT c.event_type, c.event_id, f.t IS NOT NULL AND c.t < f.t + 600000 AND (c.t > f.t OR c.event_id > f.event_id) AS skipped FROM c ASOF LEFT JOIN f ON f.event_type = c.event_type AND c.t >= f.t"""
+CACHE_SQL = """
+WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_ms(ts) AS t FROM events WHERE ts IS NOT NULL),
+g AS (SELECT user_id, min(t) AS t FROM c GROUP BY user_id
+  UNION ALL SELECT g.user_id, min(c.t) FROM g JOIN c ON c.user_id = g.user_id AND c.t >= g.t + 86400000 GROUP BY g.user_id),
+f AS (SELECT c.user_id, min(event_id) AS event_id, t FROM c JOIN g USING (user_id, t) GROUP BY c.user_id, t)
+SELECT c.user_id, c.event_id, c.event_id = f.event_id AS fetched, f.event_id AS value FROM c ASOF JOIN f ON f.user_id = c.user_id AND c.t >= f.t"""
+
 SQL = {
+    "source_breaker": BREAKER_SQL,
+    "entry_cache": CACHE_SQL,
     "term_table_match": TERMS_SQL,
     "unknown_names": NAMES_SQL,
     "intent_cascade": INTENT_SQL,
