@@ -26,9 +26,10 @@ def unpacked(frame: pd.DataFrame) -> Iterator[tuple[dict, int, int, str]]:
         yield json.loads(row), int(at), int(ord_), row
 
 
-def stepped(step: Step, row: dict, at: int, state: dict | None, last: int | None, forget_ms: int | None) -> tuple[dict, dict]:
-    """One step, from nothing where the key was silent for too long; the step finds the time as ``at_ms``."""
-    row["at_ms"] = at
+def stepped(step: Step, row: dict, at: int, ord_: int, state: dict | None, last: int | None, forget_ms: int | None) -> tuple[dict, dict]:
+    """One step, from nothing where the key was silent for too long; the step finds time and place among equal times as
+    ``at_ms`` and ``ord_no``."""
+    row["at_ms"], row["ord_no"] = at, ord_
     return step(row, None if forget_ms is not None and last is not None and at - last >= forget_ms else state)
 
 
@@ -82,7 +83,7 @@ class InOrder(StatefulProcessor):
         out = []
         for place in (p for p in places if p[0] < mark):
             row = json.loads(self.waiting.getValue(place)[0])
-            answer, state = stepped(self.step, row, place[0], state, last, self.forget_ms)
+            answer, state = stepped(self.step, row, place[0], place[1], state, last, self.forget_ms)
             last = place[0]
             out.append(answer)
             self.waiting.removeKey(place)
@@ -128,10 +129,10 @@ def in_batch(rows: DataFrame, key: str, ts: str, order: str, step: Step, schema:
         started = False
         for frame in frames:
             out = []
-            for (row, at, _, _), key_now in zip(unpacked(frame), frame["key"], strict=True):
+            for (row, at, ord_, _), key_now in zip(unpacked(frame), frame["key"], strict=True):
                 if not started or key_now != current:
                     current, state, last, started = key_now, None, None, True
-                answer, state = stepped(step, row, at, state, last, forget_ms)
+                answer, state = stepped(step, row, at, ord_, state, last, forget_ms)
                 last = at
                 out.append(answer)
             yield pd.DataFrame(out, columns=names, dtype=object)
@@ -141,13 +142,16 @@ def in_batch(rows: DataFrame, key: str, ts: str, order: str, step: Step, schema:
 
 
 def breaker(key: str, keep: tuple[str, ...] = ("id",), open_ms: int = 600_000) -> Step:
-    """Calls of a source: after a call that failed, calls are skipped for ``open_ms``; a skipped call can't fail."""
+    """Calls of a source: after a call that failed, calls are skipped for ``open_ms``; a skipped call can't fail. Rows that
+    repeat time and place of the failed call are copies of it and not skipped; calls without a source never are."""
 
     def step(r: dict, state: dict | None) -> tuple[dict, dict]:
         state = state or {"failed": None}
         skipped = state["failed"] is not None and r["at_ms"] < state["failed"] + open_ms
+        if r.get(key) is None or (r["at_ms"], r["ord_no"]) == (state["failed"], state.get("ord")):
+            skipped = False
         if not skipped and r.get("ok") is False:
-            state = {"failed": r["at_ms"]}
+            state = {"failed": r["at_ms"], "ord": r["ord_no"]}
         return {key: r.get(key), **{c: r.get(c) for c in keep}, "skipped": skipped}, state
 
     return step

@@ -70,3 +70,17 @@ def test_steps_of_breaker_and_cache(spark):
     forgotten = keyed.in_batch(rows, "source", "ts", "id", keyed.cache("source"), CACHED, forget_ms=300_000).orderBy("id").collect()
     assert [r.fetched for r in forgotten] == [True, True, False, False, True, True, True]
     assert keyed.in_batch(rows.limit(0), "source", "ts", "id", keyed.breaker("source"), BROKEN).count() == 0
+
+
+def test_breaker_on_repeated_rows_is_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from agroloom.plans import dialogue_queries
+
+    rows = [("a", i, START + dt.timedelta(minutes=m), v) for i, m, v in [(3, 0, 10.0), (4, 1, 90.0), (4, 1, 90.0), (4, 1, 90.0), (5, 1, 90.0), (6, 2, 90.0), (7, 11, 90.0), (7, 11, 5.0), (8, 12, 1.0)]]
+    rows += [(None, 9, START, 90.0), (None, 10, START + dt.timedelta(minutes=1), 90.0)]
+    spark.createDataFrame(rows, "event_type string, event_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = dialogue_queries.source_breaker(spark, str(tmp_path)).select("event_type", "event_id", "skipped").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(dialogue_queries.BREAKER_SQL).fetchall()))
