@@ -3,16 +3,16 @@
 * Base spans follow fixed patterns and checks (``base_spans``); they are always selected.
 * High-recall generators propose more spans (``candidates``): spelled-out e-mail addresses, phone numbers without a
   country code, card numbers with odd separators, defanged addresses and so on; they may overlap.
-* Boosted trees (MLlib) judge a candidate by its format and its context. They are fitted on a bounded sample of
-  candidates of the table itself. Base spans and rewritten forms of them, where they stand and planted into another
+* Boosted trees (MLlib) judge a candidate by its format and its context. They are fitted on all
+  distinct candidates of the table itself. Base spans and rewritten forms of them, where they stand and planted into another
   context of the text, are positive, corrupted forms negative. Proposals of the generators get their label from a check
   of their format (``plausible``: Luhn, digit counts, address and domain once spelled-out signs are read); where that
   can't tell, they are left out of the fit and only judged.
-* Equal candidates are one example that weighs as much as they are many, and the sample is dealt over kinds and labels.
-* On the half of the sample that the trees haven't seen (by a hash of the features), each kind gets the lowest threshold at which the selected
+* Equal candidates are one example that weighs as much as they are many.
+* On the half of the examples that the trees haven't seen (by a hash of the features), each kind gets the lowest threshold at which the selected
   candidates are right with ``PRECISION``; a kind with too few examples selects no more than its base spans.
 
-Two scans gather the sample (hashes to count the distinct candidates, then about 2 * ``SAMPLE`` of these), one map-only scan finds the spans. Offsets are
+One scan gathers the examples, which are written once, one map-only scan finds the spans. Offsets are
 code points, ends exclusive.
 
 Edge cases: null text counts as empty and has no spans; rows that repeat a doc_id are read one by one; tables without
@@ -27,15 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agroloom.llm.common import texts
+from agroloom.llm.common import discard, texts, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Most distinct candidates that are sampled (the smallest hashes of each kind and label) for the trees and thresholds.
-SAMPLE = 8000
+#: Distinct candidates of a task that the trees are fitted in, about.
+EXAMPLES = 20_000
 #: Share of right candidates above a kind's threshold, and the fewest examples for one.
 PRECISION, FEWEST = 0.99, 30
 TREES, DEPTH = 20, 3
@@ -266,9 +266,9 @@ def quotas(sizes: dict, most: int) -> dict:
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Selector:
-    """Trees and thresholds from a bounded sample of the distinct candidates of ``docs``, weighted by their copies."""
-    spark = docs.sparkSession
+def fit(docs: DataFrame, text_col: str = "text", sample: int | None = None) -> Selector:
+    """Trees and thresholds from all distinct candidates of ``docs``, weighted by their copies; with ``sample`` from that
+    many of them (the smallest hashes of each kind and label)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,46 +277,61 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Select
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.list_(pa.float64()))], ["label", "kind", "x"])
 
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(gather, "label int, kind string, x array<double>")
-    rows = rows.withColumn("h", F.xxhash64("kind", "x", "label"))
+    distinct = rows.groupBy("kind", "label", "x").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("kind", "x", "label"))
+    held = written(distinct.withColumn("tried", F.pmod(F.xxhash64("x", "kind"), F.lit(2)) == 1).withColumn("weight", F.col("copies").cast("double")), "examples")
+    if sample is not None:
+        held = sampled(held, sample)
+    selector = boosted(held)
+    discard(held)
+    return selector
+
+
+def sampled(held: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the examples; each (kind, label) weighs as much as all its rows do in the table."""
     # at most eight rows
-    sizes = {(r.kind, r.label): (r.n, r.rows) for r in rows.groupBy("kind", "label").agg(F.count_distinct("h").alias("n"), F.count("*").alias("rows")).collect()}
-    take = quotas({k: n for k, (n, _) in sizes.items()}, sample)
-    # the copies of an example share its hash: a bound on hashes, about twice the quota wide, keeps all of them or none
-    kept, most = F.lit(False), F.lit(0)
-    for (kind, label), (n, _) in sizes.items():
+    sizes = {(r.kind, r.label): (r.n, r.rows) for r in held.groupBy("kind", "label").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).collect()}
+    take = quotas({k: n for k, (n, _) in sizes.items()}, most)
+    # a bound on hashes, about twice the quota wide
+    kept, quota, all_rows = F.lit(False), F.lit(0), F.lit(0)
+    for (kind, label), (n, total) in sizes.items():
         here = (F.col("kind") == kind) & (F.col("label") == label)
         share = (2 * take[kind, label] + 64) / n
         kept |= here & (F.col("h") < int(-(1 << 63) + (1 << 64) * share) if share < 1 else F.lit(True))
-        most = F.when(here, take[kind, label]).otherwise(most)
-    distinct = rows.filter(kept).groupBy("kind", "label", "x", "h").agg(F.count("*").alias("copies"))
-    place = F.row_number().over(Window.partitionBy("kind", "label").orderBy("h", "x"))
-    held = distinct.withColumn("place", place).filter(F.col("place") <= most).withColumn("tried", F.pmod(F.xxhash64("x", "kind"), F.lit(2)) == 1)
-    held = held.orderBy("kind", "label", "place").collect()
-    # each (kind, label) weighs as much as all its rows do in the table
-    shown: dict[tuple[str, int], int] = {}
-    for r in held:
-        shown[r.kind, r.label] = shown.get((r.kind, r.label), 0) + r.copies
-    weighed = [(r.label, r.kind, r.x, r.copies * sizes[r.kind, r.label][1] / shown[r.kind, r.label], r.tried) for r in held]
-    return boosted(spark, [e[:4] for e in weighed if not e[4]], [e[:4] for e in weighed if e[4]])
-
-
-def boosted(spark, fitted: list[tuple[int, str, list[float], float]], tried: list[tuple[int, str, list[float], float]]) -> Selector:
-    """A selector from (label, kind, features, weight) rows: trees fitted on some, thresholds from the others."""
-    if len({y for y, *_ in fitted}) < 2:
+        quota, all_rows = F.when(here, take[kind, label]).otherwise(quota), F.when(here, total).otherwise(all_rows)
+    group = Window.partitionBy("kind", "label")
+    rows = held.filter(kept).withColumn("place", F.row_number().over(group.orderBy("h", "x"))).filter(F.col("place") <= quota)
+    out = rows.withColumn("weight", F.col("copies") * all_rows / F.sum("copies").over(group)).drop("place")
+    out.written_at = held.written_at
+    return out
+
+
+def boosted(held: DataFrame) -> Selector:
+    """A selector from (kind, label, x, h, tried, weight) rows: trees fitted on those not tried, thresholds from the others.
+
+    The trees are MLlib's, fitted over all partitions. Thresholds: the tried rows are scored in tasks and summed by score;
+    a running sum over the scores finds the lowest one above which enough is right, one row a kind.
+    """
+    fitted = held.filter("NOT tried")
+    n, labels = fitted.agg(F.count("*"), F.count_distinct("label")).first()
+    if labels < 2:
         return Selector([], {})
-    frame = spark.createDataFrame([(float(y), Vectors.dense(x), w) for y, _, x, w in fitted], ["label", "features", "weight"]).coalesce(1)
+    vector = array_to_vector("x").alias("features")
+    frame = fitted.repartition(-(-n // EXAMPLES), "h").sortWithinPartitions("h", "kind", "label", "x").select(F.col("label").cast("double").alias("label"), vector, "weight")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, weightCol="weight").fit(frame)
     selector = Selector([(w, nodes_of(t)) for w, t in zip(model.treeWeights, model.trees, strict=True)], {})
-    for kind in KINDS:
-        scored = sorted(((selector.score(x), y, w) for y, k, x, w in tried if k == kind), reverse=True)
-        right, total, best = 0.0, 0.0, None
-        for n, (s, y, w) in enumerate(scored, 1):
-            right += y * w
-            total += w
-            if right >= PRECISION * total and (n == len(scored) or scored[n][0] < s):
-                best = s
-        if best is not None and sum(y for _, y, _ in scored) >= FEWEST and any(not y for _, y, _ in scored):
-            selector.thresholds[kind] = max(best, 0.5)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([selector.score(x) for x in b.column(2).to_pylist()], pa.float64())], ["kind", "label", "x", "weight", "score"])
+
+    tried = held.filter("tried").select("kind", "label", "x", "weight").mapInArrow(scored, "kind string, label int, x array<double>, weight double, score double")
+    by_score = tried.groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("right"), F.sum("weight").alias("total"), F.sum("label").alias("ones"), F.count("*").alias("n"), F.min("x").alias("x"))
+    down = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # the scores of a few trees
+    running = by_score.withColumns({"right": F.sum("right").over(down), "total": F.sum("total").over(down)})
+    best = F.max(F.when(F.col("right") >= PRECISION * F.col("total"), F.struct((-F.col("score")).alias("low"), "x")))
+    for r in running.groupBy("kind").agg(best.alias("best"), F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect():  # four kinds
+        if r.best is not None and r.ones >= FEWEST and r.ones < r.n:
+            selector.thresholds[r.kind] = max(selector.score(r.best.x), 0.5)
     return selector
 
 

@@ -659,3 +659,15 @@ def test_pipeline_stages_keep_other_columns(spark, folder, empty):
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in Q.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(Q.oracle_sql()) <= set(Q.queries())
+
+
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    seen = []
+    plain = pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, frame: (seen.append((frame.count(), frame.agg({"weight": "sum"}).first()[0])), plain(self, frame))[1])
+    rows = [(i, f"{prose(i, 4)} mail u{'x' * (i % 60)}{i}.{'y' * (i % 37)}@h{i % 900}.ex{'a' * (i % 23)}mple.com {prose(i + 7, 4)} {i}") for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    selector = pii.fit(frame)
+    every = {(k, y, tuple(x)) for _, t in rows for y, k, x in pii.examples(t)}
+    assert len(every) > 12_000 and len(every) * 0.45 < seen[0][0] < len(every) * 0.55  # the other half gives the thresholds
+    assert "email" in selector.thresholds
