@@ -318,3 +318,9 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert columns == sorted(want.columns)
     a, b = (f[columns].astype(str).sort_values(columns).reset_index(drop=True) for f in (got, want))
     assert a.equals(b)
+
+
+def test_dose_totals_name_no_value_twice(spark):
+    """The plan of a total stays small: a value that is written twice inside a higher-order function is computed twice."""
+    plan = spark.range(1).select(N.dose_total(F.concat(F.col("id").cast("string"), F.lit("5-10 kg")), F.lit(3.5)).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 3 and plan.count("element_at(") == 2
