@@ -100,3 +100,14 @@ def test_numbers_by_range(spark):
     assert {(x.g, x.i): (x.n, x.size) for x in got} == {(g, i): (n, len(ids)) for g, ids in by.items() for n, i in enumerate(ids)}
     assert sorted(x.n for x in number_by_range(frame, ["v"]).collect()) == list(range(500))
     assert number_by_range(frame.limit(0), ["v"]).count() == 0
+
+
+def test_postings_are_never_rows_of_a_shuffle(spark, tmp_path):
+    rows = [(i, " ".join(WORDS[j % 14] + str(j % 50) for j in range(i, i + 60))) for i in range(3000)]
+    index = I.build(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "ix"), vectors=False)
+    forward = index.table("forward")
+    plan = I.posting_rows(forward)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan
+    held = {(r.term, n): (tf, dl) for r in index.table("postings").collect() for n, tf, dl in zip(r.nums, r.tfs, r.dls, strict=True)}
+    want = {(t, r.num): (tf, r.dl) for r in forward.collect() for t, tf in zip(r.terms, r.tfs, strict=True)}
+    assert held == want and index.table("postings").groupBy("term", "span").count().filter("count > 1").count() == 0
