@@ -90,21 +90,25 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, bucket, w): sparse unit vectors of ``DIM`` hashed buckets.
 
     A token adds 1 at one bucket and 0.5 at another, each of its 3-grams 0.3 at a third; the bucket is the first MD5
-    byte of "seed:token" (fixed values: seeds 1, 2, 3). Weights are counted per distinct token first.
+    byte of "seed:token" (fixed values: seeds 1, 2, 3). Weights are summed in the row's task, and a row is shuffled once, as
+    one row of arrays; rows that repeat an id are one text.
     """
     rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    counts = rows.select("id", F.explode(all_tokens(F.col("text"))).alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
+    rows = rows.select("id", all_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
 
-    def at(seed: int, what: Column) -> Column:
-        return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), what)), 1, 2), 16, 10).cast("int")
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                weights = [bucket_weights(tokens, memo) for tokens in b.column(1).to_pylist()]
+                at = [np.flatnonzero(x) for x in weights]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([x[i] for x, i in zip(weights, at, strict=True)], pa.list_(pa.int64()))], ["id", "buckets", "ws"])
 
-    grams = F.when(F.length("t") >= 3, F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    parts = F.concat(
-        F.array(F.struct(at(1, F.col("t")).alias("bucket"), F.lit(10).alias("w")), F.struct(at(2, F.col("t")).alias("bucket"), F.lit(5).alias("w"))),
-        F.transform(grams, lambda g: F.struct(at(3, g).alias("bucket"), F.lit(3).alias("w"))),
-    )
+    sparse = rows.mapInArrow(made, f"id {rows.schema['id'].dataType.simpleString()}, buckets array<int>, ws array<long>").repartition("id")
+    each = sparse.select("id", F.explode(F.arrays_zip("buckets", "ws")).alias("p")).select("id", F.col("p.buckets").alias("bucket"), F.col("p.ws").alias("w"))
     # tenths as integers: sums don't depend on their order
-    sums = counts.select("id", "n", F.explode(parts).alias("p")).groupBy("id", F.col("p.bucket").alias("bucket")).agg(F.sum(F.col("p.w") * F.col("n")).alias("w"))
+    sums = each.groupBy("id", "bucket").agg(F.sum("w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return sums.select("id", "bucket", (F.col("w") / norm).alias("w"))
 
@@ -115,6 +119,16 @@ def token_codes(token: str) -> np.ndarray:
     return np.array([at(1, token), DIM + at(2, token), *(2 * DIM + at(3, token[i : i + 3]) for i in range(len(token) - 2))], np.int64)
 
 
+def bucket_weights(tokens: list[str], memo: dict[str, np.ndarray]) -> np.ndarray:
+    """Weights of the ``DIM`` buckets of one text in tenths; ``memo`` holds the codes of tokens that a task has seen."""
+    if len(memo) > MEMO:
+        memo.clear()
+    for t in set(tokens).difference(memo):
+        memo[t] = token_codes(t)
+    n = np.bincount(np.concatenate([memo[t] for t in tokens]), minlength=3 * DIM) if tokens else np.zeros(3 * DIM, np.int64)
+    return 10 * n[:DIM] + 5 * n[DIM : 2 * DIM] + 3 * n[2 * DIM :]
+
+
 def unit_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, v, columns ``keep``): the vectors of :func:`hashed` as dense unit vectors, DIM doubles in a binary column.
 
@@ -132,12 +146,7 @@ def unit_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 b = whole.slice(start, 1024)
                 out = []
                 for tokens in b.column(1).to_pylist():
-                    if len(memo) > MEMO:
-                        memo.clear()
-                    for t in set(tokens).difference(memo):
-                        memo[t] = token_codes(t)
-                    n = np.bincount(np.concatenate([memo[t] for t in tokens]), minlength=3 * DIM) if tokens else np.zeros(3 * DIM)
-                    x = (10 * n[:DIM] + 5 * n[DIM : 2 * DIM] + 3 * n[2 * DIM :]).astype(float)
+                    x = bucket_weights(tokens, memo).astype(float)
                     norm = np.sqrt((x * x).sum())
                     out.append((x / norm if norm else x).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), *b.columns[2:]], ["id", "v", *keep])

@@ -111,3 +111,12 @@ def test_postings_are_never_rows_of_a_shuffle(spark, tmp_path):
     held = {(r.term, n): (tf, dl) for r in index.table("postings").collect() for n, tf, dl in zip(r.nums, r.tfs, r.dls, strict=True)}
     want = {(t, r.num): (tf, r.dl) for r in forward.collect() for t, tf in zip(r.terms, r.tfs, strict=True)}
     assert held == want and index.table("postings").groupBy("term", "span").count().filter("count > 1").count() == 0
+
+
+def test_hashed_rows_are_shuffled_once_and_repeated_ids_are_one_text(spark):
+    rows = spark.createDataFrame([(1, "wheat rust a"), (1, "wheat"), (2, None), (3, ""), (4, "a b")], "doc_id long, text string")
+    got = R.hashed(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "md5" not in plan
+    one = spark.createDataFrame([(1, "wheat rust a wheat"), (4, "a b")], "doc_id long, text string")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.hashed(one).collect()))
