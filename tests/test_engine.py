@@ -6,6 +6,7 @@ import random
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,19 @@ def test_dose_totals_name_no_value_twice(spark):
     """The plan of a total stays small: a value that is written twice inside a higher-order function is computed twice."""
     plan = spark.range(1).select(N.dose_total(F.concat(F.col("id").cast("string"), F.lit("5-10 kg")), F.lit(3.5)).alias("t"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract(") == 3 and plan.count("element_at(") == 2
+
+
+def test_windows_hold_few_rows_as_objects(spark, monkeypatch):
+    """Rows of an Arrow batch become Python objects a slice at a time, nulls and empty texts too."""
+    made = []
+    monkeypatch.setattr(chunking.F, "arrow_udf", lambda kind: lambda f: made.append(f) or F.udf(lambda s, h: None, kind))
+    chunking.windows(F.col("t"), F.col("h"), 40, 10)
+    monkeypatch.undo()
+    rows = [[f"Sentence {i} of row {n}." for i in range(5)] for n in range(300)] + [None, []]
+    text, head = pa.array(rows, pa.list_(pa.string())), pa.array(["[h] "] * 302)
+    sizes = []
+    plain = pa.array
+    monkeypatch.setattr(chunking.pa, "array", lambda x, *a: (sizes.append(len(x)), plain(x, *a))[1])
+    got = made[0](text, head).to_pylist()
+    assert max(sizes) <= chunking.SLICE < 300 and got[300:] == [None, []] and len(got) == 302
+    assert got[7] == ["[h] " + w for w in chunking.windows_of(rows[7], 40, 10)]
