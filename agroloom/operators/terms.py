@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -16,8 +17,13 @@ from agroloom.functions.text import fold_indic
 from agroloom.operators.spread import spread
 from agroloom.sources.shared import written
 
-#: Bytes of terms that one automaton holds, and the driver at one time. A larger lexicon takes a pass for each such share.
-LEXICON_BYTES = 16 << 20
+#: Bytes of terms that one automaton holds; words of a set take a quarter of the memory and count a quarter. A larger lexicon
+#: takes a pass for each such share, and the driver holds one share at a time.
+LEXICON_BYTES = 8 << 20
+
+
+#: Runs of what ``in_word`` holds for.
+WORDS = re.compile(r"\w+")
 
 
 @functools.lru_cache(4096)
@@ -44,13 +50,15 @@ def found_terms(texts: DataFrame, terms: DataFrame, mode: str = "stem", fold: bo
     """(id, term): the distinct ``terms`` (term) that occur in each text (id, text), case aside.
 
     Texts are composed (NFC) as they are read, terms alike; with ``fold`` both spellings of a Gurmukhi nasal are one. A
-    task builds one Aho-Corasick automaton of the terms and passes each text once. Null and empty texts and terms match
-    nothing; rows that repeat an id are looked at one by one and may repeat a pair.
+    task holds the terms that have to be whole words as a set, which meets the words of each text, and one Aho-Corasick
+    automaton of the others, which passes each text once. Null and empty texts and terms match nothing; rows that repeat an
+    id are looked at one by one and may repeat a pair.
     """
     plain = (lambda c: fold_indic(c)) if fold else (lambda c: c)
     wanted = terms.select("term").filter("term <> ''").distinct()
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()[0]
-    shares = max(1, -(-size // lexicon_bytes))
+    weight = F.octet_length("term") * F.when(F.col("term").rlike("^[A-Za-z0-9_]+$") & F.lit(mode != "part"), 0.25).otherwise(1.0)
+    size = wanted.agg(F.coalesce(F.sum(weight), F.lit(0.0))).first()[0]
+    shares = max(1, math.ceil(size / lexicon_bytes))
     rows = spread(texts.select("id", plain(F.lower("text")).alias("text")).filter("text <> ''"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, term string"
     out = None
@@ -66,22 +74,13 @@ def searcher(terms: list[str], mode: str, fold: bool):
     """What a task does: (id, text) to (id, term)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nfc, automaton, of = functools.partial(unicodedata.normalize, "NFC"), ahocorasick.Automaton(), {}
-        for t in terms:
-            key = nfc(t).lower()
-            of.setdefault(key.translate({0x0A02: 0x0A70}) if fold else key, []).append(t)
-        for key, said in of.items():
-            automaton.add_word(key, (len(key), key.isascii(), said))
-        automaton.make_automaton()
+        lexicon = Held(terms, mode, fold)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
                 ids, names = [], []
                 for n, text in enumerate(b.column(1).to_pylist()):
-                    text, here = nfc(text), set()
-                    for end, (size, ascii_term, said) in automaton.iter(text) if of else ():
-                        if said[0] not in here and standalone(text, end + 1 - size, end + 1, mode, ascii_term):
-                            here.update(said)
+                    here = lexicon.found(text)
                     ids += [n] * len(here)
                     names += here
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(names, pa.string())], ["id", "term"])
@@ -89,6 +88,40 @@ def searcher(terms: list[str], mode: str, fold: bool):
     return found
 
 
+class Held:
+    """A task's terms. Those of ASCII letters, digits and underscores that have to be whole words are just words of the text,
+    so a set is enough for them; an automaton takes about ten times the memory a term."""
+
+    def __init__(self, terms: list[str], mode: str, fold: bool):
+        self.mode, self.words, self.parts, self.same = mode, set(), [], {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for t in terms:
+            key = unicodedata.normalize("NFC", t).lower()
+            key = key.translate({0x0A02: 0x0A70}) if fold else key
+            if key != t:
+                self.same.setdefault(key, []).append(t)  # terms that are looked for by another spelling
+            if mode != "part" and key.isascii() and WORDS.fullmatch(key):
+                self.words.add(key)
+            elif key not in self.automaton:
+                self.automaton.add_word(key, len(self.parts))
+                self.parts.append(key)
+        self.spelled = set(self.same).difference(terms)  # keys that are no terms themselves
+        self.in_ascii = any(k.isascii() for k in self.parts)
+        self.automaton.make_automaton()
+
+    def found(self, text: str) -> set[str]:
+        text = unicodedata.normalize("NFC", text)
+        here = self.words.intersection(WORDS.findall(text)) if self.words else set()
+        if self.parts and (self.in_ascii or not text.isascii()):
+            for end, i in self.automaton.iter(text):
+                key = self.parts[i]
+                if key not in here and standalone(text, end + 1 - len(key), end + 1, self.mode, key.isascii()):
+                    here.add(key)
+        for key in here.intersection(self.same) if self.same else ():
+            here.update(self.same[key])
+        return here - self.spelled if self.spelled else here
+
+
 def squashed(text: Column) -> Column:
     """Lower case without white space, so that "para wilt" is "Parawilt"."""
     return F.regexp_replace(F.lower(text), r"\s+", "")

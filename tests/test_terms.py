@@ -39,6 +39,14 @@ def test_ten_thousand_terms(spark):
     assert got == {(i, w) for i, t in texts for w in set(t.split()) & set(lexicon)}
 
 
+def test_whole_words_are_held_as_words_not_as_an_automaton():
+    """100,000 words take a set; only terms that may lie inside words, or hold more than one, take an automaton."""
+    held = terms.Held([f"word{i}" for i in range(100_000)] + ["pink  bollworm", "गेहूं", "Rate"], "stem", False)
+    assert len(held.automaton) == 2 and len(held.words) == 100_001
+    assert held.found("word7 xword8 word9x rate pink  bollworm अगेहूं") == {"word7", "Rate", "pink  bollworm", "गेहूं"}
+    assert len(terms.Held(["wheat", "rust"], "part", False).automaton) == 2
+
+
 def test_unknown_names(spark):
     chunks = spark.createDataFrame([("Cotton", "Leaf Curl Virus and Para wilt"), ("Wheat", "yellow rust"), (None, "loose smut")], "crop string, text string")
     asked = [(1, "cotton", "parawilt", "parawilt"), (2, "cotton", "golden wilt", "golden wilt"), (3, "wheat", "stripe rust", "stripe rust"), (3, "wheat", "yellow  rust", "rust"), (4, "wheat", "leaf curl virus", "curl virus"), (5, None, "cotton leaf curl virus", "curl virus"), (6, None, "blue rot", "blue rot"), (6, None, "ash rot", "ash rot")]
