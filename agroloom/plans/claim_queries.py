@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from agroloom.functions import text as T
 from agroloom.operators import claims as C
+from agroloom.operators.spread import spread
 
 PRODUCTS, CHEMICALS = ("actara", "tilt", "confidor"), ("hexaconazole", "endosulfan", "cypermethrin", "mancozeb")
 DISEASES = ("yellow rust", "golden wilt virus", "sheath blight")
@@ -45,7 +46,7 @@ def price_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dose_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doses of a product in a question against those of the evidence."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("k"))
+    items = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("k")))
     asked, told = pick(PRODUCTS, F.col("k")), pick(PRODUCTS, F.col("k") + F.col("l_linenumber") % 2)
     question = F.concat(F.lit("Is "), F.col("q"), pick((" g ", " gm of ", " ml "), F.col("l_orderkey")), asked, F.lit(" per acre enough for 3 kg seed?"))
     proof = F.array(F.concat(F.lit("Spray "), F.col("q") + F.col("l_linenumber") % 3 % 2, F.lit(" grams of "), told, F.lit(" in 100 l water. Never leave "), pick((*PRODUCTS, "it"), F.col("l_orderkey")), F.lit(" open.")))

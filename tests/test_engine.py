@@ -341,3 +341,14 @@ def test_windows_hold_few_rows_as_objects(spark, monkeypatch):
     got = made[0](text, head).to_pylist()
     assert max(sizes) <= chunking.SLICE < 300 and got[300:] == [None, []] and len(got) == 302
     assert got[7] == ["[h] " + w for w in chunking.windows_of(rows[7], 40, 10)]
+
+
+def plan_of(spark, column, **named):
+    """The analysed plan of a column over columns of text."""
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in named.items())).select(column.alias("c"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_dose_checks_name_no_value_twice(spark):
+    """Doses of the evidence are read once for each claim, its sentences once for all."""
+    plan = plan_of(spark, claims.dose_checks(F.col("q"), F.array(F.col("e"))), q="5 g tilt", e="6 g of tilt.")
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("split(") == 1
