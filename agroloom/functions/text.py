@@ -50,8 +50,15 @@ def contains_term(text: Column, term: str, mode: str = "stem") -> Column:
 
 
 def any_of(terms: tuple[str, ...], mode: str = "stem") -> str:
-    """Regex for any of some lexicon terms, longest first, in any case."""
-    return "(?i)(?:" + "|".join(term_pattern(t, mode) for t in sorted(terms, key=lambda t: (-len(t), t))) + ")"
+    """Regex for any of some lexicon terms, longest first, in any case. ASCII terms share one look at the word's borders, so
+    that within a word none of them is tried, unless another term begins like them."""
+    ordered = sorted(terms, key=lambda t: (-len(t), t))
+    plain = [t for t in ordered if unicodedata.normalize("NFC", t).isascii()]
+    others = [t for t in ordered if t not in plain]
+    if len(plain) < 2 or not all(plain) or any(unicodedata.normalize("NFC", t)[0].isascii() for t in others):
+        return "(?i)(?:" + "|".join(term_pattern(t, mode) for t in ordered) + ")"
+    words = NO_WORD_BEFORE + "(?:" + "|".join(quoted(unicodedata.normalize("NFC", t).lower()) for t in plain) + ")" + NO_WORD_AFTER
+    return "(?i)(?:" + "|".join((words, *(term_pattern(t, mode) for t in others))) + ")"
 
 
 def sentence_break(ends: str = ".!?।", lines: str = r"\n+") -> str:

@@ -352,3 +352,18 @@ def test_dose_checks_name_no_value_twice(spark):
     """Doses of the evidence are read once for each claim, its sentences once for all."""
     plan = plan_of(spark, claims.dose_checks(F.col("q"), F.array(F.col("e"))), q="5 g tilt", e="6 g of tilt.")
     assert plan.count("regexp_extract_all(") == 2 and plan.count("split(") == 1
+
+
+def test_a_premise_is_cut_once(spark):
+    plan = plan_of(spark, claims.unchecked_premise(F.col("q"), F.array().cast(claims.CHECK), F.array(F.lit("a"))), q="Since it rains, what now?")
+    assert plan.count("everybody knows") == 1
+
+
+def test_terms_share_one_look_at_borders(spark):
+    """The pattern of many terms finds what the patterns of single terms find, longest first, and looks at borders once."""
+    terms = ("rain", "rain today", "now", "क्यों", "क्योंकि")
+    assert T.any_of(terms).count(T.NO_WORD_BEFORE) == 1
+    single = "(?i)(?:" + "|".join(T.term_pattern(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + ")"
+    texts = ["Rain today now", "rains now_ NOW", "xrain rain", "क्योंकि क्यों rain", "", None, "rain todayx", "nowक्यों"]
+    both = spark.createDataFrame([(t,) for t in texts], "t string").select(*(F.regexp_extract_all("t", F.lit(p), 0).alias(n) for n, p in (("a", T.any_of(terms)), ("b", single)))).collect()
+    assert all(r.a == r.b for r in both) and both[0].a == ["Rain today", "now"] and both[1].a == ["NOW"]
