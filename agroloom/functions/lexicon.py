@@ -6,19 +6,29 @@ no join, no explode, and the patterns compile once a task.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from agroloom.functions.numbers import bound
 from agroloom.functions.text import term_pattern
 
 Entries = tuple[tuple[str, tuple[str, ...]], ...]
 
 
-def any_term(text: Column, terms: tuple[str, ...], mode: str = "stem") -> Column:
-    """Whether any term occurs; false without terms."""
-    return F.lower(text).rlike("|".join(f"(?:{term_pattern(t, mode)})" for t in terms if t)) if any(terms) else F.lit(False)
+def any_term(text: Column, terms: tuple[str, ...], mode: str = "stem", lower: bool = True) -> Column:
+    """Whether any term occurs; false without terms. ``lower``: whether the text is still to be lowered."""
+    return (F.lower(text) if lower else text).rlike("|".join(f"(?:{term_pattern(t, mode)})" for t in terms if t)) if any(terms) else F.lit(False)
+
+
+def in_lower(low: Column, terms: tuple[str, ...], mode: str = "stem") -> Column:
+    """``any_term`` of a text in lower case. Most texts hold no term even as a part, which a search for bytes finds out
+    many times faster than the pattern."""
+    parts = sorted({unicodedata.normalize("NFC", t).lower() for t in terms if t})
+    return functools.reduce(Column.__or__, (F.contains(low, F.lit(p)) for p in parts)) & any_term(low, terms, mode, lower=False) if parts else F.lit(False)
 
 
 def any_substring(text: Column, parts: tuple[str, ...]) -> Column:
@@ -37,13 +47,17 @@ def first_match(text: Column, entries: Entries, mode: str = "stem") -> Column:
 
 def all_matches(text: Column, entries: Entries, mode: str = "stem") -> Column:
     """Names of all entries with a term in ``text``, in lexicon order."""
-    return F.filter(F.array(*(F.when(any_term(text, terms, mode), F.lit(name)) for name, terms in entries)), lambda x: x.isNotNull())
+    return bound(F.lower(text), lambda low: F.filter(F.array(*(F.when(in_lower(low, terms, mode), F.lit(name)) for name, terms in entries)), lambda x: x.isNotNull()))
 
 
 def longest_match(text: Column, entries: Entries, ties: str = "first", mode: str = "stem") -> Column:
     """Name of the entry whose longest matching term is longest; ties go to the ``first`` entry or the ``greatest`` name."""
-    found = [F.when(any_term(text, (t,), mode), F.struct(F.lit(len(t)).alias("size"), F.lit(-i if ties == "first" else 0).alias("ord"), F.lit(name).alias("name"))) for i, (name, terms) in enumerate(entries) for t in terms]
-    return F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))["name"]
+
+    def longest(low: Column) -> Column:
+        found = [F.when(in_lower(low, (t,), mode), F.struct(F.lit(len(t)).alias("size"), F.lit(-i if ties == "first" else 0).alias("ord"), F.lit(name).alias("name"))) for i, (name, terms) in enumerate(entries) for t in terms]
+        return F.array_max(F.filter(F.array(*found), lambda x: x.isNotNull()))["name"]
+
+    return bound(F.lower(text), longest)
 
 
 @dataclass(frozen=True)

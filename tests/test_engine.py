@@ -367,3 +367,14 @@ def test_terms_share_one_look_at_borders(spark):
     texts = ["Rain today now", "rains now_ NOW", "xrain rain", "क्योंकि क्यों rain", "", None, "rain todayx", "nowक्यों"]
     both = spark.createDataFrame([(t,) for t in texts], "t string").select(*(F.regexp_extract_all("t", F.lit(p), 0).alias(n) for n, p in (("a", T.any_of(terms)), ("b", single)))).collect()
     assert all(r.a == r.b for r in both) and both[0].a == ["Rain today", "now"] and both[1].a == ["NOW"]
+
+
+def test_a_lexicon_lowers_a_text_once_and_looks_for_bytes_first(spark):
+    entries = (("one", ("rain", "hail")), ("two", ("गेहूं", "")), ("none", ("",)), ("three", ("late  wheat",)))
+    for matched in (L.all_matches(F.col("t"), entries), L.longest_match(F.col("t"), entries)):
+        plan = plan_of(spark, matched, t="rain")
+        assert plan.count("lower(") == 1 and plan.count("Contains(") == 4
+    texts = ["RAIN गेहूं", "rains hailx", "late  wheat, hail", "", None, "late wheat अगेहूं"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(L.all_matches(F.col("t"), entries).alias("a"), L.longest_match(F.col("t"), entries).alias("l")).collect()
+    assert [r.a for r in got] == [["one", "two"], [], ["one", "three"], [], [], ["two"]]
+    assert [r.l for r in got] == ["two", None, "three", None, None, "two"]
