@@ -1,13 +1,17 @@
 """The stored index against plain BM25: numeric and string keys, ties, nulls, updates, compaction, many small spans."""
 
+import glob
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from agroloom.operators import index as I
 from agroloom.operators import retrieval as R
 from agroloom.operators.numbering import number_by_range
+from agroloom.plans import retrieval_queries
+from agroloom.sources.shared import shared_dir
 
 WORDS = "wheat rust aphid spray water seed zinc sowing rate borer leaf field mandi price".split()
 
@@ -120,3 +124,35 @@ def test_hashed_rows_are_shuffled_once_and_repeated_ids_are_one_text(spark):
     assert plan.count("Exchange hashpartitioning(id") == 1 and "md5" not in plan
     one = spark.createDataFrame([(1, "wheat rust a wheat"), (4, "a b")], "doc_id long, text string")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.hashed(one).collect()))
+
+
+def test_coded_vectors_are_the_same_unit_vectors_in_an_eighth_of_the_bytes(spark):
+    texts = ["wheat rust a", "", "wheat " * 90, "zinc sowing " * 9000]
+    held = {r.id: bytes(r.v) for r in R.unit_vectors(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    assert [len(held[i]) for i in range(4)] == [257, 257, 513, 1025]
+    weights = [R.bucket_weights(t.split(), {}).astype(float) for t in texts]
+    want = np.stack([x / (np.sqrt((x * x).sum()) or 1) for x in weights])
+    assert np.array_equal(R.unit_rows([held[i] for i in range(4)]), want)
+    assert np.array_equal(R.unit_rows([held[0], want[2].tobytes(), held[1]]), want[[0, 2, 1]])
+
+
+def test_pieces_of_spans_are_shuffled_and_not_rows(spark, tmp_path):
+    index = I.build(spark.createDataFrame(corpus(5, 2600, lambda i: i), "doc_id long, text string").repartition(2), str(tmp_path / "ix"), vectors=False)
+    rows = I.posting_rows(index.table("forward"))
+    assert "Exchange hashpartitioning(span" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "piece#" in plan
+    cut = index.table("forward").repartition(5)  # a span's rows in any task and order
+    sign = lambda d: sorted(map(str, d.collect()))
+    assert sign(I.posting_rows(cut)) == sign(rows) and I.posting_rows(cut.limit(0)).count() == 0
+
+
+def test_json_records_of_chunks_are_packed_and_go(spark, tmp_path, monkeypatch):
+    rows = [(i, f"wheat rust {i} " * (30 + i), "web", "en") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(retrieval_queries, "FILE_ROWS", 2)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).coalesce(1)
+    retrieval_queries.as_json(docs, str(tmp_path / "json"))
+    assert len(glob.glob(f"{tmp_path}/json/*.json.gz")) == 5
+    before = set(glob.glob(f"{shared_dir(spark)}/tables/json-*"))
+    chunks = retrieval_queries.chunk_table_of(spark, str(tmp_path))
+    assert set(glob.glob(f"{shared_dir(spark)}/tables/json-*")) == before
+    assert chunks.count() == sum(-(-len(r[1]) // retrieval_queries.PIECE) for r in rows)
