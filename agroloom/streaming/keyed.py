@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import TimestampNTZType
 
 Step = Callable[[dict, dict | None], tuple[dict, dict]]
 
@@ -104,9 +105,11 @@ class InOrder(StatefulProcessor):
 
 
 def packed(rows: DataFrame, key: str, ts: str, order: str) -> DataFrame:
-    """(key, ts, at_ms, ord_no, packed): whole rows as JSON, so that integers and nulls reach the steps as they are."""
+    """(key, ts, at_ms, ord_no, packed): whole rows as JSON, so that integers and nulls reach the steps as they are. A time
+    without a zone counts as it is written, whatever the session's zone: a clock that is put on or back changes no distance."""
+    at = F.concat(F.col(ts).cast("string"), F.lit("Z")) if rows.schema[ts].dataType == TimestampNTZType() else F.col(ts)
     rest = F.to_json(F.struct(*(F.col(c) for c in rows.columns if c != ts)))
-    return rows.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts).cast("timestamp")).alias("at_ms"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("ord_no"), rest.alias("packed"))
+    return rows.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_millis(at.cast("timestamp")).alias("at_ms"), F.coalesce(F.col(order).cast("long"), F.lit(0)).alias("ord_no"), rest.alias("packed"))
 
 
 def names_of(schema: str) -> list[str]:

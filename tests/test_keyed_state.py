@@ -84,3 +84,22 @@ def test_breaker_on_repeated_rows_is_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(dialogue_queries.BREAKER_SQL).fetchall()))
+
+
+def test_times_without_a_zone_keep_their_distance_in_any_session_zone(spark, tmp_path):
+    import duckdb
+
+    from agroloom.plans import dialogue_queries
+
+    days, r = (dt.datetime(2024, 3, 10), dt.datetime(2024, 11, 3)), random.Random(7)  # New York's clocks go on at 2, back at 2
+    rows = [("ab"[i % 2], i, days[i % 3 % 2] + dt.timedelta(seconds=r.randrange(18_000)), r.choice([1.0, 90.0]), i % 5) for i in range(600)]
+    spark.createDataFrame(rows, "event_type string, event_id long, ts timestamp_ntz, value double, user_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for name in ("source_breaker", "entry_cache"):
+            got = dialogue_queries.QUERIES[name](spark, str(tmp_path)).collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(dialogue_queries.SQL[name]).fetchall()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
