@@ -11,7 +11,7 @@ from agroloom.operators import index as I
 from agroloom.operators import retrieval as R
 from agroloom.operators.numbering import number_by_range
 from agroloom.plans import retrieval_queries
-from agroloom.sources.shared import shared_dir
+from agroloom.sources.shared import discard, shared_dir, written
 
 WORDS = "wheat rust aphid spray water seed zinc sowing rate borer leaf field mandi price".split()
 
@@ -156,3 +156,11 @@ def test_json_records_of_chunks_are_packed_and_go(spark, tmp_path, monkeypatch):
     chunks = retrieval_queries.chunk_table_of(spark, str(tmp_path))
     assert set(glob.glob(f"{shared_dir(spark)}/tables/json-*")) == before
     assert chunks.count() == sum(-(-len(r[1]) // retrieval_queries.PIECE) for r in rows)
+
+
+def test_texts_may_go_before_postings_are_made(spark, asked, tmp_path):
+    docs = spark.createDataFrame(corpus(6, 200, lambda i: i), "doc_id long, text string")
+    held, seen = written(docs, "texts"), []
+    gone = lambda: (discard(held), seen.append(len(glob.glob(f"{tmp_path}/ix/*/postings"))))
+    index = I.build(held, str(tmp_path / "ix"), texts_read=gone)
+    assert seen == [0] and not glob.glob(f"{held.written_at}/*") and hits(index, asked) == plain(docs, asked)
